@@ -62,29 +62,34 @@ def unproject(x: Column, y: Column, depth: Column, width: Column, height: Column
     rz = F.lit(1.0) / intrinsic[8]
     ry = (v - intrinsic[5] * rz) / intrinsic[4]
     rx = (u - intrinsic[2] * rz) / intrinsic[0]
-    ray = V.normalise(F.array(rx, ry, rz))
-    return V.add(Q.rotate(quaternion, V.scale(ray, depth)), position)
+    at_depth = V.bind(F.array(rx, ry, rz), lambda ray: V.scale(V.normalise(ray), depth))
+    return V.add(V.bind(at_depth, lambda p: Q.rotate(quaternion, p)), position)
 
 
 def frames_point(target: Column, position: Column, look_at: Column, focal_length: Column,
                  sensor_width: Column, aspect: Column, margin: Column) -> Column:
     """Whether a world point lies inside the view frustum shrunk by ``margin``."""
-    forward = V.normalise(V.subtract(look_at, position))
-    right = V.normalise(
-        V.cross(forward, V.vector(0.0, 0.0, 1.0)), fallback=V.vector(1.0, 0.0, 0.0), epsilon=1e-9
-    )
-    up = V.cross(right, forward)
-    relative = V.subtract(target, position)
-    depth = V.dot(relative, forward)
     half_x = sensor_width / 2.0 / focal_length
     half_y = F.when(aspect >= 1.0, half_x / aspect).otherwise(half_x * aspect)
     keep = F.greatest(F.lit(0.0), 1.0 - margin)
-    return (
-        (V.distance(look_at, position) > 1e-9)
-        & (depth > 1e-3)
-        & (F.abs(V.dot(relative, right)) / depth <= half_x * keep)
-        & (F.abs(V.dot(relative, up)) / depth <= half_y * keep)
-    )
+    relative = V.subtract(target, position)
+
+    def with_forward(forward: Column) -> Column:
+        side = V.bind(V.cross(forward, V.vector(0.0, 0.0, 1.0)),
+                      lambda v: V.normalise(v, V.vector(1.0, 0.0, 0.0), epsilon=1e-9))
+        return V.bind(side, lambda right: inside(forward, right))
+
+    def inside(forward: Column, right: Column) -> Column:
+        depth = V.dot(relative, forward)
+        up = V.cross(right, forward)
+        return (
+            (depth > 1e-3)
+            & (F.abs(V.dot(relative, right)) / depth <= half_x * keep)
+            & (F.abs(V.dot(relative, up)) / depth <= half_y * keep)
+        )
+
+    unit = V.bind(V.subtract(look_at, position), V.normalise)
+    return (V.distance(look_at, position) > 1e-9) & V.bind(unit, with_forward)
 
 
 def half_angle(focal_length: float, sensor_width: float) -> float:

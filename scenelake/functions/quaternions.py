@@ -11,7 +11,7 @@ from scenelake.functions import vectors as V
 
 
 def unit(q: Column) -> Column:
-    return V.normalise(q, fallback=V.vector(1.0, 0.0, 0.0, 0.0), size=4)
+    return V.bind(q, lambda v: V.normalise(v, fallback=V.vector(1.0, 0.0, 0.0, 0.0), size=4))
 
 
 def from_xyzw(q: Column) -> Column:
@@ -85,39 +85,55 @@ def unit_angle_between(a: Column, b: Column) -> Column:
 def from_matrix(m: list[list[Column]]) -> Column:
     """Unit quaternion of a rotation matrix, taking the numerically largest pivot."""
     xx, yy, zz = m[0][0], m[1][1], m[2][2]
-    pivots = [
-        (1 + xx + yy + zz, lambda t: [t, m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1]]),
-        (1 + xx - yy - zz, lambda t: [m[2][1] - m[1][2], t, m[1][0] + m[0][1], m[0][2] + m[2][0]]),
-        (1 - xx + yy - zz, lambda t: [m[0][2] - m[2][0], m[1][0] + m[0][1], t, m[2][1] + m[1][2]]),
-        (1 - xx - yy + zz, lambda t: [m[1][0] - m[0][1], m[0][2] + m[2][0], m[2][1] + m[1][2], t]),
+    rows = [
+        lambda t: [t, m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1]],
+        lambda t: [m[2][1] - m[1][2], t, m[1][0] + m[0][1], m[0][2] + m[2][0]],
+        lambda t: [m[0][2] - m[2][0], m[1][0] + m[0][1], t, m[2][1] + m[1][2]],
+        lambda t: [m[1][0] - m[0][1], m[0][2] + m[2][0], m[2][1] + m[1][2], t],
     ]
-    largest = F.greatest(*[t for t, _ in pivots])
-    result = None
-    for t, lanes in pivots:
-        value = F.array(*[lane * 0.5 / F.sqrt(t) for lane in lanes(t)])
-        result = F.when(largest == t, value) if result is None else result.when(largest == t, value)
-    return result
+
+    def build(pivots: Column) -> Column:
+        largest = F.array_max(pivots)
+        result = None
+        for index, lanes in enumerate(rows):
+            value = F.array(*[lane * 0.5 / F.sqrt(largest) for lane in lanes(largest)])
+            chosen = pivots[index] == largest
+            result = F.when(chosen, value) if result is None else result.when(chosen, value)
+        return result
+
+    return V.bind(F.array(1 + xx + yy + zz, 1 + xx - yy - zz, 1 - xx + yy - zz, 1 - xx - yy + zz), build)
 
 
 def look_at(position: Column, target: Column) -> Column:
     """Orientation whose -Z axis faces ``target`` with +Y up and world up +Z."""
-    front = V.normalise(V.subtract(target, position), epsilon=1e-8)
-    right = V.normalise(
-        V.cross(V.vector(0.0, 0.0, 1.0), front), fallback=V.vector(1.0, 0.0, 0.0), epsilon=1e-8
-    )
-    up = V.normalise(V.cross(front, right), epsilon=1e-8)
-    # Local basis: right' = Y x (-Z) = -X, up' = Y, front' = -Z.
-    return from_matrix([[-right[i], up[i], -front[i]] for i in range(3)])
+    unit_of = lambda v, fallback=None: V.bind(v, lambda u: V.normalise(u, fallback, epsilon=1e-8))
+
+    def with_front(front: Column) -> Column:
+        return V.bind(unit_of(V.cross(V.vector(0.0, 0.0, 1.0), front), V.vector(1.0, 0.0, 0.0)),
+                      lambda right: with_axes(front, right))
+
+    def with_axes(front: Column, right: Column) -> Column:
+        # Local basis: right' = Y x (-Z) = -X, up' = Y, front' = -Z.
+        return V.bind(unit_of(V.cross(front, right)),
+                      lambda up: from_matrix([[-right[i], up[i], -front[i]] for i in range(3)]))
+
+    return V.bind(unit_of(V.subtract(target, position)), with_front)
 
 
 def slerp(left: Column, right: Column, fraction: Column) -> Column:
     """Spherical interpolation, falling back to a straight blend for nearly equal inputs."""
+
+    def blend(cosine: Column) -> Column:
+        angle = F.acos(cosine)
+        straight = cosine > 1.0 - 1e-10
+        weights = F.array(
+            F.when(straight, 1.0 - fraction).otherwise(F.sin((1.0 - fraction) * angle) / F.sin(angle)),
+            F.when(straight, fraction).otherwise(F.sin(fraction * angle) / F.sin(angle)),
+        )
+        return V.bind(weights, lambda w: F.array(*[w[0] * left[i] + w[1] * right[i] for i in range(4)]))
+
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(left, right, 4)))
-    angle = F.acos(cosine)
-    straight = cosine > 1.0 - 1e-10
-    first = F.when(straight, 1.0 - fraction).otherwise(F.sin((1.0 - fraction) * angle) / F.sin(angle))
-    second = F.when(straight, fraction).otherwise(F.sin(fraction * angle) / F.sin(angle))
-    return unit(F.array(*[first * left[i] + second * right[i] for i in range(4)]))
+    return unit(V.bind(cosine, blend))
 
 
 def uniform_rotation(u1: Column, u2: Column, u3: Column) -> Column:

@@ -6,6 +6,7 @@ the expressions take part in whole-stage code generation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add as _plus
 
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 DOUBLE_MAX = 1.7976931348623157e308
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a composite expression that is evaluated once instead of once per use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def vector(*components: Column | float) -> Column:
     return F.array(*[
         (c if isinstance(c, Column) else F.lit(float(c))).cast("double") for c in components

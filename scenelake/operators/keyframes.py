@@ -30,8 +30,7 @@ def values_at(keyframes: DataFrame, queries: DataFrame, size: int, interpolation
         .groupBy(*keys, "frame")
         .agg(F.first("_key", ignorenulls=True).alias("_key"), F.max("_asked").alias("_asked"))
     )
-    filled = ordered.with_last_known(merged, keys, "frame", "_key", "_left", block=block)
-    filled = ordered.with_last_known(filled, keys, "frame", "_key", "_right", ahead=True, block=block)
+    filled = ordered.with_bracket(merged, keys, "frame", "_key", "_left", "_right", block=block)
     asked = filled.where("_asked = 1 and (_left is not null or _right is not null)").withColumns({
         "_left": F.coalesce("_left", "_right"), "_right": F.coalesce("_right", "_left"),
     })
@@ -59,12 +58,12 @@ def frame_range(scenes: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def resample(paths: DataFrame, queries: DataFrame, keys: Sequence[str] = ("instance_id",),
-             block: int = ordered.BLOCK) -> DataFrame:
+             block: int = ordered.BLOCK, output_block: int | None = ordered.BLOCK) -> DataFrame:
     """Path pose at query times in [0, 1] over uniformly spaced samples.
 
     ``paths`` holds sample (0-based), position and optionally quaternion; ``queries``
     holds sample (output index) and time. The bracket is an equi join on the sample
-    index, so no range condition is needed.
+    index, so no range condition is needed. ``output_block=None`` suits short outputs.
     """
     rotated = "quaternion" in paths.columns
     lanes = ["position"] + (["quaternion"] if rotated else [])
@@ -92,7 +91,8 @@ def resample(paths: DataFrame, queries: DataFrame, keys: Sequence[str] = ("insta
     if rotated:
         columns.append(at_ends("quaternion", Q.slerp(F.col("quaternion"), F.col("_next_quaternion"), fraction)).alias("quaternion"))
     result = joined.select(*keys, F.col("_output").alias("sample"), *columns)
-    return continuous_quaternions(result, keys, "sample", block=block) if rotated else result
+    # A fresh sweep over the output samples; their number is the caller's choice.
+    return continuous_quaternions(result, keys, "sample", block=output_block) if rotated else result
 
 
 def uniform_times(paths: DataFrame, samples: int, keys: Sequence[str] = ("instance_id",)) -> DataFrame:

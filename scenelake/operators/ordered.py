@@ -4,6 +4,8 @@ A plain window sorts every row of a key in a single task. Here each key is cut i
 blocks of the integer order column (or of a digest); a window runs inside each block and
 only one summary row per block is carried across blocks. One key holding a third of all
 rows therefore spreads over as many tasks as it has blocks.
+
+``block=None`` is the plain window, for keys whose row count a parameter bounds.
 """
 
 from __future__ import annotations
@@ -34,10 +36,13 @@ def _within(keys: Sequence[str], order: str):
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, str],
-                   ahead: bool = False, block: int = BLOCK) -> DataFrame:
+                   ahead: bool = False, block: int | None = BLOCK) -> DataFrame:
     """Adds columns of the previous (or next) row of the key; ``values`` maps source to output."""
     shift, pick = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
     packed = F.struct(*[F.col(source).alias(name) for source, name in values.items()])
+    if block is None:
+        near = shift(packed).over(W.partitionBy(*keys).orderBy(order))
+        return df.withColumn("_near", near).select(*df.columns, *[F.col("_near")[n].alias(n) for n in values.values()])
     blocked = _blocked(df, order, block).withColumn("_packed", packed)
     carried = (
         blocked.groupBy(*keys, "_block").agg(pick("_packed", order).alias("_edge"))
@@ -53,8 +58,10 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Mappi
 
 
 def with_running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str,
-                     block: int = BLOCK) -> DataFrame:
+                     block: int | None = BLOCK) -> DataFrame:
     """Adds the inclusive running sum of ``value`` in order of a unique ``order`` column."""
+    if block is None:
+        return df.withColumn(name, F.sum(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(*_UP_TO)))
     blocked = _blocked(df, order, block).withColumn("_value", value)
     carried = (
         blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
@@ -71,26 +78,71 @@ def with_running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Colu
 
 
 def with_last_known(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str,
-                    ahead: bool = False, block: int = BLOCK) -> DataFrame:
-    """Fills ``name`` with the nearest non-null ``value`` at or before (or after) each row."""
+                    block: int = BLOCK) -> DataFrame:
+    """Fills ``name`` with the nearest non-null ``value`` at or before each row."""
+    return with_bracket(df, keys, order, value, name, None, block)
+
+
+def with_bracket(df: DataFrame, keys: Sequence[str], order: str, value: str, before: str,
+                 after: str | None, block: int = BLOCK) -> DataFrame:
+    """Fills ``before`` and ``after`` with the nearest non-null ``value`` on either side.
+
+    A row's own value counts for both sides. Every block keeps one summary row, so a block
+    without any value still receives what its neighbours carry.
+    """
     blocked = _blocked(df, order, block)
-    take, frame, outer, pick = (
-        (F.first, _ONWARD, _AFTER, F.min_by) if ahead else (F.last, _UP_TO, _BEFORE, F.max_by)
+    place = F.when(F.col(value).isNotNull(), F.col(order))
+    sides = {before: (F.max_by, F.last, _UP_TO, _BEFORE)}
+    if after:
+        sides[after] = (F.min_by, F.first, _ONWARD, _AFTER)
+    edges = blocked.groupBy(*keys, "_block").agg(*[
+        pick(F.col(value), place).alias(f"_edge_{name}") for name, (pick, *_) in sides.items()
+    ])
+    carried = edges.select(*keys, "_block", *[
+        take(f"_edge_{name}", ignorenulls=True).over(_across(keys).rowsBetween(*outer)).alias(f"_carry_{name}")
+        for name, (_, take, _, outer) in sides.items()
+    ])
+    filled = blocked.withColumns({
+        f"_local_{name}": take(value, ignorenulls=True).over(_within(keys, order).rowsBetween(*inner))
+        for name, (_, take, inner, _) in sides.items()
+    })
+    return filled.join(carried, [*keys, "_block"]).select(
+        *[c for c in df.columns if c not in sides],
+        *[F.coalesce(f"_local_{name}", f"_carry_{name}").alias(name) for name in sides],
     )
-    # Every block keeps one row, so a block without any value still receives the carry.
-    edge = pick(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
-    carried = (
-        blocked.groupBy(*keys, "_block").agg(edge.alias("_edge"))
-        .select(*keys, "_block",
-                take("_edge", ignorenulls=True).over(_across(keys).rowsBetween(*outer)).alias("_carry"))
-        .where(F.col("_carry").isNotNull())
+
+
+def with_running_changes(df: DataFrame, keys: Sequence[str], order: str, value: str, changed, name: str,
+                         block: int | None = BLOCK) -> DataFrame:
+    """Adds how often ``changed(previous, current)`` held up to each row of the key.
+
+    One pass: a block counts its own changes, and its first and last value decide the
+    change between blocks.
+    """
+    flag = lambda a, b: F.coalesce(changed(a, b).cast("int"), F.lit(0))
+    if block is None:
+        window = W.partitionBy(*keys).orderBy(order)
+        marked = df.withColumn("_change", flag(F.lag(value).over(window), F.col(value)))
+        return marked.withColumn(name, F.sum("_change").over(window.rowsBetween(*_UP_TO))).drop("_change")
+    within = _within(keys, order)
+    counted = (
+        _blocked(df, order, block)
+        .withColumn("_previous", F.lag(value).over(within))
+        .withColumn("_change", flag(F.col("_previous"), F.col(value)))
+        .withColumn("_local", F.sum("_change").over(within.rowsBetween(*_UP_TO)))
     )
-    local = take(value, ignorenulls=True).over(_within(keys, order).rowsBetween(*frame))
-    return (
-        blocked.withColumn("_local", local)
-        .join(carried, [*keys, "_block"], "left")
-        .withColumn(name, F.coalesce("_local", "_carry"))
-        .select(*[c for c in df.columns if c != name], name)
+    edges = counted.groupBy(*keys, "_block").agg(
+        F.min_by(value, order).alias("_head"), F.max_by(value, order).alias("_tail"), F.sum("_change").alias("_inner")
+    )
+    across = _across(keys)
+    joined = (
+        edges.withColumn("_before", F.lag("_tail").over(across))
+        .withColumn("_entry", flag(F.col("_before"), F.col("_head")))
+        .withColumn("_carry", F.sum(F.col("_entry") + F.col("_inner")).over(across.rowsBetween(*_UP_TO)) - F.col("_inner"))
+        .select(*keys, "_block", "_carry")
+    )
+    return counted.join(joined, [*keys, "_block"]).withColumn(name, F.col("_local") + F.col("_carry")).select(
+        *[c for c in df.columns if c != name], name
     )
 
 

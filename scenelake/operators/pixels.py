@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from scenelake.functions import raster
 
@@ -214,7 +215,7 @@ def palette_violations(frames: DataFrame) -> DataFrame:
     return frames.select(*FRAME, top.alias("max_label"), verdict.alias("verdict")).where("verdict is not null")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _erode(segmentation: pd.Series, depth: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     result = []
     for labels, metres, h, w in zip(segmentation, depth, height, width):
@@ -234,7 +235,7 @@ def erode(frames: DataFrame) -> DataFrame:
     return frames.withColumn("segmentation", _erode("segmentation", "depth", "height", "width"))
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _trust(normals: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     result = []
     for flat, h, w in zip(normals, height, width):

@@ -167,18 +167,17 @@ def commanded_velocities(paths: DataFrame, step_rate: float,
 
 
 def continuous_quaternions(tracks: DataFrame, keys: Sequence[str], order: str,
-                           block: int = ordered.BLOCK) -> DataFrame:
+                           block: int | None = ordered.BLOCK) -> DataFrame:
     """Normalises quaternions and flips signs so neighbours never oppose.
 
     Flipping is cumulative, and a flip happens exactly where the raw neighbours oppose,
     so the sign is the parity of the running count of opposing neighbours.
     """
     normal = tracks.withColumn("quaternion", Q.unit(F.col("quaternion")))
-    stepped = ordered.with_neighbour(normal, keys, order, {"quaternion": "_previous"}, block=block)
-    opposes = F.coalesce((V.dot(F.col("quaternion"), F.col("_previous"), 4) < 0.0).cast("int"), F.lit(0))
-    counted = ordered.with_running_sum(stepped, keys, order, opposes, "_flips", block=block)
+    opposes = lambda a, b: V.dot(a, b, 4) < 0.0
+    counted = ordered.with_running_changes(normal, keys, order, "quaternion", opposes, "_flips", block=block)
     sign = F.when(F.pmod(F.col("_flips"), F.lit(2)) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return counted.withColumn("quaternion", V.scale(F.col("quaternion"), sign, 4)).drop("_previous", "_flips")
+    return counted.withColumn("quaternion", V.scale(F.col("quaternion"), sign, 4)).drop("_flips")
 
 
 def prefix_mismatches(factual: DataFrame, counterfactual: DataFrame, targets: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scenelake.operators import contacts as K
 from scenelake.operators import graph as G
 from scenelake.operators import states as S
+from scenelake.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,8 @@ class GroundTruth:
 
 def _graphs(contacts: DataFrame, step_rate: float, force_threshold: float, minimum_impulse: float):
     steps = K.contact_steps(K.canonicalise(contacts), step_rate)
-    edges = K.episodes(steps, force_threshold, minimum_impulse)
+    # Both branches feed the delta, the union and every sweep: aggregate the contacts once.
+    edges = cut_lineage(K.episodes(steps, force_threshold, minimum_impulse))
     return G.branch_edges(edges, "factual"), G.branch_edges(edges, "counterfactual")
 
 
@@ -46,7 +48,7 @@ def kinematic(contacts: DataFrame, states: DataFrame, targets: DataFrame, step_r
     factual, counterfactual = _graphs(contacts, step_rate, force_threshold, minimum_impulse)
     delta = G.edge_delta(factual, counterfactual, force_tolerance)
     union = G.union_edges(factual, counterfactual)
-    hard = G.hard_affected(union, delta, targets, excluded)
+    hard = cut_lineage(G.hard_affected(union, delta, targets, excluded))
     moved = S.diverged(
         S.branch_states(states, "factual"), S.branch_states(states, "counterfactual"), targets,
         position_epsilon, velocity_epsilon, quaternion_epsilon,
@@ -67,6 +69,7 @@ def velocity(contacts: DataFrame, states: DataFrame, subjects: DataFrame, step_r
         reached = G.forward_reachable(edges, subjects, environment)
         found = G.forward_paths(edges, subjects, reached, environment)
         paths = found if paths is None else paths.unionByName(found)
+    # The fewest hops over both branches, then the smallest path.
     shortest = paths.groupBy("instance_id", "object_id").agg(
         F.min(F.struct(F.size("path").alias("n"), "path"))["path"].alias("path")
     )
