@@ -46,12 +46,10 @@ def z_to_depth(z: Column, x: Column, y: Column, width: Column, height: Column,
 
 def project(point: Column, position: Column, quaternion: Column, intrinsic: Column) -> Column:
     """Image coordinates in [0, 1] and the sign of the projective depth as third lane."""
-    local = Q.unrotate(quaternion, V.subtract(point, position))
-    planes = [
-        intrinsic[3 * r] * local[0] + intrinsic[3 * r + 1] * local[1] + intrinsic[3 * r + 2] * local[2]
-        for r in range(3)
-    ]
-    return F.array(planes[0] / planes[2], planes[1] / planes[2], F.signum(planes[2]))
+    plane = lambda p, r: intrinsic[3 * r] * p[0] + intrinsic[3 * r + 1] * p[1] + intrinsic[3 * r + 2] * p[2]
+    local = V.bind(V.subtract(point, position), lambda p: Q.unrotate(quaternion, p))
+    planes = V.bind(local, lambda p: F.array(*[plane(p, r) for r in range(3)]))
+    return V.bind(planes, lambda p: F.array(p[0] / p[2], p[1] / p[2], F.signum(p[2])))
 
 
 def unproject(x: Column, y: Column, depth: Column, width: Column, height: Column,
@@ -88,7 +86,7 @@ def frames_point(target: Column, position: Column, look_at: Column, focal_length
             & (F.abs(V.dot(relative, up)) / depth <= half_y * keep)
         )
 
-    unit = V.bind(V.subtract(look_at, position), V.normalise)
+    unit = V.bind(V.subtract(look_at, position), lambda v: V.normalise(v))
     return (V.distance(look_at, position) > 1e-9) & V.bind(unit, with_forward)
 
 

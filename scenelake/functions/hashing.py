@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NUL = "\0"
 _UNIT = float(1 << 56)
@@ -25,7 +26,7 @@ def sha_text(*parts: Column | int | str) -> Column:
 def derive_seed(master: Column | int, index: Column | int, domain: Column | str) -> Column:
     """Non-negative 63-bit seed, independent for each named domain."""
     head = F.conv(F.substring(sha_text(master, index, domain), 1, 16), 16, 10)
-    return F.pmod(head.cast("decimal(20,0)"), F.lit(1 << 63).cast("decimal(20,0)")).cast("bigint")
+    return F.pmod(head.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("bigint")
 
 
 def instance_id(master: Column | int, index: Column | int) -> Column:
@@ -50,7 +51,7 @@ def struct_digest(*columns: str) -> Column:
     return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json_digest(documents: pd.Series) -> pd.Series:
     """Digest of a JSON text re-serialised with sorted keys, compact, newline-terminated.
 
@@ -88,7 +89,7 @@ def _murmur3_32(data: bytes) -> int:
     return state ^ (state >> 16)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def matte_hash(names: pd.Series) -> pd.Series:
     """Object-matte identifier of a name: Murmur3 kept representable as a normal float32."""
 

@@ -36,14 +36,16 @@ def proxy_volume(shape: Column, size: Column) -> Column:
     )
 
 
+def _turned_extents(shape: Column, size: Column, quaternion: Column) -> Column:
+    local = half_extents(shape, size)
+    return V.bind(local, lambda h: F.array(*[
+        F.abs(row[0]) * h[0] + F.abs(row[1]) * h[1] + F.abs(row[2]) * h[2] for row in Q.matrix(quaternion)
+    ]))
+
+
 def rotated_extents(shape: Column, size: Column, quaternion: Column) -> Column:
     """Half-extents of the axis-aligned box around the rotated shape."""
-    local = half_extents(shape, size)
-    turned = F.array(*[
-        F.abs(row[0]) * local[0] + F.abs(row[1]) * local[1] + F.abs(row[2]) * local[2]
-        for row in Q.matrix(quaternion)
-    ])
-    return F.when(shape == "sphere", F.array(size[0], size[0], size[0])).otherwise(turned)
+    return F.when(shape == "sphere", F.array(size[0], size[0], size[0])).otherwise(_turned_extents(shape, size, quaternion))
 
 
 def box_corners(position: Column, quaternion: Column, lower: Column, upper: Column) -> Column:
@@ -67,18 +69,17 @@ def scaled_box_corners(position: Column, quaternion: Column, bounds: Column, sca
 
 
 def oriented_bounds(shape: Column, size: Column, position: Column, quaternion: Column) -> Column:
-    """Struct of ``lower`` and ``upper``: the box around the eight rotated corners."""
-    local = half_extents(shape, size)
-    corners = box_corners(position, quaternion, V.scale(local, -1.0), local)
-    return F.struct(
-        F.array(*[F.array_min(F.array(*[corners[k][i] for k in range(8)])) for i in range(3)]).alias("lower"),
-        F.array(*[F.array_max(F.array(*[corners[k][i] for k in range(8)])) for i in range(3)]).alias("upper"),
-    )
+    """Struct of ``lower`` and ``upper``: the box around the eight rotated corners.
+
+    The extreme corner on an axis sums the absolute contributions of the three edges.
+    """
+    return V.bind(_turned_extents(shape, size, quaternion), lambda reach: F.struct(
+        V.subtract(position, reach).alias("lower"), V.add(position, reach).alias("upper")))
 
 
 def corner_targets(position: Column, radius: Column) -> Column:
     """Corners of the axis-aligned cube of half-width ``radius`` about a position."""
-    return F.array(*[
-        F.array(*[position[i] + sign[i] * radius for i in range(3)])
+    return V.bind(radius, lambda half: F.array(*[
+        F.array(*[position[i] + sign[i] * half for i in range(3)])
         for sign in itertools.product((-1.0, 1.0), repeat=3)
-    ])
+    ]))

@@ -113,7 +113,7 @@ def without_held_out(combinations: DataFrame, holdouts: DataFrame, axes: Sequenc
     return combinations.join(matched, list(axes), "left_anti")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _similarity(word: pd.Series, candidate: pd.Series) -> pd.Series:
     matcher = difflib.SequenceMatcher()
     scores = []
@@ -155,7 +155,10 @@ def did_you_mean(unknown: DataFrame, known: DataFrame, cutoff: float = 0.6) -> D
     a, b = F.col("_len_word"), F.col("_len_option")
     pairs = prefix(left, "word").join(prefix(right, "option"), "_token").where(
         2.0 * F.least(a, b) / (a + b) >= cutoff - 1e-9
-    ).select("word", "option").distinct()
+    ).select("word", "option")
+    # Few bytes but much Python per pair: keep the full number of partitions.
+    tasks = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(tasks, "word", "option").distinct()
     scored = pairs.withColumn("score", _similarity("word", "option")).where(F.col("score") >= cutoff)
     best = scored.groupBy("word").agg(F.max(F.struct("score", "option")).alias("_best"))
     return words.join(best, "word", "left").select(F.col("word").alias("id"), F.col("_best.option").alias("suggestion"))

@@ -157,9 +157,9 @@ def with_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[st
     group = list(keys)
     across = (W.partitionBy(*group) if group else W.partitionBy(F.lit(0))).orderBy("_block")
     offsets = (
-        scoped.groupBy(*group, "_block").agg(F.count("*").alias("_size"))
+        scoped.groupBy(*group, "_block").agg(F.count("*").alias("_in_block"))
         .select(*group, "_block",
-                F.coalesce(F.sum("_size").over(across.rowsBetween(*_BEFORE)), F.lit(0)).alias("_offset"))
+                F.coalesce(F.sum("_in_block").over(across.rowsBetween(*_BEFORE)), F.lit(0)).alias("_offset"))
     )
     local = F.row_number().over(W.partitionBy(*group, "_block").orderBy(digest, *ties))
     return (

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PERMUTATION_LIMIT = 100_000
 
@@ -60,7 +61,7 @@ def canonical_form(labels: list[str], edges: set[tuple[int, int]]) -> str | None
     return "".join(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _signature(labels: pd.Series, pairs: pd.Series) -> pd.Series:
     def digest(names, links) -> str | None:
         names = list(names)
