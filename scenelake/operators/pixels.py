@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from scenelake.functions import raster
+from scenelake.functions import vectors as V
 
 FRAME = ("scene", "frame")
 
@@ -255,35 +256,40 @@ def trusted_normals(frames: DataFrame) -> DataFrame:
     return frames.withColumn("trusted", _trust("normal", "height", "width"))
 
 
-def occluded(points: DataFrame, frames: DataFrame, chunk: int = 256) -> DataFrame:
-    """Whether each projected point is hidden by depth or by foreign labels.
+def with_hidden(points: DataFrame, frames: DataFrame, chunk: int = 256) -> DataFrame:
+    """Adds ``hidden``: whether a projected point lies behind a surface or on foreign labels.
 
-    ``points``: scene, point (dense from 0), frame, px, py (raster coordinates), limit
-    (depth below which the surface hides the point), label. Points meet their frame in
-    lists of at most ``chunk``, so each frame array is shipped once per list instead of
-    once per point, and neither side grows without bound.
+    ``points`` carries scene, point (dense from 0), frame, px, py (raster coordinates),
+    limit (depth below which the surface hides the point), label and any other columns.
+    Points meet their frame in lists of at most ``chunk``, so each frame array is shipped
+    once per list instead of once per point, and neither side grows without bound.
     """
+    rest = [c for c in points.columns if c not in FRAME]
     packed = points.groupBy(*FRAME, F.floor(F.col("point") / chunk).alias("_chunk")).agg(
-        F.collect_list(F.struct("point", "px", "py", "limit", "label")).alias("_points")
+        F.collect_list(F.struct(*rest)).alias("_points")
     )
     clamp = lambda v, top: F.greatest(F.lit(0), F.least(v, top))
+    h, w = F.col("_h"), F.col("_w")
 
-    def verdict(p: Column) -> Column:
-        h, w = F.col("height"), F.col("width")
+    def corners(p: Column) -> Column:
         # Raster to pixel coordinates, then the four surrounding pixels.
         left, upper = F.floor(p["px"] - 0.5), F.floor(p["py"] - 0.5)
         xs = [clamp(left, w - 1), clamp(left + 1, w - 1)]
         ys = [clamp(upper, h - 1), clamp(upper + 1, h - 1)]
-        cells = [(y * w + x).cast("int") for y in ys for x in xs]
-        surface = F.greatest(*[F.get("depth", c) for c in cells])
-        foreign = None
-        for c in cells:
-            other = F.get("segmentation", c) != p["label"]
-            foreign = other if foreign is None else foreign & other
-        return F.struct(p["point"].alias("point"), ((surface < p["limit"]) | foreign).alias("hidden"))
+        return F.array(*[(y * w + x).cast("int") for y in ys for x in xs])
+
+    def verdict(p: Column) -> Column:
+        def judge(cells: Column) -> Column:
+            surface = F.greatest(*[F.get("_depth", cells[i]) for i in range(4)])
+            foreign = [F.get("_labels", cells[i]) != p["label"] for i in range(4)]
+            return (surface < p["limit"]) | (foreign[0] & foreign[1] & foreign[2] & foreign[3])
+
+        return F.struct(p.alias("row"), V.bind(corners(p), judge).alias("hidden"))
 
+    layers = frames.select(*FRAME, F.col("height").alias("_h"), F.col("width").alias("_w"),
+                           F.col("depth").alias("_depth"), F.col("segmentation").alias("_labels"))
     return (
-        packed.join(frames.select(*FRAME, "height", "width", "depth", "segmentation"), list(FRAME))
+        packed.join(layers, list(FRAME))
         .select(*FRAME, F.explode(F.transform("_points", verdict)).alias("_v"))
-        .select(*FRAME, F.col("_v.point").alias("point"), F.col("_v.hidden").alias("hidden"))
+        .select(*FRAME, F.col("_v.row.*"), F.col("_v.hidden").alias("hidden"))
     )

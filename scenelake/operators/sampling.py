@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions import hashing as H
+from scenelake.functions import vectors as V
 from scenelake.operators import ordered
 
 
@@ -115,18 +116,22 @@ def crop_windows(scenes: DataFrame, seed: int, area: tuple[float, float] = (0.3,
     origin = H.derive_seed(seed, F.col("scene"), "crop")
     h, w = F.col("height"), F.col("width")
 
+    low, high = math.log(aspect[0]), math.log(aspect[1])
+
     def window(trial: Column) -> Column:
-        u = [H.draw(F.concat_ws("/", origin.cast("string"), trial.cast("string")), lane) for lane in range(4)]
-        share = area[0] + u[0] * (area[1] - area[0])
-        low, high = math.log(aspect[0]), math.log(aspect[1])
+        lane = F.concat_ws("/", F.col("_origin").cast("string"), trial.cast("string"))
+        return V.bind(F.array(*[H.draw(lane, i) for i in range(4)]), lambda u: V.bind(sides(u), lambda s: placed(u, s)))
+
+    def sides(u: Column) -> Column:
         ratio = F.exp(low + u[1] * (high - low))
-        height = F.bround(F.sqrt(share * h * w / ratio)).cast("int")
-        width = F.bround(F.sqrt(share * h * w / ratio) * ratio).cast("int")
-        top = F.floor(u[2] * (h - height + 1)).cast("int")
-        left = F.floor(u[3] * (w - width + 1)).cast("int")
-        fits = (height >= 1) & (width >= 1) & (height <= h) & (width <= w)
-        return F.when(fits, F.array(top, left, top + height, left + width))
+        height = F.sqrt((area[0] + u[0] * (area[1] - area[0])) * h * w / ratio)
+        return F.array(F.bround(height), F.bround(height * ratio))
+
+    def placed(u: Column, s: Column) -> Column:
+        top, left = F.floor(u[2] * (h - s[0] + 1)), F.floor(u[3] * (w - s[1] + 1))
+        fits = (s[0] >= 1) & (s[1] >= 1) & (s[0] <= h) & (s[1] <= w)
+        return F.when(fits, F.array(*[v.cast("int") for v in (top, left, top + s[0], left + s[1])]))
 
     tried = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), window), lambda x: x.isNotNull())
     whole = F.array(F.lit(0), F.lit(0), h.cast("int"), w.cast("int"))
-    return scenes.withColumn("window", F.coalesce(F.get(tried, F.lit(0)), whole))
+    return scenes.withColumn("_origin", origin).withColumn("window", F.coalesce(F.get(tried, F.lit(0)), whole)).drop("_origin")

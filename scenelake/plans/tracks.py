@@ -66,43 +66,46 @@ def reproject(points: DataFrame, cameras: DataFrame, objects: DataFrame) -> Data
     )
 
 
-def facing_away(tracks: DataFrame, objects: DataFrame) -> DataFrame:
-    """Trusted surface normals that point away from the camera, per point and frame.
+def with_query_pose(points: DataFrame, cameras: DataFrame, objects: DataFrame) -> DataFrame:
+    """Adds each point's normal in its object's frame and whether that normal counts.
 
-    The query-frame normal is turned into the object's frame and back out for every
-    frame. A point already facing away in its own query frame is exempt.
+    A point that already faces away from the camera in its own query frame is exempt, as
+    are the background and untrusted normals. All of this belongs to the point, so it is
+    settled before the points meet the other frames.
     """
-    at_query = objects.select("scene", (F.col("object_index") + 1).alias("label"),
-                              F.col("frame").alias("query_frame"), F.col("quaternion").alias("query_quaternion"))
-    turned = tracks.join(at_query, ["scene", "label", "query_frame"])
-    normal = Q.rotate(F.col("object_quaternion"), Q.unrotate(F.col("query_quaternion"), F.col("normal")))
-    away = V.dot(normal, V.subtract(F.col("world"), F.col("camera_position"))) > 0
-    marked = turned.select(*POINT, "frame", "query_frame", "trusted", away.alias("away"))
-    broken = marked.where("frame = query_frame and away").select(*POINT).distinct()
-    return marked.where("trusted and away").join(broken, list(POINT), "left_anti").select(*POINT, "frame")
-
-
-def occlusion(tracks: DataFrame, frames: DataFrame, windows: DataFrame, objects: DataFrame) -> DataFrame:
+    eyes = cameras.select("scene", F.col("frame").alias("query_frame"), F.col("position").alias("_eye"))
+    pose = objects.select("scene", (F.col("object_index") + 1).alias("label"), F.col("frame").alias("query_frame"),
+                          F.col("quaternion").alias("_q"), F.col("corners").alias("_c"))
+    joined = points.join(eyes, ["scene", "query_frame"]).join(pose, ["scene", "label", "query_frame"], "left")
+    staged = joined.withColumn("_at", box_to_world(F.col("local"), F.col("_c")))
+    away = V.dot(F.col("normal"), V.subtract(F.col("_at"), F.col("_eye"))) > 0
+    counts = (F.col("label") > 0) & F.col("trusted") & ~F.coalesce(away, F.lit(True))
+    return staged.withColumn("faces", counts).withColumn("object_normal", Q.unrotate(F.col("_q"), F.col("normal"))).drop(
+        "_eye", "_q", "_c", "_at")
+
+
+def with_occlusion(tracks: DataFrame, frames: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds ``occluded``: behind, hidden, outside the window or facing away."""
-    hidden = P.occluded(
-        tracks.select(*POINT, "frame", "px", "py", (F.col("point_depth") * 0.99).alias("limit"), "label"), frames
+    normal = Q.rotate(F.col("object_quaternion"), F.col("object_normal"))
+    away = V.bind(normal, lambda n: V.dot(n, V.subtract(F.col("world"), F.col("camera_position")))) > 0
+    judged = P.with_hidden(
+        tracks.withColumn("limit", F.col("point_depth") * 0.99)
+        .withColumn("turned", F.coalesce(F.col("faces") & away, F.lit(False)))
+        .drop("object_quaternion", "object_normal", "world", "camera_position"), frames
     )
-    away = facing_away(tracks.where("label > 0"), objects).withColumn("_away", F.lit(True))
     w = F.col("window")
     outside = (F.col("py") < w[0]) | (F.col("px") < w[1]) | (F.col("py") > w[2]) | (F.col("px") > w[3])
-    return (
-        tracks.join(hidden, [*POINT, "frame"]).join(away, [*POINT, "frame"], "left").join(windows.select("scene", "window"), "scene")
-        .withColumn("occluded", F.col("behind") | F.col("hidden") | outside | F.coalesce("_away", F.lit(False)))
-        .drop("hidden", "_away")
-    )
+    return judged.join(windows.select("scene", "window"), "scene").withColumn(
+        "occluded", F.col("behind") | F.col("hidden") | outside | F.col("turned")).drop("hidden", "turned", "limit")
 
 
 def snap_queries(points: DataFrame, frames: DataFrame, seed: int) -> DataFrame:
     """Now and then moves a query next to a depth edge one pixel onto the surface behind.
 
-    ``points`` must carry ``surface_depth``, the depth under the query pixel.
+    ``points`` must carry ``surface_depth``, the depth under the query pixel, and
+    ``origin``, the number the draws belong to.
     """
-    origin = F.concat_ws("/", F.lit(str(seed)), F.col("scene").cast("string"), F.col("point").cast("string"))
+    origin = F.concat_ws("/", F.lit(str(seed)), F.col("scene").cast("string"), F.col("origin").cast("string"))
     shift = lambda lane: F.floor(H.draw(origin, lane) * 3).cast("int") - 1
     clamp = lambda v, top: F.greatest(F.lit(0), F.least(v, top))
     near = points.join(frames.select("scene", F.col("frame").alias("query_frame"), "depth",
@@ -169,17 +172,18 @@ def track_table(frames: DataFrame, cameras: DataFrame, objects: DataFrame, windo
     prepared = P.trusted_normals(frames)
     if snap:
         prepared = P.erode(prepared)
-    # Sampling and reprojection both read the points; fix them so that they agree.
-    points = cut_lineage(query_points(prepared, cameras, windows, tracks, stride, max_labels, max_fraction, seed))
-    tracked = occlusion(reproject(points, cameras, objects), prepared, windows, objects)
+    sampled = query_points(prepared, cameras, windows, tracks, stride, max_labels, max_fraction, seed)
+    # Padding repeats points, so it happens before they are followed through the frames.
+    points = M.pad(cut_lineage(sampled.withColumn("origin", F.col("point"))), tracks, ("scene",), "point")
     if snap:
-        shifted = snap_queries(points, prepared, seed).select(*POINT, "query_y", "query_x")
-        tracked = tracked.drop("query_y", "query_x").join(shifted, list(POINT))
+        points = snap_queries(points, prepared, seed)
+    posed = with_query_pose(points, cameras, objects).drop("normal", "trusted", "origin")
+    tracked = with_occlusion(reproject(posed, cameras, objects), prepared, windows)
     w, h_px, w_px = F.col("window"), F.col("height"), F.col("width")
     rows, cols = (F.lit(train_size[0]), F.lit(train_size[1])) if train_size else (h_px, w_px)
     # A vertical flip negates the coordinate without re-basing it.
     sign = -1.0 if flip else 1.0
-    shaped = tracked.select(
+    return tracked.select(
         *POINT, "frame", "label", F.col("query_frame").cast("double").alias("query_t"),
         ((F.col("query_y") + 0.5 - w[0]) / (w[2] - w[0]) * rows * sign).alias("query_y"),
         ((F.col("query_x") + 0.5 - w[1]) / (w[3] - w[1]) * cols).alias("query_x"),
@@ -187,7 +191,6 @@ def track_table(frames: DataFrame, cameras: DataFrame, objects: DataFrame, windo
         ((F.col("py") - w[0]) / (w[2] - w[0]) * rows * sign).alias("target_y"),
         "occluded", (F.col("point_depth") / F.col("surface_depth")).alias("relative_depth"),
     )
-    return M.pad(shaped, tracks, ("scene", "frame"), "point")
 
 
 def normalise_video(value: Column) -> Column:

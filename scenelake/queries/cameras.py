@@ -132,7 +132,7 @@ def hidden_points(spark, sf):
     at = lambda shift: F.col("e")[F.col("i") + shift].cast("double")
     points = each.select("scene", "frame", F.col("i").alias("point"), (F.abs(at(0)) * 30).alias("px"), (F.abs(at(19)) * 30).alias("py"),
                          (1.0 + F.abs(at(29)) * 10).alias("limit"), F.col("i").alias("label"))
-    return P.occluded(points, X.frames(spark, sf))
+    return P.with_hidden(points, X.frames(spark, sf)).select("scene", "frame", "point", "hidden")
 
 
 def _objects(spark, sf):
