@@ -1,2 +1,131 @@
-QUERIES = {}
-ORACLES = {}
+"""Writers, readers, streams and builders over data derived from the given tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from scenelake.operators import contacts as K
+from scenelake.plans import examples as E
+from scenelake.queries import contacts as QC
+from scenelake.queries import fixtures as X
+from scenelake.session import shared_folder
+from scenelake.sources import artifacts as A
+from scenelake.sources import logs as L
+from scenelake.sources import scenes as S
+from scenelake.streaming import journal as SJ
+from scenelake.streaming.episodes import EpisodeStream
+
+r, sr = X.rounded, X.sql_rounded
+
+
+def _fresh(spark) -> str:
+    return f"{shared_folder(spark)}/scenelake-{uuid.uuid4().hex}"
+
+
+def stored_logs(spark, sf):
+    """Contacts and states written as one generation and read back after a digest check."""
+    root = _fresh(spark)
+    L.write_generation({"contacts": X.contact_points(spark, sf), "states": X.body_states(spark, sf)}, root)
+    tables = L.read_generation(spark, root, ["contacts", "states"], verify=True)
+    rows = [tables[n].groupBy("instance_id", "branch").agg(F.count("*").alias("rows"), F.max("step").alias("last_step")).withColumn("table", F.lit(n)) for n in tables]
+    return rows[0].unionByName(rows[1])
+
+
+def streamed_episodes(spark, sf):
+    """Contact points arriving in step order, folded into episodes batch by batch."""
+    root = _fresh(spark)
+    points = K.canonicalise(X.contact_points(spark, sf).select("instance_id", "branch", "step", "object_a", "object_b", "normal_force"))
+    for part in range(3):
+        points.where((F.col("step") >= part * 80) & (F.col("step") < part * 80 + 80)).write.mode("append").parquet(f"{root}/points")
+    stream = EpisodeStream(f"{root}/stream", QC.RATE, lateness=80, force_threshold=QC.FORCE, minimum_impulse=QC.IMPULSE)
+    stream.run(spark, f"{root}/points", points.schema, files_per_batch=8)
+    stream.close(spark, stream.last_batch(spark) + 1)
+    return stream.episodes(spark).select("instance_id", "branch", "object_a", "object_b", "start_step", "end_step",
+                                         r(F.col("total_impulse")).alias("total_impulse"), "peak_force")
+
+
+def streamed_journal(spark, sf):
+    """Attempt records ingested twice with repeats, some of them conflicting."""
+    root = _fresh(spark)
+    attempts = X.table(spark, sf, "attempts").select("attempt_index", "status", "category")
+    schema = attempts.schema
+    attempts.where("attempt_index % 2 = 0").write.mode("append").json(f"{root}/records")
+    SJ.ingest(spark, f"{root}/records", schema, f"{root}/out")
+    again = attempts.withColumn("category", F.when((F.col("attempt_index") % 2 == 0) & (F.col("attempt_index") % 5 == 0), "changed").otherwise(F.col("category")))
+    again.write.mode("append").json(f"{root}/records")
+    SJ.ingest(spark, f"{root}/records", schema, f"{root}/out")
+    kept = SJ.published(spark, f"{root}/out").withColumn("sink", F.lit("published"))
+    lost = SJ.rejected(spark, f"{root}/out").withColumn("sink", F.lit("rejected"))
+    return kept.unionByName(lost).groupBy("sink", "status", "category").agg(F.count("*").alias("records"))
+
+
+def _listing(spark, sf):
+    """Files of one scene per order, of which some frames and sidecars are missing."""
+    orders = X.given(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    layers = F.explode(F.array(*[F.lit(n) for n in ("rgba", "depth", "segmentation")])).alias("layer")
+    frames = orders.select("k", layers).select("k", "layer", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("frame")).where(
+        ~((F.col("layer") == "depth") & (F.col("frame") == 2) & (F.col("k") % 7 == 0)))
+    png = frames.select(F.concat(F.lit("/m/scene_"), F.col("k").cast("string"), F.lit("/"), "layer", F.lit("_"), F.format_string("%05d", "frame"), F.lit(".png")).alias("path"), "k")
+    side = orders.select("k", F.explode(F.array(*[F.lit(s) for s in S.SIDECARS])).alias("file")).where("not (file = 'events.json' and k % 11 = 0)").select(
+        F.concat(F.lit("/m/scene_"), F.col("k").cast("string"), F.lit("/"), "file").alias("path"), "k")
+    return png.unionByName(side)
+
+
+def complete_scenes(spark, sf):
+    return S.complete_scenes(_listing(spark, sf), ("rgba", "depth", "segmentation"))
+
+
+def complete_artifacts(spark, sf):
+    orders = X.given(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    names = ["instance.json", "render.json"] + [f"{b}/{n}" for b in ("factual", "counterfactual") for n in ("video.mp4", "graph.json")]
+    files = orders.select("k", F.explode(F.array(*[F.lit(n) for n in names])).alias("path")).where("not (path = 'render.json' and k % 13 = 0)").select(
+        F.concat(F.lit("instance_"), F.col("k").cast("string")).alias("artifact"), "path", F.when((F.col("path") == "factual/video.mp4") & (F.col("k") % 5 == 0), 0).otherwise(10).alias("size"))
+    return A.complete_artifacts(files, ("factual", "counterfactual"), ("video.mp4", "graph.json"), ("instance.json", "render.json"))
+
+
+def generation_digests(spark, sf):
+    """Digest of every user's events taken as the files of an artifact."""
+    files = X.given(spark, sf, "orders").select((F.col("o_custkey")).alias("artifact"), F.format_string("%012d", "o_orderkey").alias("path"),
+                                                F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"), F.lit(1).alias("size"))
+    return A.generation_digests(files).select("artifact", "generation", "files")
+
+
+def scene_examples(spark, sf):
+    """A user function that turns each scene into one or two examples, written by split."""
+    scenes = X.table(spark, sf, "frame_rows").groupBy("scene").agg(F.count("*").alias("frames"), F.sum("tag").alias("tags"))
+
+    def generate(row: dict) -> dict:
+        first = {"frames": int(row["frames"]), "tags": int(row["tags"])}
+        return {"train": [first, {**first, "frames": 0}]} if row["scene"] % 3 else {"test": first}
+
+    path = _fresh(spark)
+    E.write_by_split(E.map_scenes(scenes, generate, "frames BIGINT, tags BIGINT", ("train", "test")), path)
+    return spark.read.parquet(path).select("split", "key", "frames", "tags")
+
+
+def view_examples(spark, sf):
+    boxes = X.table(spark, sf, "frame_rows").select("scene", "frame", F.concat(F.lit("a_"), F.col("tag").cast("string")).alias("asset_id"), F.lit(0.26).alias("y_min"), F.lit(0.13).alias("x_min"),
+                                                     F.lit(0.7).alias("y_max"), F.lit(0.6).alias("x_max"))
+    return E.view_examples(X.frames(spark, sf), boxes, size=8)
+
+
+QUERIES = {f.__name__: f for f in (
+    stored_logs, streamed_episodes, streamed_journal, complete_scenes, complete_artifacts, generation_digests, scene_examples, view_examples,
+)}
+
+ORACLES = {
+    "stored_logs": X.oracle("contacts states", """SELECT instance_id, branch, count(*) AS rows, max(step) AS last_step, 'contacts' AS "table" FROM contacts GROUP BY ALL
+        UNION ALL SELECT instance_id, branch, count(*), max(step), 'states' FROM states GROUP BY ALL"""),
+    "streamed_episodes": QC.ORACLES["contact_episodes"],
+    "streamed_journal": X.oracle("attempts", """a AS (SELECT 'published' AS sink, status, category FROM attempts
+        UNION ALL SELECT 'rejected', status, 'changed' FROM attempts WHERE attempt_index % 10 = 0) SELECT sink, status, category, count(*) AS records FROM a GROUP BY ALL"""),
+    "complete_scenes": "SELECT 'scene_' || o_orderkey AS scene, 3::BIGINT AS frames FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0",
+    "complete_artifacts": "SELECT 'instance_' || o_orderkey AS artifact FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 5 <> 0",
+    "generation_digests": "SELECT o_custkey AS artifact, sha256(string_agg(sha256(o_orderkey::VARCHAR), '' ORDER BY o_orderkey)) AS generation, count(*) AS files FROM orders GROUP BY ALL",
+    "scene_examples": X.oracle("frame_rows", """s AS (SELECT scene, count(*) AS n, CAST(sum(tag) AS BIGINT) AS t FROM frame_rows GROUP BY ALL)
+        SELECT CASE WHEN scene % 3 = 0 THEN 'test' ELSE 'train' END AS split, scene || '_0' AS key, n AS frames, t AS tags FROM s UNION ALL SELECT 'train', scene || '_1', 0, t FROM s WHERE scene % 3 <> 0"""),
+    "view_examples": X.oracle("frame_rows", f"""{X.PIXELS} SELECT p.scene || '_' || printf('%05d', p.frame) AS key, 'a/' || tag AS asset_id, y - 2 AS y, x - 1 AS x, segmentation
+        FROM pixels p JOIN frame_rows f ON f.scene = p.scene AND f.frame = p.frame WHERE y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 4"""),
+}

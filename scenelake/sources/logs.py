@@ -27,7 +27,7 @@ def table_digest(df: DataFrame) -> str:
     row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(20,0)")
     part = df.agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"),
                   F.bit_xor(F.xxhash64(F.lit(1), *[F.col(c) for c in sorted(df.columns)])).alias("x"))
-    text = F.sha2(F.concat_ws("/", F.lit(df.schema.simpleString()), *[F.col(c).cast("string") for c in ("n", "s", "x")]), 256)
+    text = F.sha2(F.concat_ws("/", F.lit(",".join(sorted(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields))), *[F.col(c).cast("string") for c in ("n", "s", "x")]), 256)
     return part.select(text.alias("digest")).first()["digest"]
 
 
