@@ -87,12 +87,12 @@ def contact_steps(contacts: DataFrame, step_rate: float,
     """Force-weighted aggregate of all contact points of a pair at a step."""
     force = F.col("normal_force")
     group = [*keys, "step", *PAIR]
-    measures = [F.sum(force).alias("normal_force")]
+    measures = [F.sum(force).alias("normal_force"), F.count("*").alias("_n")]
     geometry = [c for c in ("position", "normal") if c in contacts.columns]
     for name in geometry:
         for axis in range(3):
             lane = F.col(name)[axis]
-            measures += [F.sum(force * lane).alias(f"_w_{name}_{axis}"), F.avg(lane).alias(f"_m_{name}_{axis}")]
+            measures += [F.sum(force * lane).alias(f"_w_{name}_{axis}"), F.sum(lane).alias(f"_s_{name}_{axis}")]
     grouped = contacts.groupBy(*group).agg(*measures)
     whole = F.when(V.is_finite(force), force).otherwise(
         F.raise_error(F.lit("aggregated normal force must be finite"))
@@ -100,7 +100,7 @@ def contact_steps(contacts: DataFrame, step_rate: float,
     result = grouped.withColumn("normal_force", whole).withColumn("impulse", force / F.lit(float(step_rate)))
     for name in geometry:
         mean = F.array(*[
-            F.when(force == 0.0, F.col(f"_m_{name}_{i}")).otherwise(F.col(f"_w_{name}_{i}") / force)
+            F.when(force == 0.0, F.col(f"_s_{name}_{i}") / F.col("_n")).otherwise(F.col(f"_w_{name}_{i}") / force)
             for i in range(3)
         ])
         result = result.withColumn(name, mean)

@@ -19,58 +19,68 @@ def _every(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _cells(df: DataFrame, lower: str, upper: str, cell: float) -> DataFrame:
-    """One row per X cell that a box touches."""
-    index = lambda name: F.floor(F.col(name)[0] / cell).cast("bigint")
-    return df.withColumn("_cell", F.explode(F.sequence(index(lower), index(upper))))
+def _tiled(df: DataFrame, lower: Column, upper: Column, cell: float) -> DataFrame:
+    """One row per cell of a cubic grid that a box touches, with its lowest cell as ``_base``."""
+    index = lambda corner, i: F.floor(corner[i] / cell).cast("bigint")
+    tiled = df.withColumn("_base", F.array(*[index(lower, i) for i in range(3)]))
+    for i, axis in enumerate("xyz"):
+        tiled = tiled.withColumn(f"_{axis}", F.explode(F.sequence(F.col("_base")[i], index(upper, i))))
+    return tiled
+
+
+def _meeting(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tiled boxes of the same key that share a cell, each pair from its first shared cell only.
+
+    Columns of the two sides must differ, except keys and tiles.
+    """
+    cells = ["_x", "_y", "_z"]
+    joined = left.withColumnRenamed("_base", "_base_l").join(right.withColumnRenamed("_base", "_base_r"), [*keys, *cells])
+    first = _every([F.col(c) == F.greatest(F.col("_base_l")[i], F.col("_base_r")[i]) for i, c in enumerate(cells)])
+    return joined.where(first).drop(*cells, "_base_l", "_base_r")
 
 
 def overlaps(boxes: DataFrame, cell: float) -> DataFrame:
     """Pairs of boxes of an instance that strictly overlap.
 
-    ``boxes`` holds instance_id, object_id, position and extent. Boxes meet through a
-    sweep over cells of width ``cell`` along X, so candidates are neighbours in space
-    and not all pairs of an instance; a pair is reported from the first cell it shares.
+    ``boxes`` holds instance_id, object_id, position and extent. Boxes meet in the cells
+    of a grid of width ``cell``, so candidates are neighbours in space and not all pairs
+    of an instance; ``cell`` near the typical box width is best.
     """
-    bounded = boxes.select(
-        "instance_id", "object_id", "position", "extent",
-        V.subtract(F.col("position"), F.col("extent")).alias("_lower"),
-        V.add(F.col("position"), F.col("extent")).alias("_upper"),
+    tiled = _tiled(
+        boxes.select("instance_id", "object_id", "position", "extent"),
+        V.subtract(F.col("position"), F.col("extent")), V.add(F.col("position"), F.col("extent")), cell,
     )
-    tiled = _cells(bounded, "_lower", "_upper", cell)
-    a, b = tiled.alias("a"), tiled.alias("b")
+    side = lambda s: tiled.select("instance_id", "_base", "_x", "_y", "_z", *[
+        F.col(c).alias(f"{c}_{s}") for c in ("object_id", "position", "extent")])
     strict = _every([
-        F.abs(F.col("a.position")[i] - F.col("b.position")[i]) < F.col("a.extent")[i] + F.col("b.extent")[i]
-        for i in range(3)
+        F.abs(F.col("position_a")[i] - F.col("position_b")[i]) < F.col("extent_a")[i] + F.col("extent_b")[i] for i in range(3)
     ])
-    first = F.floor(F.greatest(F.col("a._lower")[0], F.col("b._lower")[0]) / cell).cast("bigint")
-    return a.join(
-        b,
-        (F.col("a.instance_id") == F.col("b.instance_id")) & (F.col("a._cell") == F.col("b._cell"))
-        & (F.col("a.object_id") < F.col("b.object_id")) & strict & (F.col("a._cell") == first),
-    ).select(
-        F.col("a.instance_id").alias("instance_id"),
-        F.col("a.object_id").alias("object_a"), F.col("b.object_id").alias("object_b"),
+    pairs = _meeting(side("a"), side("b"), ["instance_id"])
+    return pairs.where((F.col("object_id_a") < F.col("object_id_b")) & strict).select(
+        "instance_id", F.col("object_id_a").alias("object_a"), F.col("object_id_b").alias("object_b")
     )
 
 
-def static_clips(states: DataFrame, targets: DataFrame, obstacles: DataFrame, epsilon: float = 1e-9) -> DataFrame:
+def static_clips(states: DataFrame, targets: DataFrame, obstacles: DataFrame, epsilon: float = 1e-9,
+                 cell: float = 1.0) -> DataFrame:
     """Steps at which the target's rotated box sinks into a static obstacle on all axes.
 
-    ``obstacles`` holds instance_id, object_id, position, extent, clip_exempt.
+    ``obstacles`` holds instance_id, object_id, position, extent, clip_exempt. Poses and
+    obstacles meet in grid cells of width ``cell``.
     """
     target = states.join(targets, "instance_id").where(F.col("object_id") == F.col("target_id")).select(
         "instance_id", "branch", "step", F.col("position").alias("_p"),
         S.rotated_extents(F.col("shape"), F.col("size"), F.col("quaternion")).alias("_e"),
     )
-    solid = obstacles.where(~F.coalesce(F.col("clip_exempt"), F.lit(False)))
+    moving = _tiled(target, V.subtract(F.col("_p"), F.col("_e")), V.add(F.col("_p"), F.col("_e")), cell)
+    solid = obstacles.where(~F.coalesce(F.col("clip_exempt"), F.lit(False))).select(
+        "instance_id", F.col("object_id").alias("obstacle_id"), "position", "extent")
+    fixed = _tiled(solid, V.subtract(F.col("position"), F.col("extent")), V.add(F.col("position"), F.col("extent")), cell)
     deep = _every([
         F.col("_e")[i] + F.col("extent")[i] - F.abs(F.col("_p")[i] - F.col("position")[i]) > epsilon
         for i in range(3)
     ])
-    return target.join(solid, "instance_id").where(deep).select(
-        "instance_id", "branch", "step", F.col("object_id").alias("obstacle_id")
-    )
+    return _meeting(moving, fixed, ["instance_id"]).where(deep).select("instance_id", "branch", "step", "obstacle_id")
 
 
 def out_of_bounds(states: DataFrame, targets: DataFrame, bounds: DataFrame, epsilon: float = 1e-9) -> DataFrame:
@@ -106,21 +116,28 @@ def segment_hits_box(start: Column, end: Column, lower: Column, upper: Column, c
 
 
 def swept_hits(paths: DataFrame, boxes: DataFrame, clearance: float = 0.0, closed: bool = True,
-               keys: Sequence[str] = ("instance_id",), block: int = ordered.BLOCK) -> DataFrame:
-    """Path segments that meet a box widened by ``clearance``."""
-    segments = ordered.with_neighbour(paths, keys, "step", {"position": "_end"}, ahead=True, block=block).where(
-        F.col("_end").isNotNull()
-    )
+               keys: Sequence[str] = ("instance_id",), block: int = ordered.BLOCK, cell: float = 1.0) -> DataFrame:
+    """Path segments that meet a box widened by ``clearance``.
+
+    Segments and boxes meet in the grid cells their bounds touch.
+    """
+    segments = ordered.with_neighbour(
+        paths.select(*keys, "step", "position"), keys, "step", {"position": "_end"}, ahead=True, block=block
+    ).where(F.col("_end").isNotNull())
+    span = lambda pick: F.array(*[pick(F.col("position")[i], F.col("_end")[i]) for i in range(3)])
     low = F.array(*[F.col("lower")[i] - clearance for i in range(3)])
     high = F.array(*[F.col("upper")[i] + clearance for i in range(3)])
-    hit = segment_hits_box(F.col("position"), F.col("_end"), F.col("_low"), F.col("_high"), closed)
     widened = boxes.select(*keys, F.col("object_id").alias("obstacle_id"), low.alias("_low"), high.alias("_high"))
-    return segments.join(widened, list(keys)).where(hit).select(*keys, "step", "obstacle_id")
+    hit = segment_hits_box(F.col("position"), F.col("_end"), F.col("_low"), F.col("_high"), closed)
+    pairs = _meeting(
+        _tiled(segments, span(F.least), span(F.greatest), cell), _tiled(widened, F.col("_low"), F.col("_high"), cell), keys
+    )
+    return pairs.where(hit).select(*keys, "step", "obstacle_id")
 
 
 def path_violations(paths: DataFrame, bounds: DataFrame | None = None, boxes: DataFrame | None = None,
                     clearance: float = 0.0, keys: Sequence[str] = ("instance_id",),
-                    block: int = ordered.BLOCK) -> DataFrame:
+                    block: int = ordered.BLOCK, cell: float = 1.0) -> DataFrame:
     """Rule codes broken by each path; an absent path row means the path is valid."""
     tolerance = 1e-6
     found = []
@@ -138,12 +155,16 @@ def path_violations(paths: DataFrame, bounds: DataFrame | None = None, boxes: Da
         ])
         found.append(code(paths.join(bounds, list(keys)).where(outside), "outside_bounds"))
     if boxes is not None:
-        found.append(code(swept_hits(paths, boxes, clearance, True, keys, block), "hits_static"))
+        found.append(code(swept_hits(paths, boxes, clearance, True, keys, block, cell), "hits_static"))
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def framing(cameras: DataFrame, targets: DataFrame, margin: float = 0.0) -> DataFrame:
-    """Whether each camera sees every target point of its instance, with a margin."""
+    """Whether each camera sees every target point of its instance, with a margin.
+
+    Every camera has to be tested against every target of its instance, of which the
+    join keeps nothing: verdicts are folded before the shuffle.
+    """
     inside = C.frames_point(
         F.col("target"), F.col("position"), F.col("look_at"), F.col("focal_length"),
         F.col("sensor_width"), F.col("aspect"), F.lit(float(margin)),

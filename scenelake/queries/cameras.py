@@ -13,6 +13,7 @@ from scenelake.functions import vectors as V
 from scenelake.operators import pixels as P
 from scenelake.operators import sampling as M
 from scenelake.operators import spatial as S
+from scenelake.plans import annotations as N
 from scenelake.plans import tracks as T
 from scenelake.queries import fixtures as X
 
@@ -205,18 +206,27 @@ def scene_boundaries(spark, sf):
 
 
 def scene_metadata(spark, sf):
-    """Image positions of every object, in order, per scene and object."""
-    shown = _objects(spark, sf).withColumnRenamed("position", "place").withColumnRenamed("quaternion", "turn").join(_views(spark, sf), ["scene", "frame"]).withColumn("lens", _lens())
-    image = C.project(F.col("place"), F.col("position"), F.col("quaternion"), F.col("lens"))
-    return shown.withColumn("image", image).groupBy("scene", "object_index").agg(
-        (F.max("frame") - F.min("frame") + 1).alias("num_frames"), F.count_if(F.col("image")[2] > 0).alias("in_front"),
-        r(F.max(F.col("place")[2]), 5).alias("top"))
+    """Frames, visibility side and height of every object over its scene."""
+    poses = _objects(spark, sf)
+    listed = poses.select("scene", "object_index").distinct().select("*", F.array(V.vector(-0.5, -0.5, -0.5), V.vector(0.5, 0.5, 0.5)).alias("bounds"), V.vector(1.0, 0.8, 0.6).alias("scale"))
+    shown = N.instance_frames(poses.drop("corners"), _views(spark, sf), listed)
+    return shown.groupBy("scene", "object_index").agg(
+        (F.max("frame") - F.min("frame") + 1).alias("num_frames"), F.count_if("in_front").alias("in_front"),
+        r(F.max(F.col("position")[2]), 5).alias("top"))
+
+
+def shrunk_layers(spark, sf):
+    """Two layers of every frame at half size: one averaged, one picked."""
+    label = X.frames(spark, sf).select("scene", "frame", "height", "width", F.lit(1).alias("channels"), F.col("segmentation").alias("values"))
+    both = label.withColumn("layer", F.explode(F.array(F.lit("rgba"), F.lit("segmentation"))))
+    small = N.layers_at(both, 4).select("scene", "layer", "frame", F.posexplode("values").alias("at", "value"))
+    return small.groupBy("scene", "layer", "frame").agg(F.count("*").alias("pixel_count"), F.sum(F.col("value") * (F.col("at") + 1)).alias("weighted"))
 
 
 QUERIES = {f.__name__: f for f in (
     projected_points, unprojected_points, look_at_views, euler_rotations, shape_measures, oriented_boxes, box_overlaps, static_clips, out_of_bounds_steps,
     swept_hits, camera_framing, coarse_framing, hidden_points, box_local_points, grid_samples, sample_quotas, crop_windows, point_tracks, snapped_tracks,
-    padded_points, scene_boundaries, scene_metadata,
+    padded_points, scene_boundaries, scene_metadata, shrunk_layers,
 )}
 
 
@@ -338,4 +348,7 @@ ORACLES = {
     "scene_metadata": X.oracle("frame_rows", f"""{VIEWS}, {OBJECTS}, l AS (SELECT scene, frame, o, z, {_turn(['x - cx', 'y - cy', 'z - cz'], 'v', True)[2]} AS lz FROM
         (SELECT p.scene, p.frame, o, x, y, z, cx, cy, cz, v.qw AS vw, v.qx AS vx, v.qy AS vy, v.qz AS vz FROM posed p JOIN views v USING (scene, frame)) t)
         SELECT scene, CAST(o AS INT) AS object_index, max(frame) - min(frame) + 1 AS num_frames, count(*) FILTER (lz < 0) AS in_front, {sr('max(z)', 5)} AS top FROM l GROUP BY ALL"""),
+    "shrunk_layers": X.oracle("frame_rows", f"""{X.PIXELS}, s AS (SELECT scene, 'segmentation' AS layer, frame, y // 2 AS y, x // 2 AS x, segmentation AS v FROM pixels WHERE y % 2 = 0 AND x % 2 = 0
+        UNION ALL SELECT scene, 'rgba', frame, y // 2, x // 2, CAST(round_even(avg(segmentation), 0) AS INT) FROM pixels GROUP BY scene, frame, y // 2, x // 2)
+        SELECT scene, layer, frame, count(*) AS pixel_count, CAST(sum(v * (y * 4 + x + 1)) AS BIGINT) AS weighted FROM s GROUP BY ALL"""),
 }
