@@ -116,8 +116,21 @@ def _marked(edges: DataFrame, delta: DataFrame) -> DataFrame:
     )
 
 
+def causal_arcs(edges: DataFrame, delta: DataFrame, targets: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
+    """Both directions of every usable edge, marked as trigger where the edge changed.
+
+    Edges touching an excluded node are unusable; the target itself is never excluded.
+    The result is written once, for every sweep to share.
+    """
+    active = _marked(edges, delta).join(targets.select("instance_id", "target_id"), "instance_id")
+    if excluded:
+        outside = lambda side: ~F.col(side).isin(*excluded) | (F.col(side) == F.col("target_id"))
+        active = active.where(outside("object_a") & outside("object_b"))
+    return cut_lineage(_directed(active.drop("target_id"), ()))
+
+
 def hard_affected(edges: DataFrame, delta: DataFrame, targets: DataFrame,
-                  excluded: Sequence[str] = ()) -> DataFrame:
+                  excluded: Sequence[str] = (), arcs: DataFrame | None = None) -> DataFrame:
     """Nodes on a time-respecting walk from the target that uses a changed edge.
 
     ``edges`` is the union of both branches, ``targets`` holds instance_id, target_id and
@@ -125,15 +138,9 @@ def hard_affected(edges: DataFrame, delta: DataFrame, targets: DataFrame,
     ``max(t, start)`` and needs that to be before the exclusive end. The changed edge may
     come before or after the node on the walk, hence two sweeps: the earliest arrival
     forward with and without a trigger, and the latest arrival from which a trigger can
-    still be used backward.
+    still be used backward. ``arcs`` may pass on the result of :func:`causal_arcs`.
     """
-    active = _marked(edges, delta).join(targets.select("instance_id"), "instance_id", "left_semi")
-    # The target itself is never excluded.
-    if excluded:
-        named = targets.select("instance_id", "target_id")
-        outside = lambda side: ~F.col(side).isin(*excluded) | (F.col(side) == F.col("target_id"))
-        active = active.join(named, "instance_id").where(outside("object_a") & outside("object_b")).drop("target_id")
-    arcs = cut_lineage(_directed(active, ()))
+    arcs = causal_arcs(edges, delta, targets, excluded) if arcs is None else arcs
 
     def forward(frontier: DataFrame) -> DataFrame:
         step = frontier.join(arcs, ["instance_id", "node"])
@@ -168,7 +175,7 @@ def hard_affected(edges: DataFrame, delta: DataFrame, targets: DataFrame,
 
 
 def witness_paths(edges: DataFrame, delta: DataFrame, targets: DataFrame, candidates: DataFrame,
-                  excluded: Sequence[str] = ()) -> DataFrame:
+                  excluded: Sequence[str] = (), arcs: DataFrame | None = None) -> DataFrame:
     """The minimal proof (arrival, hops, path) of each candidate, cut at its first visit.
 
     Search labels live in a DataFrame keyed by (instance, candidate, node, seen,
@@ -176,13 +183,7 @@ def witness_paths(edges: DataFrame, delta: DataFrame, targets: DataFrame, candid
     reached no later with fewer hops, when a same-length label is no later and no larger,
     or when the candidate already has a smaller proof.
     """
-    active = _marked(edges, delta).join(
-        targets.select("instance_id", "target_id"), "instance_id"
-    )
-    if excluded:
-        outside = lambda side: ~F.col(side).isin(*excluded) | (F.col(side) == F.col("target_id"))
-        active = active.where(outside("object_a") & outside("object_b"))
-    arcs = cut_lineage(_directed(active.drop("target_id"), ()))
+    arcs = causal_arcs(edges, delta, targets, excluded) if arcs is None else arcs
     state = ("instance_id", "candidate", "node", "seen", "triggered")
     scope = ["instance_id", "candidate"]
 

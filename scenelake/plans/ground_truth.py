@@ -16,11 +16,14 @@ from scenelake.session import cut_lineage
 
 @dataclass(frozen=True)
 class GroundTruth:
-    """``delta`` (edge buckets), ``affected`` (instance_id, object_id, kind) and ``paths``."""
+    """``delta`` (edge buckets), ``affected`` (instance_id, object_id, kind) and ``paths``.
+
+    ``paths`` is None where they were not asked for.
+    """
 
     delta: DataFrame
     affected: DataFrame
-    paths: DataFrame
+    paths: DataFrame | None
 
 
 def _graphs(contacts: DataFrame, step_rate: float, force_threshold: float, minimum_impulse: float):
@@ -39,22 +42,23 @@ def _kinds(hard: DataFrame, soft: DataFrame) -> DataFrame:
 def kinematic(contacts: DataFrame, states: DataFrame, targets: DataFrame, step_rate: float,
               excluded: Sequence[str] = (), force_threshold: float = 0.0, minimum_impulse: float = 0.0,
               force_tolerance: float = 1e-6, position_epsilon: float = 1e-3, velocity_epsilon: float = 1e-3,
-              quaternion_epsilon: float = 1e-3) -> GroundTruth:
+              quaternion_epsilon: float = 1e-3, with_paths: bool = True) -> GroundTruth:
     """Hard: reachable through a changed edge. Soft: diverged, not hard, not the target.
 
     Instances whose physics are identical in both branches have no delta and no
     divergence, hence no rows.
     """
     factual, counterfactual = _graphs(contacts, step_rate, force_threshold, minimum_impulse)
-    delta = G.edge_delta(factual, counterfactual, force_tolerance)
-    union = G.union_edges(factual, counterfactual)
-    hard = cut_lineage(G.hard_affected(union, delta, targets, excluded))
+    delta = cut_lineage(G.edge_delta(factual, counterfactual, force_tolerance))
+    union = G.union_edges(factual.select(*G.IDENTITY), counterfactual.select(*G.IDENTITY))
+    arcs = G.causal_arcs(union, delta, targets, excluded)
+    hard = cut_lineage(G.hard_affected(union, delta, targets, excluded, arcs))
     moved = S.diverged(
         S.branch_states(states, "factual"), S.branch_states(states, "counterfactual"), targets,
         position_epsilon, velocity_epsilon, quaternion_epsilon,
     ).select("instance_id", "object_id")
     soft = moved.join(hard, ["instance_id", "object_id"], "left_anti")
-    paths = G.witness_paths(union, delta, targets, hard, excluded)
+    paths = G.witness_paths(union, delta, targets, hard, excluded, arcs) if with_paths else None
     return GroundTruth(delta, _kinds(hard, soft), paths)
 
 

@@ -166,14 +166,14 @@ def chain_cue(spark, sf):
     return T.first_matching_edge(_delta(spark, sf), steps, ["added", "changed"], "object_0", "object_3")
 
 
-def _truth(spark, sf):
+def _truth(spark, sf, with_paths=True):
     thin = X.contact_points(spark, sf).select("instance_id", "branch", "step", "object_a", "object_b", "normal_force")
     return T.kinematic(thin, X.body_states(spark, sf), X.table(spark, sf, "targets").withColumn("start_step", F.lit(50)), RATE,
-                       ["object_6"], STRONG, IMPULSE)
+                       ["object_6"], STRONG, IMPULSE, with_paths=with_paths)
 
 
 def affected_objects(spark, sf):
-    return _truth(spark, sf).affected
+    return _truth(spark, sf, with_paths=False).affected
 
 
 def ground_truth_tags(spark, sf):
