@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from scenelake.llm import mixing, stream_dedup
+import public_tokenizers
+
+from scenelake.llm import langid, mixing, piece_codec, stream_dedup, token_counts
 from scenelake.llm.tables import table
 
 
+def op3_piece_codec(spark, sf):
+    """Every document encoded and decoded again."""
+    return piece_codec.digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_stream_dedup(spark, sf):
     """Every document with the row that stays of its equal texts."""
     return stream_dedup.deduplicated(table(spark, sf, "documents"))
@@ -16,7 +23,17 @@ def op6_source_mix(spark, sf):
     return mixing.shares(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_stream_dedup, op6_source_mix)}
+def op9_language(spark, sf):
+    """The language of every document."""
+    return langid.identified(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_token_counts(spark, sf):
+    """Token counts of every document."""
+    return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_piece_codec, op4_stream_dedup, op6_source_mix, op9_language, op10_token_counts)}
 
 ORACLES = {
     "op4_stream_dedup": """
