@@ -108,7 +108,8 @@ def deduplicated(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) ->
     # Hits: the full bytes of every row whose digest came more than once, read again where the rows lie.
     hits = seen.join(known.where("group_size > 1"), "digest", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
     read = _read(docs)
-    found = read.join(hits, read["doc_id"].eqNullSafe(hits["hit"]), "left_semi")
+    # Always by a shuffle: a broadcast of the hits would be as large as the corpus is repetitive.
+    found = read.join(hits.hint("merge"), read["doc_id"].eqNullSafe(hits["hit"]), "left_semi")
     contents = found.mapInArrow(_rows(digest, content=True), "doc_id long, digest binary, content binary, locator string")
     mixed = contents.groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low != high").select("digest")
     mixed = stored(mixed, f"{folder}/mixed")
