@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from scenelake.llm import langid, mixing, piece_codec, stream_dedup, token_counts
+from scenelake.llm import hyperminhash, langid, mixing, piece_codec, stream_dedup, token_counts
 from scenelake.llm.tables import table
 
 
@@ -18,6 +18,11 @@ def op4_stream_dedup(spark, sf):
     return stream_dedup.deduplicated(table(spark, sf, "documents"))
 
 
+def op5_near_dedup(spark, sf):
+    """Every document with its class of near duplicates."""
+    return hyperminhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op6_source_mix(spark, sf):
     """How many words of every document the mix takes."""
     return mixing.shares(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -33,7 +38,7 @@ def op10_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_piece_codec, op4_stream_dedup, op6_source_mix, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op9_language, op10_token_counts)}
 
 ORACLES = {
     "op4_stream_dedup": """
@@ -42,4 +47,20 @@ ORACLES = {
         groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM low GROUP BY text)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(low.text) AS text_sha256
         FROM low JOIN groups USING (text)""",
+    "op5_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+            FROM words),
+        items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other)
+        SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, m.component_id, sets.doc_id = m.component_id AS kept
+        FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)""",
 }
