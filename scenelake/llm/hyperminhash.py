@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.llm.shingles import fingerprints, mixed, spans
-from scenelake.llm.tables import scratch, stored
+from scenelake.llm.tables import pieces_for, scratch, stored
 
 #: Percent of the union that two sets must share.
 PERCENT = 75
@@ -37,8 +37,10 @@ BANDS = 50
 ROWS = 4
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
-#: Estimates below this are not confirmed: more than six standard deviations under the threshold.
-LOWEST = 0.55
+#: Estimates below this are not confirmed: five standard deviations under the threshold.
+LOWEST = 0.6
+#: Members of one bucket, and sets of one group, that are compared in a task at a time.
+TOGETHER = 2048
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -178,6 +180,77 @@ def confirmed(pairs: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """Confirmed links between members of a bucket that are in different components so far.
+
+    Within a bucket most members are in one component. The others, few as a rule, are sent to every part of the
+    bucket; each part is compared inside its task. What leaves it is one row per document and group of partners, not
+    one per pair, and these are confirmed where the partners' full sets are.
+    """
+    now = members.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"))
+    open_ = sizes.where("labels > 1 and n > 2").select("key", "main", F.ceil(F.col("n") / TOGETHER).alias("parts"))
+    rest = stored(now.join(open_, "key"), f"{folder}/rest")
+    ids = rest.select("doc_id").distinct()
+    sketched = rest.join(reps.join(ids, "doc_id", "left_semi"), "doc_id")
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("long")
+    here = sketched.withColumn("part", part).withColumn("sent", F.lit(False))
+    sent = sketched.where("label != main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("sent", F.lit(True))
+    groups = pieces_for(ids.count(), TOGETHER // 8)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        get = {n: table.column(n).to_numpy() for n in ("doc_id", "label", "main", "sent", "n_shingles")}
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(table.num_rows, BUCKETS)
+        own = np.unpackbits(np.frombuffer(b"".join(table.column("own").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1), axis=1).astype(bool)
+        keys, key = band_keys(sketch), table.column("key")[0].as_py()
+        local = np.flatnonzero(~get["sent"])
+        group = mixed(get["doc_id"].astype(np.uint64)) % np.uint64(groups)
+        rows: list[tuple[int, int, bytes]] = []
+        for at in np.flatnonzero(get["sent"]):
+            with_ = local[(get["label"][local] != get["label"][at]) & ((get["label"][local] == get["main"][local]) | (get["doc_id"][local] > get["doc_id"][at]))]
+            if not len(with_):
+                continue
+            same = keys[with_] == keys[at]
+            # A pair that meets in several bands is compared in the first of them.
+            with_ = with_[keys[at].view(np.int64)[same.argmax(axis=1)] == key]
+            n = get["n_shingles"]
+            with_ = with_[100 * np.minimum(n[with_], n[at]) >= PERCENT * np.maximum(n[with_], n[at])]
+            value = estimated(sketch[with_], sketch[at], own[with_], own[at], n[with_], np.full(len(with_), n[at]))
+            with_ = with_[value >= LOWEST]
+            for number in np.unique(group[with_]):
+                rows.append((int(get["doc_id"][at]), int(number), get["doc_id"][with_[group[with_] == number]].tobytes()))
+        return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "group": pa.array([r[1] for r in rows], pa.int64()), "partners": pa.array([r[2] for r in rows], pa.binary())})
+
+    columns = ["key", "part", "sent", "doc_id", "label", "main", "n_shingles", "sketch", "own"]
+    likely = here.select(columns).unionByName(sent.select(columns)).groupBy("key", "part").applyInArrow(compare, "a long, group long, partners binary")
+    likely = stored(likely, f"{folder}/likely")
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = mixed(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(groups)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number.astype(np.int64))], ["b", "content", "group"])
+
+    def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = {i: np.frombuffer(c.as_buffer(), dtype=np.uint64) for i, c in zip(left.column("b").to_pylist(), left.column("content"), strict=True)}
+        found: list[tuple[int, int]] = []
+        for a, content, partners in zip(right.column("a").to_pylist(), right.column("content_a"), right.column("partners"), strict=True):
+            x = np.frombuffer(content.as_buffer(), dtype=np.uint64)
+            for b in np.frombuffer(partners.as_buffer(), dtype=np.int64).tolist():
+                both = len(np.intersect1d(x, sets[b], assume_unique=True))
+                if 100 * both >= PERCENT * (len(x) + len(sets[b]) - both):
+                    found.append((a, b))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    needed = texts.join(ids.hint("merge").withColumnRenamed("doc_id", "wanted"), F.col("doc_id") == F.col("wanted"), "left_semi")
+    sets = stored(_sets(needed).groupBy("doc_id").agg(F.max("content").alias("content")), f"{folder}/sets")
+    asked = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("content").alias("content_a")), "a")
+    there = sets.mapInArrow(grouped, "b long, content binary, group long")
+    return there.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(confirm, "a long, b long")
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(doc_id, label) of every document in an edge: the smallest id that it is connected with.
 
@@ -211,21 +284,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("key", "head")
     members = stored(buckets.join(shared, "key"), f"{folder}/members")
 
-    edges, labels, compared = None, None, None
-    for turn in ("heads", "others"):
-        if turn == "heads":
-            pairs = members.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-        else:
-            now = members.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-            open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2").select("key")
-            rest = stored(now.join(open_, "key"), f"{folder}/rest")
-            other = rest.select("key", F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
-            pairs = rest.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and label != label_b").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"{folder}/{turn}/pairs")
-        likely = stored(_likely(pairs, reps), f"{folder}/{turn}/likely")
-        found = stored(confirmed(likely, docs, f"{folder}/{turn}"), f"{folder}/{turn}/edges")
-        edges, compared = (found, pairs) if edges is None else (edges.unionByName(found), pairs)
-        labels = components(edges, f"{folder}/{turn}/components")
+    pairs = stored(members.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), f"{folder}/pairs")
+    likely = stored(_likely(pairs, reps), f"{folder}/likely")
+    edges = stored(confirmed(likely, docs, f"{folder}/heads"), f"{folder}/heads/edges")
+    labels = components(edges, f"{folder}/heads/components")
+    more = stored(_across(members, labels, reps, docs, f"{folder}/across"), f"{folder}/across/edges")
+    labels = components(edges.unionByName(more), f"{folder}/components")
 
     linked = classes.join(labels, classes["rep"] == labels["doc_id"], "left").select("digest", F.coalesce("label", "rep").alias("component"))
     rows = known.select("doc_id", "n_shingles", "digest").join(linked.hint("merge"), "digest", "left")
