@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from scenelake.llm import hyperminhash, langid, mixing, piece_codec, stream_dedup, token_counts
+from scenelake.llm import hyperminhash, langid, mixing, piece_codec, stream_dedup, suffix_dedup, token_counts
 from scenelake.llm.tables import table
 
 
+def op1_suffix_dedup(spark, sf):
+    """What every document keeps when strings that an earlier one has are removed."""
+    return suffix_dedup.repeated_strings(table(spark, sf, "documents")).drop("spans")
+
+
 def op3_piece_codec(spark, sf):
     """Every document encoded and decoded again."""
     return piece_codec.digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -38,9 +43,24 @@ def op10_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op9_language, op10_token_counts)}
 
 ORACLES = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+        s AS (SELECT doc_id, p, substring(h, (2 * p + 1)::BIGINT, 100) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+        f AS (SELECT x, min(doc_id) AS m FROM s GROUP BY x),
+        hit AS (SELECT s.doc_id, s.p FROM s JOIN f USING (x) WHERE f.m < s.doc_id),
+        new AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS n FROM hit),
+        run AS (SELECT doc_id, p, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM new),
+        gone AS (SELECT doc_id, r, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, r),
+        before AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM gone),
+        kept AS (
+            SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+                   string_agg(substring(h, (2 * c + 1)::BIGINT, (2 * (a - c))::BIGINT), '' ORDER BY a) || substring(any_value(h), (2 * max(b) + 1)::BIGINT) AS k
+            FROM before JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op4_stream_dedup": """
         WITH low AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
