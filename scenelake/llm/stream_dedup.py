@@ -28,6 +28,8 @@ from scenelake.llm.tables import scratch, stored
 ARRIVAL = "doc_id long, digest binary, text_sha binary, locator string"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores: no blocks of 4 MB reserved for each one's logs.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
