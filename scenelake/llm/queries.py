@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from scenelake.llm import hyperminhash, langid, mixing, piece_codec, stream_dedup, suffix_dedup, token_counts
+from scenelake.llm import forest, hyperminhash, langid, mixing, piece_codec, stream_dedup, suffix_dedup, token_counts
 from scenelake.llm.tables import table
 
 
@@ -13,6 +13,11 @@ def op1_suffix_dedup(spark, sf):
     return suffix_dedup.repeated_strings(table(spark, sf, "documents")).drop("spans")
 
 
+def op2_forest(spark, sf):
+    """The ten nearest vectors found for every hundredth one."""
+    return forest.neighbours(table(spark, sf, "embeddings"))
+
+
 def op3_piece_codec(spark, sf):
     """Every document encoded and decoded again."""
     return piece_codec.digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -43,7 +48,7 @@ def op10_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_forest, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op9_language, op10_token_counts)}
 
 ORACLES = {
     "op1_suffix_dedup": """
