@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from scenelake.llm import forest, hyperminhash, langid, mixing, piece_codec, stream_dedup, suffix_dedup, token_counts
+from scenelake.llm import forest, hyperminhash, langid, mixing, piece_codec, stream_dedup, suffix_dedup, token_counts, url_filter
 from scenelake.llm.tables import table
 
 
@@ -38,6 +38,11 @@ def op6_source_mix(spark, sf):
     return mixing.shares(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_url_filter(spark, sf):
+    """The verdict on every page's url."""
+    return url_filter.judged(table(spark, sf, "pages"))
+
+
 def op9_language(spark, sf):
     """The language of every document."""
     return langid.identified(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -48,7 +53,7 @@ def op10_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_forest, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_forest, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op7_url_filter, op9_language, op10_token_counts)}
 
 ORACLES = {
     "op1_suffix_dedup": """
