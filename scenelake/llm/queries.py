@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from scenelake.llm import forest, hyperminhash, langid, mixing, piece_codec, stream_dedup, suffix_dedup, token_counts, url_filter
+from scenelake.llm import forest, hyperminhash, langid, mixing, piece_codec, stream_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from scenelake.llm.tables import table
 
 
@@ -43,6 +43,11 @@ def op7_url_filter(spark, sf):
     return url_filter.judged(table(spark, sf, "pages"))
 
 
+def op8_toxicity(spark, sf):
+    """How toxic every document is."""
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op9_language(spark, sf):
     """The language of every document."""
     return langid.identified(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -53,7 +58,7 @@ def op10_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_forest, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op7_url_filter, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_forest, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op7_url_filter, op8_toxicity, op9_language, op10_token_counts)}
 
 ORACLES = {
     "op1_suffix_dedup": """
