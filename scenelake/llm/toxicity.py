@@ -3,11 +3,12 @@
 A disguised stretch (digits or symbols among letters, letters drawn out, letters set apart) becomes a lattice: a
 symbol may stand for letters or for nothing, a drawn-out letter may be written once or twice, a separator may be a
 space or nothing. Viterbi search finds the likeliest reading under a character trigram model counted over all
-documents. Words of the restored text and their first letters are features; those that go with the label beyond
-chance carry their log-odds, and the score is the logistic of their sum.
+documents. Words of the restored text and their first letters are features. Of those that go with the label beyond
+chance, each is kept that still tells toxic from other texts among the texts without the stronger ones; what copied
+texts merely share with an insult drops out. The score is the chance that at least one feature found is right.
 
-Defined results: null and empty texts are scored by the share of toxic labels alone; without any label of both
-kinds every score is 0.5 or that share; texts of any length are read whole; repeated rows are scored each; several
+Defined results: null and empty texts are scored by the share of toxic labels alone; without labels of both kinds
+every score is that share, or 0.5 without any; texts of any length are read whole; repeated rows are scored each; several
 labels of one document count each; an empty table gives no rows; a null doc_id is held out; lang, source and other
 columns are not read.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.llm.shingles import spans
-from scenelake.llm.tables import remainder
+from scenelake.llm.tables import remainder, scratch, stored
 
 #: About so many labelled rows are learned from, chosen by a hash of their id.
 SAMPLE = 20_000
@@ -33,11 +34,13 @@ SAMPLE = 20_000
 SYMBOLS = 28
 #: What a symbol may stand for.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-_SWAP, _DROP, _ONCE, _JOIN = -1.0, -4.0, -0.5, -1.0
+_SWAP, _DROP, _ONCE, _JOIN, _SPACE = -1.0, -9.0, -0.5, -0.2, -2.5
 #: Restored stretches that a worker keeps, before it starts anew.
 CACHE = 100_000
-#: A feature counts if chance alone would separate the classes as well in fewer than one of some 10**7 cases.
-CHI_SQUARE = 28.0
+#: Features below this separate the classes no better than one in some thousand would by chance.
+CHI_SQUARE = 12.0
+#: Toxic texts that a feature must still find, and the share of toxic ones among what it finds.
+FOUND, PURITY = 3, 0.8
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[*range(ord("A"), ord("Z") + 1)]] = _KIND[[*range(ord("a"), ord("z") + 1)]] = np.arange(1, 27)
 _KIND[0xC3:] = 27
@@ -45,7 +48,7 @@ _LETTER = r"[^\W\d_]"
 _SIGN = "[0-9@$!|+(€£]"
 _STRETCH = re.compile(
     rf"(?<!\w){_LETTER}(?:[ .\-_*·]{_LETTER}){{3,}}(?!\w)"  # letters set apart
-    rf"|(?:{_LETTER}|{_SIGN})*(?:{_LETTER}{_SIGN}+{_LETTER}|(?<![\w]){_SIGN}{{1,2}}{_LETTER}{{2}})(?:{_LETTER}|{_SIGN})*"  # signs among letters
+    rf"|(?:{_LETTER}|{_SIGN})*(?:{_LETTER}{_SIGN}+{_LETTER}|(?<!\w){_SIGN}{{1,2}}{_LETTER}{{3}})(?:{_LETTER}|{_SIGN})*"  # signs among letters
     rf"|{_LETTER}*({_LETTER})\1\1{_LETTER}*")  # letters drawn out
 _WORDS = re.compile(rf"{_LETTER}+")
 
@@ -94,7 +97,7 @@ def restored(stretch: str, model: list[list[list[float]]]) -> str:
             if at and text[at - 1] == character and (text[at - 2 : at - 1] == character or text[at + 1 : at + 2] == character):
                 options.append(("", _ONCE))
         elif apart and at % 2:
-            options = [(" ", 0.0), ("", _JOIN)]
+            options = [(" ", _SPACE), ("", _JOIN)]
         else:
             options = [(letter, _SWAP) for letter in READINGS.get(character, "")] + [("", _DROP), (" ", _DROP)]
         grown: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -163,8 +166,29 @@ def _feature_sets(column: pa.Array, restorer: Restorer) -> Iterator[set[str]]:
             yield restorer.features(raw[offsets[i] : offsets[i + 1]].decode(), bool(hidden[i]))
 
 
+def chosen(marks: list[tuple[int, list[int]]], order: list[int]) -> tuple[float, dict[int, float]]:
+    """The chance of a text without any kept feature, and of each kept feature, to be toxic.
+
+    ``marks`` has the label and the features of each text; features are tried in ``order``.
+    """
+    where: dict[int, list[int]] = {}
+    for text, (_, features) in enumerate(marks):
+        for feature in features:
+            where.setdefault(feature, []).append(text)
+    open_, kept = [True] * len(marks), {}
+    for feature in order:
+        texts = [text for text in where.get(feature, ()) if open_[text]]
+        toxic = sum(marks[text][0] for text in texts)
+        if toxic >= FOUND and toxic >= PURITY * len(texts):
+            kept[feature] = (toxic + 0.5) / (len(texts) + 1)
+            for text in texts:
+                open_[text] = False
+    rest = [toxic for (toxic, _), free in zip(marks, open_, strict=True) if free]
+    return (sum(rest) + 0.5) / (len(rest) + 1), kept
+
+
 def learn(docs: DataFrame, labels: DataFrame, model: list[list[list[float]]], sample: int = SAMPLE) -> tuple[float, dict[str, float]]:
-    """The prior log-odds and the weights of features, from labelled rows with crc32(doc_id) mod 5 other than 0."""
+    """The chance without any feature and the chance of each feature, from labelled rows with crc32(doc_id) mod 5 other than 0."""
     spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
@@ -173,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: list[list[list[float]]], sa
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / n)))
     known = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(known.value)
         seen = (Counter(), Counter())
         for batch in batches:
@@ -185,38 +209,42 @@ def learn(docs: DataFrame, labels: DataFrame, model: list[list[list[float]]], sa
 
     # The ids are a sample of bounded size.
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marked), "doc_id").select("text", "toxic")
-    counts = rows.mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
+    folder = scratch(spark, "toxicity")
+    counts = stored(rows.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), f"{folder}/counts")
     whole = counts.where("feature = ''").first()
-    if whole is None:
-        counts.unpersist()
-        return 0.0, {}
-    d0, d1 = whole["n0"], whole["n1"]
+    d0, d1 = (whole["n0"], whole["n1"]) if whole else (0, 0)
     if not d0 or not d1:
-        counts.unpersist()
-        return math.log((d1 + 0.5) / (d0 + 0.5)), {}
+        return (d1 + 0.5) / (d0 + d1 + 1), {}
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     cross = a * (d0 - b) - b * (d1 - a)
     chi = (d0 + d1) * cross * cross / ((a + b) * (d0 + d1 - a - b) * d0 * d1)
-    weight = F.log((a + 0.5) / (d1 + 1)) - F.log((b + 0.5) / (d0 + 1))
-    strong = counts.where((F.col("feature") != "") & (a + b < d0 + d1) & (chi > CHI_SQUARE) & (F.abs(weight) > 1)).select("feature", weight.alias("weight"))
-    weights = {row["feature"]: row["weight"] for row in strong.collect()}
-    counts.unpersist()
-    return math.log(d1 / d0), weights
+    strong = counts.where((F.col("feature") != "") & (a + b < d0 + d1) & (cross > 0) & (chi > CHI_SQUARE))
+    names = [row["feature"] for row in strong.orderBy(chi.desc(), F.length("feature"), "feature").select("feature").collect()]
+    number = spark.sparkContext.broadcast({name: i for i, name in enumerate(names)})
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, of = Restorer(known.value), number.value
+        for batch in batches:
+            found = [sorted(of[f] for f in features & of.keys()) for features in _feature_sets(batch.column(0), restorer)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
+
+    marks = [(row["toxic"], row["found"]) for row in rows.mapInArrow(mark, "toxic int, found array<int>").collect()]
+    base, kept = chosen(marks, list(range(len(names))))
+    return base, {names[i]: chance for i, chance in kept.items()}
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score and predicted."""
     spark = docs.sparkSession
     model = character_model(character_counts(docs))
-    prior, weights = learn(docs, labels, model, sample)
-    known = spark.sparkContext.broadcast((model, prior, weights))
+    base, chances = learn(docs, labels, model, sample)
+    known = spark.sparkContext.broadcast((model, base, chances))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        characters, prior, weights = known.value
-        restorer, named = Restorer(characters), weights.keys()
+        characters, base, chances = known.value
+        restorer, named = Restorer(characters), chances.keys()
         for batch in batches:
-            sums = np.array([prior + sum(weights[f] for f in features & named) for features in _feature_sets(batch.column(1), restorer)])
-            score = 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
+            score = [1 - (1 - base) * math.prod(1 - chances[f] for f in sorted(features & named)) for features in _feature_sets(batch.column(1), restorer)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
