@@ -217,6 +217,17 @@ class Likelihoods(dict):
         return [self.rows[list(map(self.__getitem__, words))].sum(axis=0) if words else None for words in texts]
 
 
+def _judge(texts: pa.Array, table: Likelihoods | None, langs: list[str]) -> tuple[list[str], list[float]]:
+    names, scores = [], []
+    for part in chunks(texts):
+        words = [words_of(text) for text in part]
+        for sums in [None] * len(words) if table is None else table.of(words):
+            best = None if sums is None else int(sums.argmax())
+            names.append(UNKNOWN if best is None else langs[best])
+            scores.append(0.0 if best is None else float(1 / np.exp(sums - sums[best]).sum()))
+    return names, scores
+
+
 def predicted(docs: DataFrame, langs: list[str], probability: np.ndarray, path: str) -> DataFrame:
     """Per row: doc_id, lang_pred and score, the language's share of the likelihood with equal priors."""
     known = docs.sparkSession.sparkContext.broadcast(probability)
@@ -224,20 +235,32 @@ def predicted(docs: DataFrame, langs: list[str], probability: np.ndarray, path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Likelihoods(Pieces.at(path), known.value) if langs else None
         for batch in batches:
-            names, scores = [], []
-            for texts in chunks(batch.column(1)):
-                words = [words_of(text) for text in texts]
-                for sums in [None] * len(words) if table is None else table.of(words):
-                    best = None if sums is None else int(sums.argmax())
-                    names.append(UNKNOWN if best is None else langs[best])
-                    scores.append(0.0 if best is None else float(1 / np.exp(sums - sums[best]).sum()))
+            names, scores = _judge(batch.column(1), table, langs)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, path: str, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language is unknown or has less than ``least`` of the likelihood."""
+    langs, probability = learn(_learnable(docs), path, sample)
+    known = docs.sparkSession.sparkContext.broadcast(probability)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Likelihoods(Pieces.at(path), known.value) if langs else None
+        for batch in batches:
+            names, scores = _judge(batch.column("text"), table, langs)
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _learnable(docs: DataFrame) -> DataFrame:
+    return docs.where((remainder(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+
+
 def identified(docs: DataFrame, path: str, sample: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred and score. Rows with crc32(doc_id) mod 3 = 1 are never learned from."""
     held_out = remainder(F.col("doc_id"), 3) == 1
-    langs, probability = learn(docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), path, sample)
+    langs, probability = learn(_learnable(docs), path, sample)
     return predicted(docs, langs, probability, path).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

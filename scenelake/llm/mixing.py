@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.llm.tables import WORD, pieces_for, scratch, stored
@@ -128,6 +128,16 @@ def _block(level: int, seed: int):
     return run
 
 
+def _numbered(rows: DataFrame, size: Column) -> DataFrame:
+    """Rows with _id, which stands in for a null doc_id too, and the number of each row among those that share it."""
+    rows = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    return rows.withColumn("_occurrence", F.row_number().over(Window.partitionBy("_id").orderBy("source", size)))
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def shares(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
     """Per document: doc_id, source, occurrence, size, source_size, target, copies and taken (copies times size).
 
@@ -135,9 +145,8 @@ def shares(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, l
     """
     spark = docs.sparkSession
     folder = scratch(spark, "mixing")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    same = Window.partitionBy("doc_id").orderBy("source", "size")
-    sized = stored(sized.withColumn("occurrence", F.row_number().over(same)), f"{folder}/sized")
+    sized = _numbered(docs.select("doc_id", "source", _size().alias("size")), F.col("size"))
+    sized = stored(sized.select("doc_id", "source", "size", F.col("_occurrence").alias("occurrence")), f"{folder}/sized")
     targets = stored(source_targets(sized, weights, limit), f"{folder}/targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (sized.alias("u").join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
@@ -164,8 +173,9 @@ def shares(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, l
 
 def mixed(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
     """The mix itself: ``docs`` with every row repeated as often as it is taken."""
-    chosen = shares(docs, seed, weights, limit).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("occurrence").alias("_at"), F.col("copies").alias("_copies"))
-    same = Window.partitionBy("doc_id").orderBy("source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    rows = docs.withColumn("_occurrence", F.row_number().over(same))
-    rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["_occurrence"] == chosen["_at"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    chosen = shares(docs, seed, weights, limit).where("copies > 0")
+    chosen = chosen.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("occurrence").alias("_occurrence"), F.col("copies").alias("_copies"))
+    # The row travels as one value, so that no column of it can clash with those made here.
+    whole = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+    rows = _numbered(docs.select(whole, "doc_id", "source", _size().alias("size")), F.col("size")).join(chosen, ["_id", "_occurrence"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")
