@@ -121,7 +121,7 @@ def _block(level: int, seed: int):
         chance[chance > 1 - _CLOSE] = 1.0
         size = rows["size"].to_numpy(dtype=np.float64)
         flight(chance, size, draws)
-        if rows["blocks"][0] == 1:
+        if rows["last"][0]:
             land(chance, size, draws)
         return rows.assign(chance=chance)
 
@@ -154,18 +154,23 @@ def shares(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, l
                      F.xxhash64("u.doc_id", "u.occurrence", F.lit(seed)).alias("unit_key"), F.col("t.n_units").alias("left")))
     units = units.withColumn("certain", F.floor("ratio")).withColumn("chance", F.col("ratio") - F.col("certain")).drop("ratio")
     most = targets.agg(F.max("n_units")).first()[0] or 0
-    undecided, decided, level = units, None, 0
+    units = units.withColumn("large", F.col("left") > BLOCK)
+    held = F.col("large") & (F.pmod(F.xxhash64("unit_key", F.lit("held")), F.col("left")) < BLOCK // 2)
+    reserve, undecided, decided, level = units.where(held), units.where(~held), None, 0
     while True:
-        blocks = F.ceil(F.col("left") / BLOCK)
+        final = most <= (BLOCK if level == 0 else BLOCK // 2)
+        if final and level:
+            undecided = undecided.unionByName(reserve)
+        blocks = F.lit(1).cast("long") if final else F.ceil(F.col("left") / BLOCK)
         undecided = undecided.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit_key", F.lit(level)), F.col("blocks")))
+        undecided = undecided.withColumn("last", F.lit(True) if final else ~F.col("large"))
         flown = undecided.groupBy("source", "block").applyInPandas(_block(level, seed), undecided.schema)
         flown = stored(flown, f"{folder}/level{level}")
         closed = flown.where(F.col("chance").isin(0.0, 1.0))
         decided = closed if decided is None else decided.unionByName(closed)
-        last = most <= BLOCK
-        if last:
+        if final:
             break
-        undecided = flown.where(~F.col("chance").isin(0.0, 1.0)).drop("block", "blocks").withColumn("left", 2 * blocks)
+        undecided = flown.where(~F.col("chance").isin(0.0, 1.0)).withColumn("left", 2 * F.col("blocks")).drop("block", "blocks", "last")
         most, level = 2 * pieces_for(most, BLOCK), level + 1
     copies = (F.col("certain") + F.col("chance")).cast("long")
     return decided.select("doc_id", "source", "occurrence", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -40,9 +40,13 @@ GRAM = 16
 #: Bytes that the first buckets agree in, and the offsets at which bucket pointers refine them: 8, 16, 32, 50 bytes.
 FIRST = 8
 OFFSETS = (8, 16, 18)
-#: Bytes of text in a group of documents, and in one vectorised pass.
-GROUP = 16 << 20
+#: Bytes of text in a group of documents, ranges of anchors per group, and bytes of text in one vectorised pass.
+GROUP = 4 << 20
+RANGES = 2
 SPAN = 1 << 18
+#: Anchors listed, and bytes gathered, at a time.
+LISTED = 1 << 20
+GATHERED = 1 << 20
 _PLACE = np.uint64((1 << 40) - 1)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _POWERS = Powers(0xD1342543DE82EF95)
@@ -151,53 +155,66 @@ def _range(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def list_anchors(ranges: int):
-    """Packed documents to (part, grp, single, several): a group's anchors by range, of one document or of several."""
+    """Packed documents to (part, block): by range, the anchors of each group, and whether several documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for group, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, null, offsets, data = documents([block])
-                hashes, owners = [], []
-                for at, end in spans(ids, offsets):
-                    first, _, anchor = anchors(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
-                    owner = np.searchsorted(offsets[at : end + 1] - offsets[at], first, side="right") - 1 + at
-                    hashes.append(anchor[~null[owner]])
-                    owners.append(ids[owner[~null[owner]]])
-                anchor, owner = np.concatenate(hashes), np.concatenate(owners)
-                if not len(anchor):
-                    continue
-                order = np.argsort(anchor)
-                anchor, owner = anchor[order], owner[order]
-                at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-                several = np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
-                anchor = anchor[at]
-                part = _range(anchor, ranges)
-                cuts = np.searchsorted(part, np.arange(ranges + 1))
-                rows = [(p, packed(ascending(anchor[s][~several[s]]), ascending(anchor[s][several[s]]))) for p in np.unique(part).tolist() for s in [slice(cuts[p], cuts[p + 1])]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([group] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                                                 ["part", "grp", "block"])
+                anchor, several = _group_anchors(*documents([block]))
+                held.append((anchor, np.full(len(anchor), group), several))
+                if sum(len(h[0]) for h in held) >= LISTED:
+                    yield _by_range(held, ranges)
+                    held = []
+        if held:
+            yield _by_range(held, ranges)
 
     return run
 
 
+def _group_anchors(ids: np.ndarray, null: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors and whether several doc_ids have them."""
+    hashes, owners = [], []
+    for at, end in spans(ids, offsets):
+        first, _, anchor = anchors(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        owner = np.searchsorted(offsets[at : end + 1] - offsets[at], first, side="right") - 1 + at
+        hashes.append(anchor[~null[owner]])
+        owners.append(ids[owner[~null[owner]]])
+    anchor, owner = np.concatenate(hashes), np.concatenate(owners)
+    if not len(anchor):
+        return anchor, np.zeros(0, dtype=bool)
+    order = np.argsort(anchor)
+    anchor, owner = anchor[order], owner[order]
+    at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    return anchor[at], np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
+
+
+def _by_range(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:
+    anchor, group, several = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(anchor)
+    anchor, group, several = anchor[order], group[order], several[order]
+    cuts = np.searchsorted(_range(anchor, ranges), np.arange(ranges + 1))
+    parts = np.flatnonzero(np.diff(cuts))
+    blocks = [packed(ascending(anchor[s]), group[s].astype(np.int64), several[s].astype(np.uint8)) for p in parts for s in [slice(cuts[p], cuts[p + 1])]]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blocks, pa.binary())], ["part", "block"])
+
+
 def shared_anchors(table: pa.Table) -> pa.Table:
     """For one range of anchors: to each group those of its anchors that occur in several documents."""
-    groups, lists, several = [], [], []
-    for group, block in zip(table.column("grp").to_pylist(), table.column("block").to_pylist(), strict=True):
-        for many, part in enumerate(unpacked(block, np.uint64, np.uint64)):
-            lists.append(np.cumsum(part, dtype=np.uint64))
-            several.append(np.full(len(part), many, dtype=bool))
-            groups.append(np.full(len(part), group))
-    anchor, many, group = np.concatenate(lists), np.concatenate(several), np.concatenate(groups)
-    order = np.lexsort((group, anchor))
+    lists = [unpacked(block, np.uint64, np.int64, np.uint8) for block in table.column("block").to_pylist()]
+    anchor = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in lists])
+    group, many = np.concatenate([x[1] for x in lists]), np.concatenate([x[2] for x in lists]).astype(bool)
+    order = np.argsort(anchor)
     anchor, many, group = anchor[order], many[order], group[order]
-    at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     sizes = np.diff(at, append=len(anchor))
-    # Blocks of one group hold different documents.
-    good = np.repeat((sizes > 1) | (np.logical_or.reduceat(many, at) if len(at) else many[:0]), sizes)
+    # Entries of one anchor come from different documents, or from one that is marked.
+    good = np.repeat((sizes > 1) | np.logical_or.reduceat(many, at), sizes)
     anchor, group = anchor[good], group[good]
-    names = np.unique(group)
-    blocks = [packed(ascending(np.unique(anchor[group == name]))) for name in names]
+    order = np.lexsort((anchor, group))
+    anchor, group = anchor[order], group[order]
+    names, starts = np.unique(group, return_index=True)
+    blocks = [packed(ascending(np.unique(own))) for own in np.split(anchor, starts[1:])] if len(names) else []
     return pa.table({"grp": pa.array(names, pa.int64()), "kind": pa.array([0] * len(names), pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * len(names), pa.int64()),
                      "block": pa.array(blocks, pa.binary())})
 
@@ -253,7 +270,15 @@ def keys(data: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray
 
 def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The slices of ``data`` one after the other."""
-    return data[expanded(starts, sizes)]
+    ends = np.cumsum(sizes)
+    out = np.empty(ends[-1] if len(ends) else 0, dtype=data.dtype)
+    at = 0
+    while at < len(sizes):
+        begin = ends[at] - sizes[at]
+        to = max(at + 1, int(np.searchsorted(ends, begin + GATHERED, side="right")))
+        out[begin : ends[to - 1]] = data[expanded(starts[at:to], sizes[at:to])]
+        at = to
+    return out
 
 
 def expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -401,10 +426,11 @@ def repeated_strings(docs: DataFrame, group_bytes: int = GROUP) -> DataFrame:
     folder = scratch(docs.sparkSession, "suffixes")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     groups = pieces_for(total, group_bytes)
+    ranges = RANGES * groups
     texts = stored(pack_documents(docs, groups), f"{folder}/documents")
-    lists = texts.mapInArrow(list_anchors(groups), "part long, grp long, block binary")
+    lists = texts.mapInArrow(list_anchors(ranges), "part long, block binary")
     told = "grp long, kind int, part long, block binary"
     shared = stored(lists.groupBy("part").applyInArrow(shared_anchors, told), f"{folder}/shared")
-    strings = texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(send_strings(groups), "part long, grp long, block binary")
+    strings = texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(send_strings(ranges), "part long, grp long, block binary")
     covered = strings.groupBy("part").applyInArrow(cover, told)
-    return texts.groupBy("grp").cogroup(shared.unionByName(covered).groupBy("grp")).applyInArrow(mark(groups), RESULT)
+    return texts.groupBy("grp").cogroup(shared.unionByName(covered).groupBy("grp")).applyInArrow(mark(ranges), RESULT)
