@@ -34,7 +34,7 @@ SAMPLE = 20_000
 SYMBOLS = 28
 #: What a symbol may stand for.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-_SWAP, _DROP, _ONCE, _JOIN, _SPACE = -1.0, -9.0, -0.5, -0.2, -2.5
+_SWAP, _DROP, _ONCE, _JOIN, _SPACE = -1.0, -9.0, -0.5, -0.2, -1.5
 #: Restored stretches that a worker keeps, before it starts anew.
 CACHE = 100_000
 #: Features below this separate the classes no better than one in some thousand would by chance.
