@@ -44,6 +44,10 @@ FOUND, PURITY = 3, 0.8
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[*range(ord("A"), ord("Z") + 1)]] = _KIND[[*range(ord("a"), ord("z") + 1)]] = np.arange(1, 27)
 _KIND[0xC3:] = 27
+_LOW = np.arange(256, dtype=np.uint16)
+_LOW[ord("A") : ord("Z") + 1] += 32
+_SIGNS = np.zeros(256, dtype=bool)
+_SIGNS[[ord(sign) for sign in READINGS if ord(sign) < 128]] = True
 _LETTER = r"[^\W\d_]"
 _SIGN = "[0-9@$!|+(€£]"
 _STRETCH = re.compile(
@@ -134,36 +138,62 @@ class Restorer:
             known = self.cache[stretch] = restored(stretch, self.model)
         return known
 
+    def words(self, text: str, disguised: bool) -> set[str]:
+        return set(_WORDS.findall((_STRETCH.sub(self._one, text) if disguised else text).lower()))
+
     def features(self, text: str, disguised: bool) -> set[str]:
         """The distinct words of a text, and their first four and five letters with a mark."""
-        words = set(_WORDS.findall((_STRETCH.sub(self._one, text) if disguised else text).lower()))
+        words = self.words(text, disguised)
         return words | {word[:4] + "~" for word in words} | {word[:5] + "~" for word in words}
 
 
 def disguises(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which texts hold a drawn-out letter, a sign next to letters or letters set apart; a cheap test of bytes."""
-    kind = np.concatenate([_KIND[data], np.zeros(8, dtype=np.uint8)])
-    letter = (kind > 0) | np.concatenate([data >= 0x80, np.zeros(8, dtype=bool)])
-    low = np.concatenate([data | 0x20, np.zeros(8, dtype=np.uint8)])
-    n = len(data)
-    drawn = letter[:n] & (low[:n] == low[1 : n + 1]) & (low[:n] == low[2 : n + 2])
-    drawn |= (np.concatenate([data, np.zeros(8, dtype=np.uint8)])[:n] >= 0xC3)  & (low[:n] == low[2 : n + 2]) & (low[:n] == low[4 : n + 4])
-    sign = np.zeros(256, dtype=bool)
-    sign[[ord(c) for c in READINGS if ord(c) < 128]] = True
-    signs = sign[data] | (data == 0xE2) | (data == 0xC2)
-    meets = signs & letter[1 : n + 1]
-    single = letter & ~np.concatenate([[False], letter[:-1]]) & ~np.concatenate([letter[1:], [False]])
-    single |= np.concatenate([data, np.zeros(8, dtype=np.uint8)]) >= 0xC3
-    apart = single[:n] & (single[2 : n + 2] | single[3 : n + 3])
-    hits = np.concatenate([[0], np.cumsum(drawn | meets | apart)])
-    return hits[offsets[1:]] > hits[offsets[:-1]]
-
-
-def _feature_sets(column: pa.Array, restorer: Restorer) -> Iterator[set[str]]:
+    """Which texts may hold a letter three times, a sign before a letter or four letters set apart; a cheap test."""
+    lead = (data & 0xC0) != 0x80
+    at = np.concatenate([[0], np.cumsum(lead)])[offsets]
+    places = np.flatnonzero(lead)
+    first = data[places]
+    ascii_ = first < 0x80
+    after = data[np.minimum(places + 1, len(data) - 1)] if len(data) else data
+    # One number per character; of characters of three and four bytes some share one.
+    code = np.where(ascii_, _LOW[first], first.astype(np.uint16) << 8 | after)
+    letter = np.where(ascii_, _KIND[first] > 0, True)
+    sign = _SIGNS[first] | (first == 0xE2) | (first == 0xC2)
+    pad = np.zeros(8, dtype=bool)
+    code, letter, n = np.concatenate([code, pad.astype(code.dtype)]), np.concatenate([letter, pad]), len(places)
+    drawn = letter[:n] & (code[:n] == code[1 : n + 1]) & (code[:n] == code[2 : n + 2])
+    alone = letter[:n] & ~np.concatenate([pad[:1], letter[: max(n - 1, 0)]])[:n] & ~letter[1 : n + 1]
+    alone = np.concatenate([alone, pad])
+    apart = alone[:n] & alone[2 : n + 2] & alone[4 : n + 4] & alone[6 : n + 6]
+    hits = np.concatenate([[0], np.cumsum(drawn | (sign & letter[1 : n + 1]) | apart)])
+    return hits[at[1:]] > hits[at[:-1]]
+
+
+class Matcher:
+    """Finds the kept features of a text; words known to have none are remembered up to a bound."""
+
+    def __init__(self, restorer: Restorer, chances: dict[str, float]) -> None:
+        self.restorer, self.chances, self.plain = restorer, chances, set()
+
+    def found(self, text: str, disguised: bool) -> set[str]:
+        found: set[str] = set()
+        for word in self.restorer.words(text, disguised) - self.plain:
+            own = {f for f in (word, word[:4] + "~", word[:5] + "~") if f in self.chances}
+            if own:
+                found |= own
+            else:
+                if len(self.plain) >= 4 * CACHE:
+                    self.plain.clear()
+                self.plain.add(word)
+        return found
+
+
+def _per_text(column: pa.Array, take) -> Iterator[set[str]]:
+    """``take(text, whether it may hold a disguise)`` of every text."""
     for at, end, data, offsets in spans(column):
         raw, hidden = data.tobytes(), disguises(data, offsets)
         for i in range(end - at):
-            yield restorer.features(raw[offsets[i] : offsets[i + 1]].decode(), bool(hidden[i]))
+            yield take(raw[offsets[i] : offsets[i + 1]].decode(), bool(hidden[i]))
 
 
 def chosen(marks: list[tuple[int, list[int]]], order: list[int]) -> tuple[float, dict[int, float]]:
@@ -201,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: list[list[list[float]]], sa
         restorer = Restorer(known.value)
         seen = (Counter(), Counter())
         for batch in batches:
-            for toxic, features in zip(batch.column(1).to_pylist(), _feature_sets(batch.column(0), restorer), strict=True):
+            for toxic, features in zip(batch.column(1).to_pylist(), _per_text(batch.column(0), restorer.features), strict=True):
                 seen[toxic].update(features)
                 seen[toxic][""] += 1
         names = sorted(seen[0].keys() | seen[1].keys())
@@ -225,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: list[list[list[float]]], sa
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, of = Restorer(known.value), number.value
         for batch in batches:
-            found = [sorted(of[f] for f in features & of.keys()) for features in _feature_sets(batch.column(0), restorer)]
+            found = [sorted(of[f] for f in features & of.keys()) for features in _per_text(batch.column(0), restorer.features)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
     marks = [(row["toxic"], row["found"]) for row in rows.mapInArrow(mark, "toxic int, found array<int>").collect()]
@@ -242,9 +272,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         characters, base, chances = known.value
-        restorer, named = Restorer(characters), chances.keys()
+        matcher = Matcher(Restorer(characters), chances)
         for batch in batches:
-            score = [1 - (1 - base) * math.prod(1 - chances[f] for f in sorted(features & named)) for features in _feature_sets(batch.column(1), restorer)]
+            score = [1 - (1 - base) * math.prod(1 - chances[f] for f in sorted(found)) for found in _per_text(batch.column(1), matcher.found)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
