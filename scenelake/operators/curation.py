@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,9 @@ def select_balanced(candidates: DataFrame, capacity: int, seed: int = 0,
         candidates.select(*keys).distinct().withColumn("_digest", H.sha_text(seed, *[F.col(k) for k in keys])),
         [], "_digest", keys, "_stratum",
     ).drop("_digest")
-    placed = ranked.join(order, keys)
+    # Null-safe: candidates without a category or bucket are a stratum like any other.
+    order = order.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_stratum")
+    placed = ranked.join(order, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]))
     rounds = placed.groupBy("_round").agg(F.count("*").alias("_size")).withColumn("_all", F.lit(0))
     before = ordered.with_running_sum(rounds, ["_all"], "_round", F.col("_size"), "_through")
     in_round = F.row_number().over(W.partitionBy("_round").orderBy("_stratum"))
@@ -46,28 +50,20 @@ def select_balanced(candidates: DataFrame, capacity: int, seed: int = 0,
     )
 
 
-def _split_names(fractions: Mapping[str, float]) -> list[str]:
-    named = [n for n in SPLITS if n in fractions]
-    return named + sorted(set(fractions) - set(named))
-
-
 def hash_split(identifier: Column, fractions: Mapping[str, float], seed: int) -> Column:
-    """Split of one id from its own hash, independent of every other row."""
-    names = _split_names(fractions)
-    if not names:
-        raise ValueError("split fractions are empty")
-    if any(fractions[n] < 0.0 for n in names):
-        raise ValueError("split fractions must be non-negative")
-    whole = sum(float(fractions[n]) for n in names)
-    if whole <= 0.0:
-        raise ValueError("split fractions must sum to a positive number")
-    position = H.unit_draw(F.concat(F.lit(f"{int(seed)}:"), identifier.cast("string")))
-    cursor, result = 0.0, None
-    for name in names:
-        cursor += fractions[name] / whole
-        inside = position < F.lit(cursor)
-        result = F.when(inside, name) if result is None else result.when(inside, name)
-    return result.otherwise(names[-1])
+    """Split of one id from its own hash, independent of every other row.
+
+    The unit interval is divided among the splits in the order train, val, test, others by
+    name; the share that an id's draw falls into is its split.
+    """
+    ordered_names = sorted(fractions, key=lambda n: (SPLITS.index(n) if n in SPLITS else len(SPLITS), n))
+    weights = [float(fractions[n]) for n in ordered_names]
+    if not weights or min(weights) < 0.0 or sum(weights) <= 0.0:
+        raise ValueError(f"no division of the unit interval by {dict(fractions)}")
+    upper = accumulate(w / sum(weights) for w in weights[:-1])
+    place = H.unit_draw(F.concat(F.lit(f"{int(seed)}:"), identifier.cast("string")))
+    below = [F.when(place < F.lit(bound), F.lit(name)) for bound, name in zip(upper, ordered_names)]
+    return F.coalesce(*below, F.lit(ordered_names[-1]))
 
 
 def _picks(deficits: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -88,10 +84,7 @@ def _picks(deficits: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndar
     level = level[np.arange(len(level)), used]
     taken = np.maximum(np.floor(scaled - level[:, None]) - 1, 0).astype(np.int64)
     taken[count == 0] = 0
-    for _ in range(3 * need.shape[1]):
-        open_rows = taken.sum(axis=1) < count
-        if not open_rows.any():
-            break
+    while (open_rows := taken.sum(axis=1) < count).any():
         rest = deficits - taken * size[:, None]
         best = np.argmax(np.round(rest, 9), axis=1)
         taken[np.arange(len(taken)), best] += open_rows
@@ -143,7 +136,8 @@ def grouped_split(candidates: DataFrame, fractions: Mapping[str, float] | None =
         groups.withColumn("_digest", H.sha_text(seed, F.col(group))), ["_size"], "_digest", [group], "_rank"
     )
     assigned = ranked.join(needs, "_size").select(group, chosen("_rank", "_size", "_needs").alias("split"))
-    return candidates.join(assigned, group)
+    assigned = assigned.withColumnRenamed(group, "_group")
+    return candidates.join(assigned, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def ratio_split(items: DataFrame, name: str, validation_ratio: float, seed: int = 42) -> DataFrame:

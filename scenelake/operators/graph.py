@@ -265,30 +265,31 @@ def forward_reachable(edges: DataFrame, sources: DataFrame, excluded: Sequence[s
 
 def forward_paths(edges: DataFrame, sources: DataFrame, reachable: DataFrame,
                   excluded: Sequence[str] = ()) -> DataFrame:
-    """Shortest, then smallest, path to each node over arcs open at their origin's arrival."""
-    arrivals = reachable.select("instance_id", F.col("object_id").alias("node"), "arrival").unionByName(
-        sources.select("instance_id", F.col("subject_id").alias("node"), F.lit(0).alias("arrival"))
-    )
+    """Fewest-edge, then smallest, walk to each reachable node, every edge open when it is entered.
+
+    A walk enters an edge that ends after its arrival and arrives at the edge's start. All
+    walks of one length advance together; per node and arrival the smallest is kept, and
+    one that arrives no earlier than a shorter walk can lead nowhere new.
+    """
     arcs = cut_lineage(
         _directed(edges.select(*IDENTITY).distinct(), ())
         .where(~F.col("other").isin(*excluded) if excluded else F.lit(True))
-        .join(arrivals, ["instance_id", "node"])
-        .where(F.col("end_step") > F.col("arrival"))
-        .select("instance_id", "node", "other").distinct()
-    )
-    origin = sources.select(
-        "instance_id", F.col("subject_id").alias("node"),
-        F.struct(F.lit(0).alias("hops"), F.array("subject_id").alias("path")).alias("label"),
-    )
-
-    def expand(frontier: DataFrame) -> DataFrame:
-        longer = F.struct((F.col("label.hops") + 1).alias("hops"),
-                          F.concat("label.path", F.array("other")).alias("path"))
-        return frontier.join(arcs, ["instance_id", "node"]).select(
-            "instance_id", F.col("other").alias("node"), longer.alias("label")
-        )
-
-    best = _fixpoint(origin, expand, ("instance_id", "node"), "label", smallest=True)
-    return best.where("label.hops > 0").select(
-        "instance_id", F.col("node").alias("object_id"), F.col("label.path").alias("path")
+        .join(reachable.select("instance_id", F.col("object_id").alias("other")), ["instance_id", "other"], "left_semi")
     )
+    state = ["instance_id", "node"]
+    walks = cut_lineage(sources.select("instance_id", F.col("subject_id").alias("node"), F.lit(0).alias("arrival"), F.array("subject_id").alias("path")))
+    earliest, found = walks.select(*state, F.col("arrival").alias("_earliest")), None
+    origin = walks.select(*state)
+    while not walks.isEmpty():
+        longer = walks.join(arcs, state).where(F.col("end_step") > F.col("arrival")).groupBy("instance_id", F.col("other").alias("_next"), "start_step").agg(
+            F.min(F.concat("path", F.array("other"))).alias("path"))
+        longer = longer.select("instance_id", F.col("_next").alias("node"), F.col("start_step").alias("arrival"), "path")
+        # A row is written only where it comes earlier than anything shorter.
+        walks = cut_lineage(longer.join(earliest, state, "left").where(F.col("_earliest").isNull() | (F.col("arrival") < F.col("_earliest"))))
+        first = walks.where(F.col("_earliest").isNull()).groupBy(*state).agg(F.min("path").alias("path"))
+        found = first if found is None else found.unionByName(first)
+        walks = walks.drop("_earliest")
+        earliest = cut_lineage(earliest.unionByName(walks.select(*state, F.col("arrival").alias("_earliest"))).groupBy(*state).agg(F.min("_earliest").alias("_earliest")))
+    if found is None:
+        found = walks.select(*state, "path")
+    return found.join(origin, state, "left_anti").select("instance_id", F.col("node").alias("object_id"), "path")

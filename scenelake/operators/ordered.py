@@ -6,11 +6,15 @@ only one summary row per block is carried across blocks. One key holding a third
 rows therefore spreads over as many tasks as it has blocks.
 
 ``block=None`` is the plain window, for keys whose row count a parameter bounds.
+
+No row is lost to a null: rows with a null order value form the first block of their key,
+and rows with a null key form one block, as no summary could find its way back to them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +27,16 @@ _AFTER = (1, W.unboundedFollowing)
 _ONWARD = (W.currentRow, W.unboundedFollowing)
 
 
-def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / block).cast("bigint"))
+_FIRST = -(1 << 63)
+
+
+def _keyless(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.lit(False))
+
+
+def _blocked(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
+    number = F.coalesce(F.floor(F.col(order) / block).cast("bigint"), F.lit(_FIRST))
+    return df.withColumn("_block", F.when(_keyless(keys), F.lit(_FIRST)).otherwise(number))
 
 
 def _across(keys: Sequence[str]):
@@ -43,7 +55,7 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Mappi
     if block is None:
         near = shift(packed).over(W.partitionBy(*keys).orderBy(order))
         return df.withColumn("_near", near).select(*df.columns, *[F.col("_near")[n].alias(n) for n in values.values()])
-    blocked = _blocked(df, order, block).withColumn("_packed", packed)
+    blocked = _blocked(df, keys, order, block).withColumn("_packed", packed)
     carried = (
         blocked.groupBy(*keys, "_block").agg(pick("_packed", order).alias("_edge"))
         .select(*keys, "_block", shift("_edge").over(_across(keys)).alias("_carry"))
@@ -62,7 +74,7 @@ def with_running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Colu
     """Adds the inclusive running sum of ``value`` in order of a unique ``order`` column."""
     if block is None:
         return df.withColumn(name, F.sum(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(*_UP_TO)))
-    blocked = _blocked(df, order, block).withColumn("_value", value)
+    blocked = _blocked(df, keys, order, block).withColumn("_value", value)
     carried = (
         blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
         .select(*keys, "_block", F.sum("_sum").over(_across(keys).rowsBetween(*_BEFORE)).alias("_carry"))
@@ -90,7 +102,7 @@ def with_bracket(df: DataFrame, keys: Sequence[str], order: str, value: str, bef
     A row's own value counts for both sides. Every block keeps one summary row, so a block
     without any value still receives what its neighbours carry.
     """
-    blocked = _blocked(df, order, block)
+    blocked = _blocked(df, keys, order, block)
     place = F.when(F.col(value).isNotNull(), F.col(order))
     sides = {before: (F.max_by, F.last, _UP_TO, _BEFORE)}
     if after:
@@ -106,7 +118,7 @@ def with_bracket(df: DataFrame, keys: Sequence[str], order: str, value: str, bef
         f"_local_{name}": take(value, ignorenulls=True).over(_within(keys, order).rowsBetween(*inner))
         for name, (_, take, inner, _) in sides.items()
     })
-    return filled.join(carried, [*keys, "_block"]).select(
+    return filled.join(carried, [*keys, "_block"], "left").select(
         *[c for c in df.columns if c not in sides],
         *[F.coalesce(f"_local_{name}", f"_carry_{name}").alias(name) for name in sides],
     )
@@ -126,7 +138,7 @@ def with_running_changes(df: DataFrame, keys: Sequence[str], order: str, value:
         return marked.withColumn(name, F.sum("_change").over(window.rowsBetween(*_UP_TO))).drop("_change")
     within = _within(keys, order)
     counted = (
-        _blocked(df, order, block)
+        _blocked(df, keys, order, block)
         .withColumn("_previous", F.lag(value).over(within))
         .withColumn("_change", flag(F.col("_previous"), F.col(value)))
         .withColumn("_local", F.sum("_change").over(within.rowsBetween(*_UP_TO)))
@@ -141,7 +153,8 @@ def with_running_changes(df: DataFrame, keys: Sequence[str], order: str, value:
         .withColumn("_carry", F.sum(F.col("_entry") + F.col("_inner")).over(across.rowsBetween(*_UP_TO)) - F.col("_inner"))
         .select(*keys, "_block", "_carry")
     )
-    return counted.join(joined, [*keys, "_block"]).withColumn(name, F.col("_local") + F.col("_carry")).select(
+    carry = F.coalesce(F.col("_carry"), F.lit(0))
+    return counted.join(joined, [*keys, "_block"], "left").withColumn(name, F.col("_local") + carry).select(
         *[c for c in df.columns if c != name], name
     )
 
@@ -153,7 +166,8 @@ def with_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[st
     The leading hex digits of a digest are uniform, so they cut any key, or the whole
     table, into even ranges whose sizes alone decide the offset of each range.
     """
-    scoped = df.withColumn("_block", F.substring(F.col(digest), 1, hex_digits))
+    range_ = F.coalesce(F.substring(F.col(digest), 1, hex_digits), F.lit(""))
+    scoped = df.withColumn("_block", F.when(_keyless(keys), F.lit("")).otherwise(range_))
     group = list(keys)
     across = (W.partitionBy(*group) if group else W.partitionBy(F.lit(0))).orderBy("_block")
     offsets = (
@@ -164,8 +178,8 @@ def with_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[st
     local = F.row_number().over(W.partitionBy(*group, "_block").orderBy(digest, *ties))
     return (
         scoped.withColumn("_local", local)
-        .join(offsets, [*group, "_block"])
-        .withColumn(name, (F.col("_local") + F.col("_offset")).cast("bigint"))
+        .join(offsets, [*group, "_block"], "left")
+        .withColumn(name, (F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))).cast("bigint"))
         .select(*[c for c in df.columns if c != name], name)
     )
 
@@ -178,7 +192,7 @@ def runs(df: DataFrame, keys: Sequence[str], order: str,
     the function (``sum``, ``max``, ``min``) that merges partials of a run spanning blocks.
     """
     local = (
-        _blocked(df, order, block)
+        _blocked(df, keys, order, block)
         .withColumn("_island", F.col(order) - F.row_number().over(_within(keys, order)))
         .groupBy(*keys, "_block", "_island")
         .agg(F.min(order).alias("_first"), F.max(order).alias("_last"),

@@ -20,9 +20,12 @@ def _every(conditions: list[Column]) -> Column:
 
 
 def _tiled(df: DataFrame, lower: Column, upper: Column, cell: float) -> DataFrame:
-    """One row per cell of a cubic grid that a box touches, with its lowest cell as ``_base``."""
+    """One row per cell of a cubic grid that a box touches, with its lowest cell as ``_base``.
+
+    A box with a null or non-finite corner touches none.
+    """
     index = lambda corner, i: F.floor(corner[i] / cell).cast("bigint")
-    tiled = df.withColumn("_base", F.array(*[index(lower, i) for i in range(3)]))
+    tiled = df.where(V.all_finite(lower) & V.all_finite(upper)).withColumn("_base", F.array(*[index(lower, i) for i in range(3)]))
     for i, axis in enumerate("xyz"):
         tiled = tiled.withColumn(f"_{axis}", F.explode(F.sequence(F.col("_base")[i], index(upper, i))))
     return tiled
@@ -99,10 +102,16 @@ def out_of_bounds(states: DataFrame, targets: DataFrame, bounds: DataFrame, epsi
 
 
 def segment_hits_box(start: Column, end: Column, lower: Column, upper: Column, closed: bool = True) -> Column:
-    """Slab test of a segment against a box; touching counts only for a closed box."""
+    """Slab test of a segment against a box; touching counts only for a closed box.
+
+    Values near the largest double are first scaled by a power of two, which is exact, so
+    that no difference overflows.
+    """
+    huge = F.greatest(*[F.abs(v[i]) for v in (start, end, lower, upper) for i in range(3)]) > 2.0 ** 1000
+    scale = F.when(huge, F.lit(2.0 ** -100)).otherwise(F.lit(1.0))
     entries, exits, outside = [F.lit(0.0)], [F.lit(1.0)], []
     for axis in range(3):
-        s, e, low, high = start[axis], end[axis], lower[axis], upper[axis]
+        s, e, low, high = (v[axis] * scale for v in (start, end, lower, upper))
         delta = e - s
         still = delta == 0.0
         one, two = (low - s) / delta, (high - s) / delta

@@ -49,7 +49,8 @@ def state_gaps(factual: DataFrame, counterfactual: DataFrame, on: Sequence[str],
         counterfactual.alias("c"), [F.col(f"f.{k}") == F.col(f"c.{k}") for k in keys]
     ).select(*[F.col(f"f.{k}").alias(k) for k in keys], *_gaps(unit_quaternions))
     names = ("position_gap", "linear_gap", "angular_gap", "rotation_gap")
-    return paired.groupBy("instance_id", "object_id").agg(*[F.max(n).alias(n) for n in names])
+    # NaN sorts above every number; a gap that is not a number is no gap.
+    return paired.groupBy("instance_id", "object_id").agg(*[F.max(F.when(~F.isnan(n), F.col(n))).alias(n) for n in names])
 
 
 def _exceeds(position: float, velocity: float, rotation: float) -> Column:

@@ -248,6 +248,14 @@ def _forward(source: str, name: str) -> str:
     {name} AS (SELECT instance_id, node AS object_id, min(t) AS arrival FROM {name}_walk WHERE node <> 'object_0' GROUP BY ALL)"""
 
 
+def _layers(arcs: str, length: int = 12) -> str:
+    """Walks of up to ``length`` edges, each open at the arrival; the smallest per node and arrival."""
+    layers = ["w0 AS (SELECT instance_id, 'object_0' AS node, 0 AS t, ['object_0'] AS path FROM targets)"]
+    layers += [f"""w{k} AS (SELECT w.instance_id, a.other AS node, a.s AS t, min(list_append(w.path, a.other)) AS path
+        FROM w{k - 1} w JOIN {arcs} a ON a.instance_id = w.instance_id AND a.node = w.node WHERE a.e > w.t GROUP BY ALL)""" for k in range(1, length + 1)]
+    return ", ".join(layers) + ", walks AS (" + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(length + 1)) + ")"
+
+
 GAPS = """sf AS (SELECT *, row_number() OVER (PARTITION BY instance_id, object_id ORDER BY step) AS idx FROM states WHERE branch = 'factual'),
     sc AS (SELECT *, row_number() OVER (PARTITION BY instance_id, object_id ORDER BY step) AS idx FROM states WHERE branch = 'counterfactual'),
     gaps AS (SELECT instance_id, object_id,
@@ -317,10 +325,7 @@ ORACLES = {
         SELECT instance_id, object_id, CASE WHEN (instance_id, object_id) IN (SELECT (instance_id, object_id) FROM rf) THEN 'hard' ELSE 'soft' END AS kind
         FROM moved WHERE object_id <> 'object_0'"""),
     "longest_propagation": X.oracle("contacts targets", f"""{EDGES}, picked AS (SELECT * FROM edges WHERE branch = 'factual' AND start_step >= 210 AND peak_force >= 25),
-        {_forward('picked', 'reached')}, times AS (SELECT instance_id, object_id AS node, arrival FROM reached UNION ALL SELECT instance_id, 'object_0', 0 FROM targets),
-        open_arcs AS (SELECT DISTINCT a.instance_id, a.node, a.other FROM reached_arcs a JOIN times t ON t.instance_id = a.instance_id AND t.node = a.node WHERE a.e > t.arrival),
-        walks AS (SELECT instance_id, 'object_0' AS node, ['object_0'] AS path FROM targets
-            UNION ALL SELECT w.instance_id, a.other, list_append(w.path, a.other) FROM walks w JOIN open_arcs a ON a.instance_id = w.instance_id AND a.node = w.node WHERE NOT list_contains(w.path, a.other)),
+        {_forward('picked', 'reached')}, {_layers('reached_arcs')},
         best AS (SELECT *, row_number() OVER (PARTITION BY instance_id, node ORDER BY len(path), path) AS n FROM walks WHERE node <> 'object_0'),
         longest AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY len(path) DESC, node) AS k FROM best WHERE n = 1)
         SELECT instance_id, node AS object_id, array_to_string(path, '>') AS path FROM longest WHERE k = 1"""),

@@ -134,7 +134,7 @@ def _unit(text: str) -> str:
 
 
 def _split_sql(key: str, seed: int, fractions: dict[str, float]) -> str:
-    names = C._split_names(fractions)
+    names = [*[n for n in C.SPLITS if n in fractions], *sorted(n for n in fractions if n not in C.SPLITS)]
     whole, cursor, arms = sum(fractions.values()), 0.0, []
     for name in names:
         cursor += fractions[name] / whole

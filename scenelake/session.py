@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,17 +33,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder chosen.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder;
+    on a cluster no other machine could read it, so its absence is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor can read")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+def missing(error: AnalysisException) -> bool:
+    """Whether a read failed for want of the path, and for no other reason."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in reliable storage so a lost executor replays nothing older."""
     shared_folder(df.sparkSession)

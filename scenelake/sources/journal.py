@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from scenelake.session import missing
 
 SCHEMA = (
     "attempt_index BIGINT, status STRING, instance_id STRING, instance_seed BIGINT, "
@@ -24,7 +25,9 @@ def read_attempts(spark: SparkSession, root: str, schema: str = SCHEMA) -> DataF
                 spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "[0-9]" * 8 + ".json")
                 .json(f"{root}/{folder}").select("*", F.col("_metadata.file_name").alias("file_name"))
             )
-        except AnalysisException:
+        except AnalysisException as error:
+            if not missing(error):
+                raise
             return None
 
     records, sidecars = scan("attempts"), scan("errors")

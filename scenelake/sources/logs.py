@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from scenelake.session import missing
 
 CONTACT_SCHEMA = (
     "step INT, object_a STRING, object_b STRING, position ARRAY<DOUBLE>, normal ARRAY<DOUBLE>, "
@@ -34,7 +35,9 @@ def table_digest(df: DataFrame) -> str:
 def current_generation(spark: SparkSession, root: str) -> str | None:
     try:
         row = spark.read.schema("generation STRING").json(f"{root}/current").first()
-    except AnalysisException:
+    except AnalysisException as error:
+        if not missing(error):
+            raise
         return None
     return row["generation"] if row else None
 
@@ -43,7 +46,9 @@ def _present(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(f"{path}/complete").first()
         return True
-    except AnalysisException:
+    except AnalysisException as error:
+        if not missing(error):
+            raise
         return False
 
 

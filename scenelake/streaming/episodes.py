@@ -5,6 +5,9 @@ change, runs that may still grow, and the highest step seen per log. A step olde
 the allowed lateness is final; a run ending before the final horizon is emitted. State
 therefore holds the recent steps and one row per open run, however long it lasts, and
 every stage is a distributed DataFrame job rather than one worker per pair.
+
+Closing emits what is open under ``closing`` and leaves the state as it is. A stream that
+goes on after that supersedes the closing output: its open runs are emitted when they end.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scenelake.operators import ordered
+from scenelake.session import missing
 
 LOG = ["instance_id", "branch"]
 PAIR = [*LOG, "object_a", "object_b"]
@@ -33,11 +37,13 @@ class EpisodeStream:
     def _read(self, spark: SparkSession, name: str, batch: int) -> DataFrame | None:
         try:
             return spark.read.parquet(f"{self.root}/state/{name}/batch={batch}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if not missing(error):
+                raise
             return None
 
-    def _keep(self, df: DataFrame, name: str, batch: int) -> DataFrame:
-        path = f"{self.root}/state/{name}/batch={batch}"
+    def _keep(self, df: DataFrame, name: str, batch: int, final: bool) -> DataFrame:
+        path = f"{self.root}/{'closing/' if final else ''}state/{name}/batch={batch}"
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.parquet(path)
 
@@ -58,10 +64,10 @@ class EpisodeStream:
         tops = steps.groupBy(*LOG).agg(F.max("step").alias("top"))
         if marks is not None:
             tops = tops.unionByName(marks).groupBy(*LOG).agg(F.max("top").alias("top"))
-        tops = self._keep(tops, "marks", batch)
+        tops = self._keep(tops, "marks", batch, final)
         edge = F.col("top") + 2 if final else F.col("top") - self.lateness
         dated = steps.join(tops.select(*LOG, edge.alias("_final")), LOG)
-        self._keep(dated.where(F.col("step") >= F.col("_final")).drop("_final"), "recent", batch)
+        self._keep(dated.where(F.col("step") >= F.col("_final")).drop("_final"), "recent", batch, final)
         settled = dated.where((F.col("step") < F.col("_final")) & (F.col("normal_force") >= self.force_threshold)).drop("_final")
         runs = ordered.runs(
             settled.withColumn("impulse", F.col("normal_force") / float(self.step_rate)), PAIR, "step",
@@ -73,9 +79,9 @@ class EpisodeStream:
         dated_runs = runs.join(tops.select(*LOG, edge.alias("_final")), LOG)
         # A run ending exactly at the horizon can still grow.
         done = F.col("end_step") < F.col("_final")
-        self._keep(dated_runs.where(~done).drop("_final"), "heads", batch)
+        self._keep(dated_runs.where(~done).drop("_final"), "heads", batch, final)
         closed = dated_runs.where(done & (F.col("total_impulse") >= self.minimum_impulse)).drop("_final")
-        closed.write.mode("overwrite").parquet(f"{self.root}/episodes/batch={batch}")
+        closed.write.mode("overwrite").parquet(f"{self.root}/{'closing/' if final else ''}episodes/batch={batch}")
 
     @staticmethod
     def _joined(runs: DataFrame) -> DataFrame:
@@ -111,10 +117,20 @@ class EpisodeStream:
         return int(row["b"])
 
     def episodes(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", f"{self.root}/episodes").parquet(f"{self.root}/episodes").drop("batch")
+        ended = spark.read.option("basePath", f"{self.root}/episodes").parquet(f"{self.root}/episodes")
+        folder = f"{self.root}/closing/episodes"
+        try:
+            closing = spark.read.option("basePath", folder).parquet(folder)
+        except AnalysisException as error:
+            if not missing(error):
+                raise
+            return ended.drop("batch")
+        return ended.unionByName(closing.where(F.col("batch") > self.last_batch(spark))).drop("batch")
 
     def late(self, spark: SparkSession) -> DataFrame | None:
         try:
             return spark.read.option("basePath", f"{self.root}/late").parquet(f"{self.root}/late").drop("batch")
-        except AnalysisException:
+        except AnalysisException as error:
+            if not missing(error):
+                raise
             return None

@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from scenelake.session import missing
 
 
 def _published(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
     try:
         return spark.read.option("basePath", folder).parquet(folder).where(F.col("batch") < before)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not missing(error):
+            raise
         return None
 
 
