@@ -37,7 +37,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size, one = max(n, SPAN + 4096), np.ones(1, dtype=np.uint64)
+            size, one = max(2 * n, 1 << 16), np.ones(1, dtype=np.uint64)
             self.up = np.cumprod(np.concatenate([one, np.full(size, self.base, dtype=np.uint64)]))
             self.down = np.cumprod(np.concatenate([one, np.full(size, self.inverse, dtype=np.uint64)]))
         return self.up, self.down

@@ -42,13 +42,14 @@ FIRST = 8
 OFFSETS = (8, 16, 18)
 #: Bytes of text in a group of documents, ranges of anchors per group, and bytes of text in one vectorised pass.
 GROUP = 4 << 20
-RANGES = 2
+RANGES = 4
 SPAN = 1 << 18
 #: Anchors listed, and bytes gathered, at a time.
 LISTED = 1 << 20
 GATHERED = 1 << 20
 _PLACE = np.uint64((1 << 40) - 1)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 _POWERS = Powers(0xD1342543DE82EF95)
 
 
@@ -56,11 +57,11 @@ def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block; each is stored byte plane by byte plane, so that unused planes vanish."""
     planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
     head = np.array([len(arrays), *(len(a) for a in arrays)], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
+    return _ZIP.compress(head + b"".join(planes))
 
 
 def unpacked(block: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
+    raw = _UNZIP.decompress(block)
     lengths = np.frombuffer(raw, dtype=np.int64, count=len(kinds) + 1)[1:]
     at, out = 8 * (len(kinds) + 1), []
     for n, kind in zip(lengths.tolist(), kinds, strict=True):
