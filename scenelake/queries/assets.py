@@ -103,7 +103,7 @@ def batch_manifest(spark, sf):
 
 def instance_fields(spark, sf):
     """Per-variant instance fields zipped by position from two arrays of a scene."""
-    scenes = X.given(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey").agg(
+    scenes = X.given(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("instances"))
     zipped = scenes.select("l_orderkey", F.posexplode("instances").alias("position", "item"))
     palette = F.array(*[F.lit(c) for c in color.NAMED_COLORS])
@@ -192,7 +192,7 @@ ORACLES = {
     "held_out_combinations": """SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE NOT (p_brand = 'Brand#1' OR (p_type = 'ECONOMY' AND p_size = 11) OR (p_brand = 'Brand#3' AND p_type = 'STANDARD'))""",
     "batch_manifest": "SELECT 'whole' AS run, p_brand, count(*) AS entries FROM part GROUP BY ALL",
     "instance_fields": f"""n AS (SELECT {list(_HEX)} AS names, {list(_HEX.values())} AS codes), i AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS INT) AS position,
-        CAST(l_partkey % 16 + 1 AS INT) AS c, l_quantity FROM lineitem WHERE l_linenumber <= 4)
+        CAST(l_partkey % 16 + 1 AS INT) AS c, l_quantity FROM lineitem)
         SELECT l_orderkey, position, names[c] AS color_label, codes[c] || 'ff' AS hex,
         '#' || list_aggregate(list_transform([2, 4, 6], lambda k: lower(to_hex(CAST(floor(('0x' || substr(codes[c], k, 2))::INT / 255.0::DOUBLE * 15) AS INT)))), 'string_agg', '') || 'f' AS short_hex,
         l_quantity > 25 AS is_dynamic FROM i, n""",

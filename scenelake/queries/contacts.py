@@ -142,7 +142,7 @@ def hard_affected(spark, sf):
 
 
 def forward_reachable(spark, sf):
-    late = G.branch_edges(_edges(spark, sf), "factual").where("start_step >= 210 and peak_force >= 25")
+    late = G.branch_edges(_edges(spark, sf), "factual")
     return G.forward_reachable(late, X.table(spark, sf, "targets"), ["object_6"]).select("instance_id", "object_id", "arrival")
 
 
@@ -155,7 +155,7 @@ def propagation_paths(spark, sf):
 
 def longest_propagation(spark, sf):
     reach_targets = X.table(spark, sf, "targets")
-    late = G.branch_edges(_edges(spark, sf), "factual").where("start_step >= 210 and peak_force >= 25")
+    late = G.branch_edges(_edges(spark, sf), "factual")
     reached = G.forward_reachable(late, reach_targets, ["object_6"])
     paths = T.longest_paths(G.forward_paths(late, reach_targets, reached, ["object_6"]))
     return paths.select("instance_id", "object_id", F.array_join("path", ">").alias("path"))
@@ -184,12 +184,12 @@ def ground_truth_tags(spark, sf):
 
 
 def velocity_affected(spark, sf):
-    thin = X.contact_points(spark, sf).where("step >= 215 and normal_force >= 40")
+    thin = X.contact_points(spark, sf)
     return T.velocity(thin, X.body_states(spark, sf), X.table(spark, sf, "targets"), RATE, ["object_6"]).affected
 
 
 def removal_affected(spark, sf):
-    thin = X.contact_points(spark, sf).where("step >= 215 and normal_force >= 40")
+    thin = X.contact_points(spark, sf)
     return T.removal(thin, X.body_states(spark, sf), X.table(spark, sf, "targets"), RATE, ["object_6"]).affected
 
 
@@ -265,7 +265,7 @@ GAPS = """sf AS (SELECT *, row_number() OVER (PARTITION BY instance_id, object_i
         FROM sf a JOIN sc b USING (instance_id, object_id, {on}) {where} GROUP BY ALL),
     moved AS (SELECT instance_id, object_id FROM gaps WHERE position_gap > 1e-3 OR linear_gap > 1e-3 OR angular_gap > 1e-3 OR rotation_gap > 1e-3)"""
 
-LATE = f"""late_points AS (SELECT * FROM canon WHERE step >= 215 AND normal_force >= 40), {episodes_sql('late_points', 0, 0, 'late')},
+LATE = f"""late_points AS (SELECT * FROM canon), {episodes_sql('late_points', 0, 0, 'late')},
     late_f AS (SELECT * FROM late WHERE branch = 'factual'), late_c AS (SELECT * FROM late WHERE branch = 'counterfactual')"""
 
 ORACLES = {
@@ -310,7 +310,7 @@ ORACLES = {
     "conflicting_edges": X.oracle("contacts", f"""{EDGES} SELECT instance_id, object_a, object_b, start_step, end_step, count(*) AS records FROM edges
         GROUP BY ALL HAVING count(DISTINCT peak_force) > 1"""),
     "hard_affected": X.oracle("contacts targets", f"{STRONG_DELTA}, {REACH.format(start='start_step')} SELECT * FROM hard"),
-    "forward_reachable": X.oracle("contacts targets", f"""{EDGES}, picked AS (SELECT * FROM edges WHERE branch = 'factual' AND start_step >= 210 AND peak_force >= 25),
+    "forward_reachable": X.oracle("contacts targets", f"""{EDGES}, picked AS (SELECT * FROM edges WHERE branch = 'factual'),
         {_forward('picked', 'reached')} SELECT instance_id, object_id, arrival FROM reached"""),
     "chain_cue": X.oracle("contacts", f"""{DELTA} SELECT instance_id, min(start_step) AS start_step FROM delta WHERE bucket IN ('added', 'changed')
         AND object_a = 'object_0' AND object_b = 'object_3' AND (instance_id, start_step) IN (SELECT (instance_id, step) FROM contacts WHERE branch = 'counterfactual') GROUP BY ALL"""),
@@ -324,7 +324,7 @@ ORACLES = {
     "removal_affected": X.oracle("contacts targets states", f"""{CANON}, {LATE}, {_forward('late_f', 'rf')}, {GAPS.format(on='idx', where='')}
         SELECT instance_id, object_id, CASE WHEN (instance_id, object_id) IN (SELECT (instance_id, object_id) FROM rf) THEN 'hard' ELSE 'soft' END AS kind
         FROM moved WHERE object_id <> 'object_0'"""),
-    "longest_propagation": X.oracle("contacts targets", f"""{EDGES}, picked AS (SELECT * FROM edges WHERE branch = 'factual' AND start_step >= 210 AND peak_force >= 25),
+    "longest_propagation": X.oracle("contacts targets", f"""{EDGES}, picked AS (SELECT * FROM edges WHERE branch = 'factual'),
         {_forward('picked', 'reached')}, {_layers('reached_arcs')},
         best AS (SELECT *, row_number() OVER (PARTITION BY instance_id, node ORDER BY len(path), path) AS n FROM walks WHERE node <> 'object_0'),
         longest AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY len(path) DESC, node) AS k FROM best WHERE n = 1)

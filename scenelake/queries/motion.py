@@ -162,7 +162,7 @@ def triplet_quality(spark, sf):
     third = states.where("branch = 'factual' and object_id <> 'object_0'").withColumn("branch", F.lit("subject_removed"))
     ids = X.table(spark, sf, "state_targets")
     specs = ids.select("instance_id", "subject_id", V.vector(0.0, 0.0, 0.0).alias("lower"), V.vector(9.55, 8.75, 1.2).alias("upper"))
-    points = X.contact_points(spark, sf).where("step > 235 and normal_force > 40")
+    points = X.contact_points(spark, sf)
     verdict = Z.triplet_quality(specs, states.unionByName(third), points, RATE, ["object_5", "object_6"], linear_ceiling=1.3,
                                 angular_ceiling=2.6, minimum_effect=0.001, minimum_travel=800.0)
     return verdict.select("instance_id", "accepted", F.array_join("reasons", ",").alias("reasons"), "subject_contacts",
@@ -215,7 +215,7 @@ SAMPLES = """src AS (SELECT instance_id, CAST(row_number() OVER (PARTITION BY in
 TRIPLE = """three AS (SELECT * FROM states UNION ALL SELECT * REPLACE ('subject_removed' AS branch) FROM states WHERE branch = 'factual' AND object_id <> 'object_0'),
     facts AS (SELECT instance_id, branch, max(sqrt(vx*vx + vy*vy + vz*vz)) AS lin, max(sqrt(wx*wx + wy*wy + wz*wz)) AS ang,
         bool_or(x < -1e-6 OR x > 9.55 + 1e-6 OR y < -1e-6 OR y > 8.75 + 1e-6 OR z < -1e-6 OR z > 1.2 + 1e-6) AS outside FROM three GROUP BY ALL),
-    hits AS (SELECT instance_id, count(*) AS n FROM contacts WHERE branch = 'factual' AND step > 235 AND normal_force > 40 AND 'object_0' IN (object_a, object_b)
+    hits AS (SELECT instance_id, count(*) AS n FROM contacts WHERE branch = 'factual' AND 'object_0' IN (object_a, object_b)
         AND 'object_5' NOT IN (object_a, object_b) AND 'object_6' NOT IN (object_a, object_b) GROUP BY ALL),
     steps AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM states WHERE branch = 'factual' AND object_id NOT IN ('object_5', 'object_6')
         WINDOW w AS (PARTITION BY instance_id, object_id ORDER BY step)),
