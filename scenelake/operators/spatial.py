@@ -121,6 +121,16 @@ def segment_hits_box(start: Column, end: Column, lower: Column, upper: Column, c
         outside.append(still & beyond)
     entry, leave = F.greatest(*entries), F.least(*exits)
     crossing = entry <= leave if closed else entry < leave
+    # For huge values all of the box may fall on one rounded parameter: ask the edge axes too.
+    middle = [start[i] / 2 + end[i] / 2 for i in range(3)]
+    reach = [end[i] / 2 - start[i] / 2 for i in range(3)]
+    longest = F.greatest(*[F.abs(x) for x in reach])
+    along = [F.when(longest > 0, x / longest).otherwise(F.lit(0.0)) for x in reach]
+    away = [lower[i] / 2 + upper[i] / 2 - middle[i] for i in range(3)]
+    half = [upper[i] / 2 - lower[i] / 2 for i in range(3)]
+    apart = [F.abs(along[i] * away[j] - along[j] * away[i]) > half[i] * F.abs(along[j]) + half[j] * F.abs(along[i])
+             for i, j in ((0, 1), (0, 2), (1, 2))]
+    crossing = crossing & ~(huge & reduce(lambda a, b: a | b, apart))
     return crossing & ~reduce(lambda a, b: a | b, outside)
 
 
