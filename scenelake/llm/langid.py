@@ -12,6 +12,7 @@ each; an empty table gives no rows; a null doc_id is kept; other columns are not
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,8 +34,8 @@ ROUNDS = 2
 SMOOTHING = 0.05
 #: Words whose likelihoods a worker keeps, before it starts anew.
 CACHE = 300_000
-#: Letters up to which forward sums need no scaling.
-SHORT = 48
+#: Words of fewer letters need no scaling: even with the rarest pieces their sums stay within a double.
+SHORT = 28
 _START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -127,7 +128,8 @@ def expected(words: list[tuple[str, int]], pieces: Pieces, probability: np.ndarr
     counts = np.zeros(pieces.size)
     for word, n in words:
         if len(word) >= SHORT:
-            continue  # counts of a few very long words would need scaling and teach little
+            _expected_long(word, n, pieces, probability, counts)
+            continue
         edges = pieces.edges(word)
         ahead, back = [0.0] * (len(word) + 2), [0.0] * (len(word) + 2)
         ahead[0] = back[-1] = 1.0
@@ -142,6 +144,26 @@ def expected(words: list[tuple[str, int]], pieces: Pieces, probability: np.ndarr
     return counts
 
 
+def _expected_long(word: str, n: int, pieces: Pieces, probability: np.ndarray, counts: np.ndarray) -> None:
+    """The same for one long word, in logarithms."""
+    edges = pieces.edges(word)
+    values = [math.log(probability[piece]) for _, _, piece in edges]
+    ahead, back = [-math.inf] * (len(word) + 2), [-math.inf] * (len(word) + 2)
+    ahead[0] = back[-1] = 0.0
+    for (end, start, _), value in zip(edges, values, strict=True):
+        ahead[end] = _added(ahead[end], ahead[start] + value)
+    for (end, start, _), value in zip(reversed(edges), reversed(values), strict=True):
+        back[start] = _added(back[start], back[end] + value)
+    for (end, start, piece), value in zip(edges, values, strict=True):
+        counts[piece] += n * math.exp(min(0.0, ahead[start] + value + back[end] - ahead[-1]))
+
+
+def _added(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    high, low = max(a, b), min(a, b)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 def learn(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """The languages in order and the piece probabilities (pieces by languages), from rows of doc_id, text and lang.
 
