@@ -103,23 +103,30 @@ class PieceCodec:
         longest = [0] * len(text)
         for end, size in self.automaton.iter(text):  # ends ascend: the last match from a start is its longest
             longest[end + 1 - size] = size
-        failed = bytearray(len(text) // 8 + 1)
+        pairs, shorter = self.pairs, self.shorter
+        failed: bytearray | None = None  # the bit field, from the first failure on
         found: list[str] = []
+        last: str | None = None
         at, piece = 0, text[: longest[0]]
         while True:
-            last = found[-1] if found else None
             while piece is not None:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.compatible(last, piece)):
-                    break
-                piece = self.shorter[piece]
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    if last is None:
+                        break
+                    good = pairs.get((last, piece))
+                    if good or good is None and self.compatible(last, piece):
+                        break
+                piece = shorter[piece]
             if piece is None:
+                failed = failed or bytearray(len(text) // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = found.pop()
+                last = found[-1] if found else None
                 at -= len(piece)
                 continue
             found.append(piece)
-            at += len(piece)
+            last, at = piece, end
             if at == len(text):
                 return found
             piece = text[at : at + longest[at]]
