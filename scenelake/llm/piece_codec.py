@@ -31,6 +31,20 @@ WORDS = 250_000
 PAIRS = 500_000
 
 
+class Words(dict):
+    """What a codec makes of each word met so far."""
+
+    def __init__(self, codec: PieceCodec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, word: str) -> tuple[str, int, str]:
+        if len(self) >= WORDS:
+            self.clear()
+        known = self[word] = self.codec.word(word)
+        return known
+
+
 class PieceCodec:
     """Encoder and decoder of one model file."""
 
@@ -63,7 +77,7 @@ class PieceCodec:
         self.shown = [piece.replace(SPACE, " ") for piece in self.pieces]
         self.names = [str(i) for i in range(len(self.pieces))]
         self.runs: dict[int, list[int]] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
+        self.words = Words(self)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -153,13 +167,8 @@ class PieceCodec:
 
     def word(self, word: str) -> tuple[str, int, str]:
         """For a space and ``word``: ids joined by commas, their number, and what they decode to."""
-        known = self.words.get(word)
-        if known is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            ids = self.word_ids(word)
-            known = self.words[word] = (",".join([self.names[i] for i in ids]), len(ids), self.joined(ids))
-        return known
+        ids = self.word_ids(word)
+        return ",".join([self.names[i] for i in ids]), len(ids), self.joined(ids)
 
     def joined(self, ids: list[int]) -> str:
         """The text of ids: spaces for U+2581, runs of byte pieces read as UTF-8."""
@@ -189,10 +198,11 @@ class PieceCodec:
             return "", 0, ""
         words = text.replace(SPACE, " ").split(" ")
         if "" not in words:
-            found = list(map(self.word, words))
+            found = list(map(self.words.__getitem__, words))
         else:
             found = self._with_runs(words)
-        return ",".join([w[0] for w in found]), sum(w[1] for w in found), "".join([w[2] for w in found]).removeprefix(" ")
+        ids = ",".join([w[0] for w in found])
+        return ids, ids.count(",") + 1, "".join([w[2] for w in found]).removeprefix(" ")
 
     def _with_runs(self, words: list[str]) -> list[tuple[str, int, str]]:
         """Empty words are spaces before the next word's own; that one joins the run if it merges with nothing."""
@@ -208,7 +218,7 @@ class PieceCodec:
             if not word:
                 run += 1
                 continue
-            ids, n, text = self.word(word)
+            ids, n, text = self.words[word]
             if run and ids.partition(",")[0] == alone:
                 flush(run + 1)
                 if n > 1:
