@@ -37,6 +37,8 @@ CACHE = 300_000
 #: Words of fewer letters need no scaling: even with the rarest pieces their sums stay within a double.
 SHORT = 28
 _START = "▁"
+#: Bits of a match's number that hold the piece's length.
+_SIZE = 6
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -58,7 +60,7 @@ class Pieces:
         self.single = {name for name in names if len(name) == 1}
         self.automaton = ahocorasick.Automaton()
         for number, name in enumerate(names, 1):
-            self.automaton.add_word(name, (number, len(name)))
+            self.automaton.add_word(name, number << _SIZE | len(name))
         self.automaton.make_automaton()
 
     @classmethod
@@ -68,24 +70,34 @@ class Pieces:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(end, start, piece) of every match in the word with its start mark, by ascending end."""
+    def matches(self, word: str) -> list[tuple[int, int]]:
+        """(last place, piece number and length in one) of every match in the word with its start mark."""
         marked = _START + word
-        found = [(end + 1, end + 1 - size, number) for end, (number, size) in self.automaton.iter(marked)]
+        found = list(self.automaton.iter(marked))
         if not self.single.issuperset(marked):
-            found += [(at + 1, at, 0) for at, character in enumerate(marked) if character not in self.single]
+            found += [(at, 1) for at, character in enumerate(marked) if character not in self.single]
             found.sort()
         return found
 
+    def edges(self, word: str) -> list[tuple[int, int, int]]:
+        """(end, start, piece) of every match, by ascending end."""
+        return [(last + 1, last + 1 - (code & (1 << _SIZE) - 1), code >> _SIZE) for last, code in self.matches(word)]
+
 
 def forward(words: list[str], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
     """Log-likelihood of each word (rows) in each language (columns); probability is pieces by languages."""
     out = np.empty((len(words), probability.shape[1]))
     short = [i for i, word in enumerate(words) if len(word) < SHORT]
     if short:
-        edges = [(end, row, start, piece) for row, i in enumerate(short) for end, start, piece in pieces.edges(words[i])]
-        table = np.array(edges, dtype=np.int32)
-        table = table[np.lexsort((table[:, 1], table[:, 0]))]
+        lasts, codes, counts = [], [], []
+        for i in short:
+            ends, found = zip(*pieces.matches(words[i]), strict=True)
+            lasts += ends
+            codes += found
+            counts.append(len(ends))
+        end, code = np.array(lasts, dtype=np.int16) + np.int16(1), np.array(codes)
+        order = np.argsort(end, kind="stable")
+        table = np.stack([end, np.repeat(np.arange(len(short)), counts), end - (code & (1 << _SIZE) - 1), code >> _SIZE], axis=1)[order]
         last = np.array([len(words[i]) + 1 for i in short])
         sums = np.zeros((last.max() + 1, len(short), probability.shape[1]))
         sums[0] = 1.0
