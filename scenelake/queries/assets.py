@@ -157,6 +157,25 @@ QUERIES = {f.__name__: f for f in (
     batch_manifest, instance_fields, color_conversions, palettes, matte_ids, digests, material_physics,
 )}
 
+
+
+def _murmur_sql(names: str) -> str:
+    """The 32-bit hash of ``name`` in ``names``, block by block, as SQL over 64-bit integers."""
+    low = "4294967295::UBIGINT"
+    turned = lambda x, n: f"((({x} << {n}) | ({x} >> {32 - n})) & {low})"
+    times = lambda x, factor: f"(({x} * {factor}::UBIGINT) & {low})"
+    mix = lambda x: times(turned(times(x, 0xCC9E2D51), 15), 0x1B873593)
+    step = turned(f"xor(h, {mix('k')})", 13)
+    return f"""b AS (SELECT name, list_transform(range(1, length(name) + 1), lambda i: ascii(substring(name, i, 1))::UBIGINT) AS b FROM {names}),
+        k AS (SELECT name, len(b)::UBIGINT AS n, list_transform(range(0, len(b) // 4), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS ks,
+            coalesce(b[len(b) // 4 * 4 + 1], 0) + coalesce(b[len(b) // 4 * 4 + 2], 0) * 256 + coalesce(b[len(b) // 4 * 4 + 3], 0) * 65536 AS k FROM b),
+        h0 AS (SELECT name, n, k, list_reduce(ks, lambda h, k: ({times(step, 5)} + 3864292196) & {low}, 0::UBIGINT) AS h FROM k),
+        h1 AS (SELECT name, xor(xor(h, {mix('k')}), n) AS h FROM h0),
+        h2 AS (SELECT name, {times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM h1),
+        h3 AS (SELECT name, {times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM h2),
+        hashed AS (SELECT name, xor(h, h >> 16) AS h FROM h3)"""
+
+
 _FAMILY = list(G.MATERIALS)
 
 
@@ -177,6 +196,8 @@ def _palette_lane(offset: str) -> str:
 _HEX = {n: c for n, c in color.NAMED_COLORS.items()}
 
 ORACLES = {
+    "matte_ids": f"""n AS (SELECT DISTINCT 'Object_' || p_partkey AS name FROM part), {_murmur_sql('n')}
+        SELECT name, (CASE WHEN (h >> 23) & 255 IN (0, 255) THEN xor(h, 8388608::UBIGINT) ELSE h END)::BIGINT AS matte FROM hashed""",
     "flattened_assets": f"""SELECT p_brand AS name, 'asset_' || p_partkey AS id, p_type AS category, p_size AS nr_faces, {sr('p_retailprice / 100')} AS mass,
         CASE p_partkey % 3 WHEN 0 THEN '/data/' || p_brand || '/' || p_partkey // 50 || '/asset_' || p_partkey || '.tar.gz' WHEN 1 THEN '/data/' || p_brand || '/' || p_partkey // 50 || '/sub/' || p_name END AS path,
         '/data/' || p_brand || '/' || p_partkey // 50 || '/asset_' || p_partkey || '/visual.glb' AS render_filename FROM part""",
