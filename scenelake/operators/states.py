@@ -238,7 +238,7 @@ def command_violations(states: DataFrame, commands: DataFrame, objects: DataFram
 
     Free steps must match to single-precision rounding; a step with a recorded
     penetration may move by the larger of the commanded travel and the penetration.
-    ``states`` are target rows; ``objects`` gives instance_id, radius and smallest_size.
+    Of several peers at a step the deepest counts. ``states`` are target rows; ``objects`` gives instance_id, radius and smallest_size.
     """
     single = 2.0 ** -23
     travel = commanded_velocities(commands, step_rate, keys=("instance_id",), block=block)
@@ -246,7 +246,7 @@ def command_violations(states: DataFrame, commands: DataFrame, objects: DataFram
         states.join(travel.select("instance_id", "step", F.col("position").alias("_p"),
                                   F.col("quaternion").alias("_q"), "velocity"), ["instance_id", "step"])
         .join(objects, "instance_id")
-        .join(penetrations.select("instance_id", "step", "depth"), ["instance_id", "step"], "left")
+        .join(penetrations.groupBy("instance_id", "step").agg(F.max("depth").alias("depth")), ["instance_id", "step"], "left")
     )
     # Spacing of a single-precision number: one unit in its last place.
     real = F.array(*[F.col("_p")[i].cast("float").cast("double") for i in range(3)])
