@@ -112,7 +112,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(windows), dtype=bool)
     new[1:] = (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)
     at = np.flatnonzero(new)
-    return windows[at], np.diff(at, append=len(windows)), grams[place[at]]
+    # Chosen as the smallest, these hashes are all small; mixed once more they fill their ranges evenly.
+    return windows[at], np.diff(at, append=len(windows)), mixed(grams[place[at]])
 
 
 def spans(ids: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
