@@ -45,7 +45,7 @@ GROUP = 4 << 20
 RANGES = 4
 SPAN = 1 << 18
 #: Anchors listed, and bytes gathered, at a time.
-LISTED = 1 << 20
+LISTED = 1 << 19
 GATHERED = 1 << 20
 _PLACE = np.uint64((1 << 40) - 1)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -403,12 +403,16 @@ def mark(ranges: int):
                 item, first, last, smallest = item[order], first[order].astype(np.int64), last[order].astype(np.int64), smallest[order]
                 cuts = np.searchsorted(item, np.arange(len(s.distinct) + 1))
                 count = np.diff(cuts)[s.item]
-                run_ = expanded(cuts[:-1][s.item], count)
-                where = np.repeat(np.arange(len(s.item)), count)
-                hit = smallest[run_] < ids[s.owner[where]]
-                run_, where = run_[hit], where[hit]
-                np.add.at(change, s.first[where] + first[run_], 1)
-                np.add.at(change, s.first[where] + last[run_] + LENGTH, -1)
+                ends, at = np.cumsum(count), 0
+                while at < len(count):  # some strings occur often and have many runs: a bounded number of them at a time
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + LISTED, side="right")))
+                    run_ = expanded(cuts[:-1][s.item[at:to]], count[at:to])
+                    where = np.repeat(np.arange(at, to), count[at:to])
+                    hit = smallest[run_] < ids[s.owner[where]]
+                    run_, where = run_[hit], where[hit]
+                    np.add.at(change, s.first[where] + first[run_], 1)
+                    np.add.at(change, s.first[where] + last[run_] + LENGTH, -1)
+                    at = to
         gone = np.cumsum(change[:-1]) > 0
         rows = []
         for i in range(len(ids)):
