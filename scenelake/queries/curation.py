@@ -99,7 +99,7 @@ def topology_signatures(spark, sf):
     targets = X.table(spark, sf, "targets").select("instance_id", "target_id")
     objects = targets.select("instance_id", F.explode(F.array(*[F.lit(f"object_{i}") for i in range(7)])).alias("object_id")).select(
         "*", F.lit("cube").alias("shape"), (F.col("object_id") == "object_6").alias("static"))
-    return T.signatures(objects, targets, points)
+    return T.signatures(objects, targets, points, max_nodes=None)
 
 
 def _instances(spark, sf):
