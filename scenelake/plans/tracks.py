@@ -121,7 +121,7 @@ def snap_queries(points: DataFrame, frames: DataFrame, seed: int) -> DataFrame:
 
 
 def query_points(frames: DataFrame, cameras: DataFrame, windows: DataFrame, tracks: int = 256, stride: int = 4,
-                 max_labels: int = 25, max_fraction: float = 0.1, seed: int = 0) -> DataFrame:
+                 max_fraction: float = 0.1, seed: int = 0) -> DataFrame:
     """Sampled query points with their local coordinates, numbered from 0 in each scene.
 
     ``frames`` carries height, width, segmentation, depth (metric), normal (in [-1, 1]),
@@ -132,9 +132,9 @@ def query_points(frames: DataFrame, cameras: DataFrame, windows: DataFrame, trac
         frames, grids, stride, ("segmentation", "depth", "trusted"), ("normal", "object_coordinates")
     ).withColumnRenamed("segmentation", "label")
     counts = P.segment_histogram(population.withColumnRenamed("label", "segmentation"))
-    quota = M.quotas(counts, tracks, max_fraction).where(F.col("label") < max_labels)
+    quota = M.quotas(counts, tracks, max_fraction)
     drawn = M.draw_with_replacement(
-        population.where(F.col("label").between(0, max_labels - 1)), quota, ("scene", "label"), ("frame", "y", "x"), seed
+        population.where(F.col("label") >= 0), quota, ("scene", "label"), ("frame", "y", "x"), seed
     )
     # Labels of a scene are few, so the running offset is a small per-scene fold.
     firsts = quota.groupBy("scene").agg(F.collect_list(F.struct("label", "quota")).alias("_q")).select(
@@ -161,7 +161,7 @@ def query_points(frames: DataFrame, cameras: DataFrame, windows: DataFrame, trac
 
 
 def track_table(frames: DataFrame, cameras: DataFrame, objects: DataFrame, windows: DataFrame,
-                tracks: int = 256, stride: int = 4, max_labels: int = 25, max_fraction: float = 0.1,
+                tracks: int = 256, stride: int = 4, max_fraction: float = 0.1,
                 snap: bool = False, train_size: tuple[int, int] | None = None, flip: bool = False,
                 seed: int = 0) -> DataFrame:
     """One row per (scene, point, frame): query, target, occlusion and relative depth.
@@ -172,7 +172,7 @@ def track_table(frames: DataFrame, cameras: DataFrame, objects: DataFrame, windo
     prepared = P.trusted_normals(frames)
     if snap:
         prepared = P.erode(prepared)
-    sampled = query_points(prepared, cameras, windows, tracks, stride, max_labels, max_fraction, seed)
+    sampled = query_points(prepared, cameras, windows, tracks, stride, max_fraction, seed)
     # Padding repeats points, so it happens before they are followed through the frames.
     points = M.pad(cut_lineage(sampled.withColumn("origin", F.col("point"))), tracks, ("scene",), "point")
     if snap:
