@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The trees are cut from a bounded, documented sample of the vectors; every vector is then placed in one leaf of each
+The trees are cut from the distinct vectors of a bounded, documented sample; every vector is then placed in one leaf of each
 tree. A query opens the nodes of all trees through one shared priority queue, closest margin first, until the leaves
-it has reached hold a set share of the sample. Every vector in those leaves is a candidate and is ranked by its exact
+it has reached hold a set share of those distinct vectors. Every vector in those leaves is a candidate and is ranked by its exact
 distance in double precision, inside the task of its leaf; a leaf too full for one task is dealt out to several.
 
 The share decides recall. The given vectors are close to random directions, where neighbours are hardly nearer than
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 SAMPLE = 16_384
 LEAF = 32
 TREES = 16
-#: Share of the sample that a query's leaves hold.
+#: Share of the sample's distinct vectors that a query's leaves hold.
 SHARE = 0.6
 #: Vectors of a leaf that one task ranks.
 TOGETHER = 16_384
@@ -97,6 +97,16 @@ def _direction(points: np.ndarray, draws: np.random.Generator) -> np.ndarray | N
     return (a - b) / length if length > 0 else None
 
 
+def distinct(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct vectors in the order of their first copies, and how many copies of each there are.
+
+    Cuts through copies would leave lopsided trees, and copies would use up the share.
+    """
+    vectors, first, copies = np.unique(sample, axis=0, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    return vectors[order], copies[order]
+
+
 def probed(trees: list[Tree], query: np.ndarray, sample: int, share: float) -> list[tuple[int, int]]:
     """(tree, leaf) pairs in the order in which one queue over all trees reaches them."""
     margins = [(tree.normal @ query - tree.cut).tolist() for tree in trees]
@@ -133,11 +143,11 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, share: float =
     if not points:
         return spark.createDataFrame([], result)
     size = min(Counter(map(len, points)).items(), key=lambda x: (-x[1], x[0]))[0]
-    points = np.array([p for p in points if len(p) == size])
+    points, copies = distinct(np.array([p for p in points if len(p) == size]))
     draws = np.random.default_rng(31)
     forest = [grow(points, draws) for _ in range(trees)]
     # How many tasks share a leaf, by its share of the sample.
-    parts = [[-(-len(leaf) * n // len(points) // TOGETHER) for leaf in tree.leaves] for tree in forest]
+    parts = [[-(-int(copies[leaf].sum()) * n // int(copies.sum()) // TOGETHER) for leaf in tree.leaves] for tree in forest]
     known = spark.sparkContext.broadcast((forest, parts, len(points)))
     key = "tree int, leaf int, part int"
 
