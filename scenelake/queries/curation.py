@@ -94,8 +94,8 @@ def drawn_samples(spark, sf):
 
 
 def topology_signatures(spark, sf):
-    """Scenes of strong contacts grouped by their signature."""
-    points = X.contact_points(spark, sf).where("branch = 'factual' and step >= 225 and normal_force >= 45")
+    """Every scene's signature from all its factual contacts."""
+    points = X.contact_points(spark, sf).where("branch = 'factual'")
     targets = X.table(spark, sf, "targets").select("instance_id", "target_id")
     objects = targets.select("instance_id", F.explode(F.array(*[F.lit(f"object_{i}") for i in range(7)])).alias("object_id")).select(
         "*", F.lit("cube").alias("shape"), (F.col("object_id") == "object_6").alias("static"))
