@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from scenelake.llm import forest, hyperminhash, langid, mixing, piece_codec, stream_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from scenelake.llm import forest, hyperminhash, langid, mixing, piece_codec, positive_unlabelled, stream_dedup, suffix_dedup, token_counts, toxicity, url_filter, whitening
 from scenelake.llm.tables import table
 
 
@@ -58,7 +58,17 @@ def op10_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_forest, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op7_url_filter, op8_toxicity, op9_language, op10_token_counts)}
+def op12_whitening(spark, sf):
+    """Every vector on the eight leading components, with unit spread."""
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+def op13_quality(spark, sf):
+    """How good every document is."""
+    return positive_unlabelled.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_forest, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op7_url_filter, op8_toxicity, op9_language, op10_token_counts, op12_whitening, op13_quality)}
 
 ORACLES = {
     "op1_suffix_dedup": """
