@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from scenelake.llm import forest, hyperminhash, langid, mixing, piece_codec, positive_unlabelled, stream_dedup, suffix_dedup, token_counts, toxicity, url_filter, whitening
+from scenelake.llm import conversations, forest, hyperminhash, langid, mixing, piece_codec, positive_unlabelled, stream_dedup, suffix_dedup, token_counts, toxicity, url_filter, whitening
 from scenelake.llm.tables import table
 
 
@@ -58,6 +58,11 @@ def op10_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_conversations(spark, sf):
+    """Every conversation's faults and cheapest repair after damage."""
+    return conversations.repaired(table(spark, sf, "conversations"))
+
+
 def op12_whitening(spark, sf):
     """Every vector on the eight leading components, with unit spread."""
     return whitening.whitened(table(spark, sf, "embeddings"))
@@ -68,7 +73,7 @@ def op13_quality(spark, sf):
     return positive_unlabelled.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_forest, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op7_url_filter, op8_toxicity, op9_language, op10_token_counts, op12_whitening, op13_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_forest, op3_piece_codec, op4_stream_dedup, op5_near_dedup, op6_source_mix, op7_url_filter, op8_toxicity, op9_language, op10_token_counts, op11_conversations, op12_whitening, op13_quality)}
 
 ORACLES = {
     "op1_suffix_dedup": """
@@ -108,4 +113,54 @@ ORACLES = {
         reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other)
         SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, m.component_id, sets.doc_id = m.component_id AS kept
         FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)""",
+    "op11_conversations": r"""
+        WITH RECURSIVE codes AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+        given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS k
+            FROM conversations),
+        hit AS (
+            SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, k), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS harm
+            FROM given, codes),
+        harmed AS (
+            SELECT conv_id, turn, role AS r, text AS x, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+                   CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM hit),
+        placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(x), copy) AS i FROM harmed),
+        faults AS (
+            SELECT *, left(role, 1) AS c, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+                   NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b
+            FROM placed),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+                   count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (b IS NOT NULL AND b || c NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faults GROUP BY conv_id),
+        put (state, audit, mid, cost, lines) AS (
+            VALUES (0, '', 0, 0, ''), (0, 'I', 2, 5, 'user:' || chr(10)), (0, 'II', 3, 10, 'user:' || chr(10) || 'assistant:' || chr(10)),
+                   (1, '', 1, 0, ''), (1, 'I', 2, 5, 'user:' || chr(10)), (1, 'II', 3, 10, 'user:' || chr(10) || 'assistant:' || chr(10)),
+                   (2, '', 2, 0, ''), (2, 'I', 3, 5, 'assistant:' || chr(10)), (2, 'II', 2, 10, 'assistant:' || chr(10) || 'user:' || chr(10)),
+                   (3, '', 3, 0, ''), (3, 'I', 2, 5, 'user:' || chr(10)), (3, 'II', 3, 10, 'user:' || chr(10) || 'assistant:' || chr(10))),
+        does (mid, op, c, next) AS (
+            SELECT s.range::INT, 'D', NULL::VARCHAR, s.range::INT FROM range(4) s UNION ALL VALUES (0, 'R', NULL::VARCHAR, 2), (1, 'R', NULL, 2), (2, 'R', NULL, 3), (3, 'R', NULL, 2)
+            UNION ALL VALUES (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (3, 'K', 'u', 2), (2, 'K', 'a', 3)),
+        steps AS (
+            SELECT put.state, put.audit || op AS audit, next, put.cost + CASE op WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END AS cost, lines, op, c FROM put JOIN does USING (mid)),
+        way AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, '' AS lines FROM conversations
+            UNION ALL
+            SELECT conv_id, i, state, cost, audit, lines FROM (
+                SELECT w.conv_id, f.i, s.next AS state, w.cost + s.cost + CASE WHEN f.cut AND s.op <> 'D' THEN 5 ELSE 0 END AS cost, w.audit || s.audit AS audit,
+                       w.lines || s.lines || CASE s.op WHEN 'K' THEN f.role || ':' || f.text || chr(10) WHEN 'R' THEN CASE s.next WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text || chr(10) ELSE '' END AS lines
+                FROM way w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+                JOIN steps s ON s.state = w.state AND (s.op = 'D' OR NOT (f.blank OR f.again)) AND (s.op <> 'K' OR s.c = f.c)) x
+            QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+        ends AS (
+            SELECT w.conv_id, w.cost + put.cost AS cost, w.audit || put.audit AS audit, w.lines || put.lines AS lines
+            FROM way w JOIN put ON put.state = w.state AND put.mid IN (0, 3) AND (put.mid = 3 OR put.state = 0) AND length(put.audit) < 3
+            QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.i DESC, w.cost + put.cost, w.audit || put.audit) = 1)
+        SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, e.cost::BIGINT AS cost, e.audit, sha256(left(lines, greatest(length(lines) - 1, 0))) AS repaired_sha256
+        FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
