@@ -19,48 +19,82 @@ def _every(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _tiled(df: DataFrame, lower: Column, upper: Column, cell: float) -> DataFrame:
-    """One row per cell of a cubic grid that a box touches, with its lowest cell as ``_base``.
+#: Cells that a segment passes along its longest axis at its own level, about.
+SLABS = 64
+_CELLS = ["_at", "_x", "_y", "_z"]
 
-    A box with a null or non-finite corner touches none.
-    """
-    index = lambda corner, i: F.floor(corner[i] / cell).cast("bigint")
-    tiled = df.where(V.all_finite(lower) & V.all_finite(upper)).withColumn("_base", F.array(*[index(lower, i) for i in range(3)]))
+
+def _level(width: Column, cell: float) -> Column:
+    """The least level at whose cells, ``cell`` doubled so many times, ``width`` spans one cell at most."""
+    return F.greatest(F.coalesce(F.ceil(F.log2(width / cell)), F.lit(0)), F.lit(0)).cast("int")
+
+
+def _levelled(df: DataFrame, lower: Column, upper: Column, cell: float) -> DataFrame:
+    """Boxes with ``_lower``, ``_upper`` and ``_level``; a null or non-finite corner gives no level, and no cells later."""
+    half = F.greatest(*[F.col("_upper")[i] / 2 - F.col("_lower")[i] / 2 for i in range(3)])
+    level = F.when(V.all_finite(F.col("_lower")) & V.all_finite(F.col("_upper")), _level(half, cell / 2))
+    return df.withColumns({"_lower": lower, "_upper": upper}).withColumn("_level", level)
+
+
+def _at_own(df: DataFrame) -> DataFrame:
+    return df.withColumn("_at", F.col("_level"))
+
+
+def _at_others(df: DataFrame, others: DataFrame, keys: Sequence[str], also_own: bool) -> DataFrame:
+    """Rows once per level of the other side that is coarser than their own, or as coarse too."""
+    found = others.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    at = F.filter("_levels", lambda level: level >= F.col("_level") if also_own else level > F.col("_level"))
+    return df.join(found, list(keys)).withColumn("_at", F.explode(at)).drop("_levels")
+
+
+def _tiled(df: DataFrame, cell: float) -> DataFrame:
+    """One row per cell of its level ``_at`` that a box touches, with its lowest cell as ``_base``: eight rows at most."""
+    index = lambda corner, i: F.floor(F.col(corner)[i] / (F.pow(F.lit(2.0), F.col("_at")) * cell)).cast("bigint")
+    tiled = df.withColumn("_base", F.array(*[index("_lower", i) for i in range(3)]))
     for i, axis in enumerate("xyz"):
-        tiled = tiled.withColumn(f"_{axis}", F.explode(F.sequence(F.col("_base")[i], index(upper, i))))
-    return tiled
+        tiled = tiled.withColumn(f"_{axis}", F.explode(F.sequence(F.col("_base")[i], index("_upper", i))))
+    return tiled.drop("_lower", "_upper", "_level")
 
 
-def _meeting(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tiled boxes of the same key that share a cell, each pair from its first shared cell only.
+def _sharing(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tiled boxes of the same key that share a cell, each pair from its first shared cell only."""
+    joined = left.withColumnRenamed("_base", "_base_l").join(right.withColumnRenamed("_base", "_base_r"), [*keys, *_CELLS])
+    first = _every([F.col(c) == F.greatest(F.col("_base_l")[i], F.col("_base_r")[i]) for i, c in enumerate(_CELLS[1:])])
+    return joined.where(first).drop(*_CELLS, "_base_l", "_base_r")
 
-    Columns of the two sides must differ, except keys and tiles.
+
+def _meeting(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """Pairs of levelled boxes of the same key whose cells meet, each pair once.
+
+    Every box lies in the few cells of its own level, and looks at the cells of the other side's coarser levels: a pair meets
+    at the coarser of its two levels. Columns of the two sides must differ, except keys and levels.
     """
-    cells = ["_x", "_y", "_z"]
-    joined = left.withColumnRenamed("_base", "_base_l").join(right.withColumnRenamed("_base", "_base_r"), [*keys, *cells])
-    first = _every([F.col(c) == F.greatest(F.col("_base_l")[i], F.col("_base_r")[i]) for i, c in enumerate(cells)])
-    return joined.where(first).drop(*cells, "_base_l", "_base_r")
+    finer = _sharing(_tiled(_at_others(left, right, keys, True), cell), _tiled(_at_own(right), cell), keys)
+    coarser = _sharing(_tiled(_at_own(left), cell), _tiled(_at_others(right, left, keys, False), cell), keys)
+    return finer.unionByName(coarser)
 
 
 def overlaps(boxes: DataFrame, cell: float) -> DataFrame:
     """Pairs of boxes of an instance that strictly overlap.
 
-    ``boxes`` holds instance_id, object_id, position and extent. Boxes meet in the cells
-    of a grid of width ``cell``, so candidates are neighbours in space and not all pairs
-    of an instance; ``cell`` near the typical box width is best.
+    ``boxes`` holds instance_id, object_id, position and extent. Boxes meet in the cells of a hierarchical grid whose finest
+    cells are ``cell`` wide, so candidates are neighbours in space and not all pairs of an instance, however much the
+    boxes differ in size; ``cell`` near the width of most boxes is best.
     """
-    tiled = _tiled(
+    given = _levelled(
         boxes.select("instance_id", "object_id", "position", "extent"),
         V.subtract(F.col("position"), F.col("extent")), V.add(F.col("position"), F.col("extent")), cell,
     )
-    side = lambda s: tiled.select("instance_id", "_base", "_x", "_y", "_z", *[
-        F.col(c).alias(f"{c}_{s}") for c in ("object_id", "position", "extent")])
+    side = lambda df, s: df.select("instance_id", "_base", *_CELLS, *[F.col(c).alias(f"{c}_{s}") for c in ("object_id", "position", "extent", "_fine")])
+    fine = given.withColumn("_fine", F.col("_level"))
+    pairs = _sharing(side(_tiled(_at_others(fine, given, ["instance_id"], True), cell), "a"), side(_tiled(_at_own(fine), cell), "b"), ["instance_id"])
+    # Of two boxes of one level each finds the other; of different ones only the smaller does.
+    once = (F.col("_fine_a") < F.col("_fine_b")) & (F.col("object_id_a") != F.col("object_id_b")) | (F.col("_fine_a") == F.col("_fine_b")) & (F.col("object_id_a") < F.col("object_id_b"))
     strict = _every([
         F.abs(F.col("position_a")[i] - F.col("position_b")[i]) < F.col("extent_a")[i] + F.col("extent_b")[i] for i in range(3)
     ])
-    pairs = _meeting(side("a"), side("b"), ["instance_id"])
-    return pairs.where((F.col("object_id_a") < F.col("object_id_b")) & strict).select(
-        "instance_id", F.col("object_id_a").alias("object_a"), F.col("object_id_b").alias("object_b")
+    return pairs.where(once & strict).select(
+        "instance_id", F.least("object_id_a", "object_id_b").alias("object_a"), F.greatest("object_id_a", "object_id_b").alias("object_b")
     )
 
 
@@ -75,15 +109,15 @@ def static_clips(states: DataFrame, targets: DataFrame, obstacles: DataFrame, ep
         "instance_id", "branch", "step", F.col("position").alias("_p"),
         S.rotated_extents(F.col("shape"), F.col("size"), F.col("quaternion")).alias("_e"),
     )
-    moving = _tiled(target, V.subtract(F.col("_p"), F.col("_e")), V.add(F.col("_p"), F.col("_e")), cell)
+    moving = _levelled(target, V.subtract(F.col("_p"), F.col("_e")), V.add(F.col("_p"), F.col("_e")), cell)
     solid = obstacles.where(~F.coalesce(F.col("clip_exempt"), F.lit(False))).select(
         "instance_id", F.col("object_id").alias("obstacle_id"), "position", "extent")
-    fixed = _tiled(solid, V.subtract(F.col("position"), F.col("extent")), V.add(F.col("position"), F.col("extent")), cell)
+    fixed = _levelled(solid, V.subtract(F.col("position"), F.col("extent")), V.add(F.col("position"), F.col("extent")), cell)
     deep = _every([
         F.col("_e")[i] + F.col("extent")[i] - F.abs(F.col("_p")[i] - F.col("position")[i]) > epsilon
         for i in range(3)
     ])
-    return _meeting(moving, fixed, ["instance_id"]).where(deep).select("instance_id", "branch", "step", "obstacle_id")
+    return _meeting(moving, fixed, ["instance_id"], cell).where(deep).select("instance_id", "branch", "step", "obstacle_id")
 
 
 def out_of_bounds(states: DataFrame, targets: DataFrame, bounds: DataFrame, epsilon: float = 1e-9) -> DataFrame:
@@ -104,14 +138,12 @@ def out_of_bounds(states: DataFrame, targets: DataFrame, bounds: DataFrame, epsi
 def segment_hits_box(start: Column, end: Column, lower: Column, upper: Column, closed: bool = True) -> Column:
     """Slab test of a segment against a box; touching counts only for a closed box.
 
-    Values near the largest double are first scaled by a power of two, which is exact, so
-    that no difference overflows.
+    Halves are compared, which is exact, so that no difference overflows.
     """
     huge = F.greatest(*[F.abs(v[i]) for v in (start, end, lower, upper) for i in range(3)]) > 2.0 ** 1000
-    scale = F.when(huge, F.lit(2.0 ** -100)).otherwise(F.lit(1.0))
     entries, exits, outside = [F.lit(0.0)], [F.lit(1.0)], []
     for axis in range(3):
-        s, e, low, high = (v[axis] * scale for v in (start, end, lower, upper))
+        s, e, low, high = (v[axis] * 0.5 for v in (start, end, lower, upper))
         delta = e - s
         still = delta == 0.0
         one, two = (low - s) / delta, (high - s) / delta
@@ -122,36 +154,73 @@ def segment_hits_box(start: Column, end: Column, lower: Column, upper: Column, c
     entry, leave = F.greatest(*entries), F.least(*exits)
     crossing = entry <= leave if closed else entry < leave
     # For huge values all of the box may fall on one rounded parameter: ask the edge axes too.
-    middle = [start[i] / 2 + end[i] / 2 for i in range(3)]
+    return crossing & ~reduce(lambda a, b: a | b, outside) & ~(huge & V.bind(F.array(start, end, lower, upper), _beside))
+
+
+def _beside(corners: Column) -> Column:
+    """Whether an edge axis parts a segment (start, end) from a box (lower, upper)."""
+    start, end, lower, upper = (corners[i] for i in range(4))
     reach = [end[i] / 2 - start[i] / 2 for i in range(3)]
     longest = F.greatest(*[F.abs(x) for x in reach])
     along = [F.when(longest > 0, x / longest).otherwise(F.lit(0.0)) for x in reach]
-    away = [lower[i] / 2 + upper[i] / 2 - middle[i] for i in range(3)]
+    away = [lower[i] / 2 + upper[i] / 2 - (start[i] / 2 + end[i] / 2) for i in range(3)]
     half = [upper[i] / 2 - lower[i] / 2 for i in range(3)]
-    apart = [F.abs(along[i] * away[j] - along[j] * away[i]) > half[i] * F.abs(along[j]) + half[j] * F.abs(along[i])
-             for i, j in ((0, 1), (0, 2), (1, 2))]
-    crossing = crossing & ~(huge & reduce(lambda a, b: a | b, apart))
-    return crossing & ~reduce(lambda a, b: a | b, outside)
+    return reduce(lambda a, b: a | b, [
+        F.abs(along[i] * away[j] - along[j] * away[i]) > half[i] * F.abs(along[j]) + half[j] * F.abs(along[i]) for i, j in ((0, 1), (0, 2), (1, 2))])
 
 
 def swept_hits(paths: DataFrame, boxes: DataFrame, clearance: float = 0.0, closed: bool = True,
                keys: Sequence[str] = ("instance_id",), block: int = ordered.BLOCK, cell: float = 1.0) -> DataFrame:
-    """Path segments that meet a box widened by ``clearance``.
+    """Path segments that meet a box widened by ``clearance``; a (key, step, obstacle) each once.
 
-    Segments and boxes meet in the grid cells their bounds touch.
+    Boxes lie in a hierarchical grid. A segment passes the cells along its way, not those of its bounding box, at a level
+    where these are about SLABS at most, and at the coarser levels of its key's boxes.
     """
     segments = ordered.with_neighbour(
         paths.select(*keys, "step", "position"), keys, "step", {"position": "_end"}, ahead=True, block=block
     ).where(F.col("_end").isNotNull())
-    span = lambda pick: F.array(*[pick(F.col("position")[i], F.col("_end")[i]) for i in range(3)])
     low = F.array(*[F.col("lower")[i] - clearance for i in range(3)])
     high = F.array(*[F.col("upper")[i] + clearance for i in range(3)])
-    widened = boxes.select(*keys, F.col("object_id").alias("obstacle_id"), low.alias("_low"), high.alias("_high"))
+    fixed = _levelled(boxes.select(*keys, F.col("object_id").alias("obstacle_id"), "lower", "upper"), low, high, cell)
+    fixed = fixed.select(*keys, "obstacle_id", "_lower", "_upper", "_level", F.col("_lower").alias("_low"), F.col("_upper").alias("_high"))
+    half = F.greatest(*[F.abs(F.col("_end")[i] / 2 - F.col("position")[i] / 2) for i in range(3)])
+    finite = V.all_finite(F.col("position")) & V.all_finite(F.col("_end"))
+    moving = segments.withColumn("_level", F.when(finite, _level(half / SLABS, cell / 2)))
     hit = segment_hits_box(F.col("position"), F.col("_end"), F.col("_low"), F.col("_high"), closed)
-    pairs = _meeting(
-        _tiled(segments, span(F.least), span(F.greatest), cell), _tiled(widened, F.col("_low"), F.col("_high"), cell), keys
-    )
-    return pairs.where(hit).select(*keys, "step", "obstacle_id")
+    shared = [*keys, *_CELLS]
+    finer = _passed(_at_others(moving, fixed, keys, True), cell).join(_tiled(_at_own(fixed), cell).drop("_base"), shared)
+    coarser = _passed(_at_own(moving), cell).join(_tiled(_at_others(fixed, moving, keys, False), cell).drop("_base"), shared)
+    # The cells of a way are no box: a pair may meet in several of them.
+    return finer.unionByName(coarser).where(hit).select(*keys, "step", "obstacle_id").distinct()
+
+
+def _passed(segments: DataFrame, cell: float) -> DataFrame:
+    """One row per cell of level ``_at`` on the way from ``position`` to ``_end``, and a few beside it.
+
+    The longest axis is cut into slabs of one cell; within a slab the other two coordinates move by a cell at most.
+    """
+    start, end = F.col("position"), F.col("_end")
+    # As in segment_hits_box, so that no difference overflows.
+    scale = F.when(F.greatest(*[F.abs(v[i]) for v in (start, end) for i in range(3)]) > 2.0 ** 1000, F.lit(2.0 ** -100)).otherwise(F.lit(1.0))
+    way = segments.withColumns({"_s": F.array(*[start[i] * scale for i in range(3)]), "_e": F.array(*[end[i] * scale for i in range(3)]),
+                                "_size": F.pow(F.lit(2.0), F.col("_at")) * cell * scale})
+    reach = [F.abs(F.col("_e")[i] - F.col("_s")[i]) for i in range(3)]
+    way = way.withColumn("_axis", F.when((reach[0] >= reach[1]) & (reach[0] >= reach[2]), 0).when(reach[1] >= reach[2], 1).otherwise(2))
+    index = lambda value: F.floor(value / F.col("_size")).cast("bigint")
+    s, e = F.get("_s", F.col("_axis")), F.get("_e", F.col("_axis"))
+    way = way.withColumn("_slab", F.explode(F.sequence(index(F.least(s, e)), index(F.greatest(s, e)))))
+    still = s == e
+    enter, leave = (F.col("_slab") * F.col("_size") - s) / (e - s), ((F.col("_slab") + 1) * F.col("_size") - s) / (e - s)
+    way = way.withColumns({"_from": F.when(still, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(enter, leave))),
+                           "_to": F.when(still, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(enter, leave)))})
+    for i, axis in enumerate("xyz"):
+        a, b = F.col("_s")[i], F.col("_e")[i]
+        one, two = a + F.col("_from") * (b - a), a + F.col("_to") * (b - a)
+        # Room for rounding.
+        slack = F.col("_size") * 1e-9 + (F.abs(a) + F.abs(b)) * 1e-15
+        cells = F.sequence(index(F.least(one, two) - slack), index(F.greatest(one, two) + slack))
+        way = way.withColumn(f"_{axis}", F.explode(F.when(F.col("_axis") == i, F.array("_slab")).otherwise(cells)))
+    return way.drop("_s", "_e", "_size", "_axis", "_slab", "_from", "_to", "_level")
 
 
 def path_violations(paths: DataFrame, bounds: DataFrame | None = None, boxes: DataFrame | None = None,

@@ -111,6 +111,34 @@ def swept_hits(spark, sf):
     return closed.select("instance_id", "step", "obstacle_id")
 
 
+def _walls(spark, sf):
+    """Every body as a box, and one floor of a thousand units in each scene."""
+    wide = lambda turn: turn(F.col("position"), F.array(*[F.col("size")[0]] * 3))
+    bodies = X.bodies(spark, sf).select("instance_id", "object_id", wide(V.subtract).alias("lower"), wide(V.add).alias("upper"))
+    floor = bodies.select("instance_id").distinct().select(
+        "instance_id", F.lit("floor").alias("object_id"), V.vector(-500.0, -500.0, -1.0).alias("lower"), V.vector(500.0, 500.0, 0.25).alias("upper"))
+    return bodies.unionByName(floor)
+
+
+def swept_hits_open(spark, sf):
+    """Segments of both branches through the inside of a body or of the floor; touching does not count."""
+    states, _ = _moving(spark, sf)
+    return S.swept_hits(states, _with_branches(_walls(spark, sf)), closed=False, keys=("instance_id", "branch")).select("instance_id", "branch", "step", "obstacle_id")
+
+
+def _with_branches(boxes):
+    return boxes.withColumn("branch", F.explode(F.array(F.lit("factual"), F.lit("counterfactual"))))
+
+
+def blocked_paths(spark, sf):
+    """Rules broken by each path among the bodies of its scene."""
+    states, _ = _moving(spark, sf)
+    keys = ("instance_id", "branch")
+    walls = _with_branches(X.bodies(spark, sf).where("is_static").select(
+        "instance_id", "object_id", V.subtract(F.col("position"), F.array(*[F.col("size")[0]] * 3)).alias("lower"), V.add(F.col("position"), F.array(*[F.col("size")[0]] * 3)).alias("upper")))
+    return S.path_violations(states.select(*keys, "step", "position"), boxes=walls, clearance=0.02, keys=keys)
+
+
 def camera_framing(spark, sf):
     b = X.bodies(spark, sf)
     targets = b.select("instance_id", F.explode(H.corner_targets(F.col("position"), H.circumradius(F.col("shape"), F.col("size")))).alias("target"))
@@ -226,7 +254,7 @@ def shrunk_layers(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     projected_points, unprojected_points, look_at_views, euler_rotations, shape_measures, oriented_boxes, box_overlaps, static_clips, out_of_bounds_steps,
-    swept_hits, camera_framing, coarse_framing, hidden_points, box_local_points, grid_samples, sample_quotas, crop_windows, point_tracks, snapped_tracks,
+    swept_hits, swept_hits_open, blocked_paths, camera_framing, coarse_framing, hidden_points, box_local_points, grid_samples, sample_quotas, crop_windows, point_tracks, snapped_tracks,
     padded_points, scene_boundaries, scene_metadata, shrunk_layers,
 )}
 
@@ -282,14 +310,19 @@ MOVING = """mover AS (SELECT * FROM states WHERE object_id = 'object_0'),
     a: " + ".join(f"abs({_matrix()[i][j]}) * {h}" for j, h in enumerate((0.3, 0.2, 0.1))) for i, a in enumerate("xyz")})
 
 
-def _hit(axis: str) -> str:
-    low, high = f"(o.{axis} - o.sx - 0.05)", f"(o.{axis} + o.sx + 0.05)"
+def _hit(axis: str, wide: float = 0.05, box: tuple[str, str] | None = None, strict: bool = False) -> str:
+    low, high = (f"({side})" for side in box) if box else (f"(o.{axis} - o.sx - {wide})", f"(o.{axis} + o.sx + {wide})")
+    out = "=" if strict else ""
     return (f"CASE WHEN m.n{axis} = m.{axis} THEN 0.0 ELSE least(({low} - m.{axis}) / (m.n{axis} - m.{axis}), ({high} - m.{axis}) / (m.n{axis} - m.{axis})) END",
             f"CASE WHEN m.n{axis} = m.{axis} THEN 1.0 ELSE greatest(({low} - m.{axis}) / (m.n{axis} - m.{axis}), ({high} - m.{axis}) / (m.n{axis} - m.{axis})) END",
-            f"(m.n{axis} = m.{axis} AND (m.{axis} < {low} OR m.{axis} > {high}))")
+            f"(m.n{axis} = m.{axis} AND (m.{axis} <{out} {low} OR m.{axis} >{out} {high}))")
 
 
 HITS = [_hit(a) for a in "xyz"]
+INSIDE = [_hit(a, box=(f"o.low_{a}", f"o.high_{a}"), strict=True) for a in "xyz"]
+NEAR = [_hit(a, 0.02) for a in "xyz"]
+STEPS = """p AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM states WHERE object_id = 'object_0'
+    WINDOW w AS (PARTITION BY instance_id, branch ORDER BY step))"""
 FWD = "sqrt((lx-px)**2 + (ly-py)**2 + (lz-pz)**2)"
 
 ORACLES = {
@@ -315,6 +348,13 @@ ORACLES = {
     "swept_hits": X.oracle("states boxes", f"""p AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM states WHERE object_id = 'object_0' AND branch = 'factual'
         WINDOW w AS (PARTITION BY instance_id ORDER BY step)) SELECT m.instance_id, m.step, o.object_id AS obstacle_id FROM p m JOIN boxes o USING (instance_id) WHERE nx IS NOT NULL AND is_static
         AND greatest(0.0, {", ".join(h[0] for h in HITS)}) <= least(1.0, {", ".join(h[1] for h in HITS)}) AND NOT ({" OR ".join(h[2] for h in HITS)})"""),
+    "swept_hits_open": X.oracle("states boxes", f"""{STEPS}, walls AS (SELECT instance_id, object_id, {", ".join(f"{a} - sx AS low_{a}, {a} + sx AS high_{a}" for a in "xyz")} FROM boxes
+        UNION ALL SELECT DISTINCT instance_id, 'floor', -500.0, 500.0, -500.0, 500.0, -1.0, 0.25 FROM boxes)
+        SELECT m.instance_id, m.branch, m.step, o.object_id AS obstacle_id FROM p m JOIN walls o USING (instance_id) WHERE nx IS NOT NULL
+        AND greatest(0.0, {", ".join(h[0] for h in INSIDE)}) < least(1.0, {", ".join(h[1] for h in INSIDE)}) AND NOT ({" OR ".join(h[2] for h in INSIDE)})"""),
+    "blocked_paths": X.oracle("states boxes", f"""{STEPS} SELECT DISTINCT m.instance_id, m.branch, 'hits_static' AS code FROM p m JOIN boxes o USING (instance_id) WHERE nx IS NOT NULL AND is_static
+        AND greatest(0.0, {", ".join(h[0] for h in NEAR)}) <= least(1.0, {", ".join(h[1] for h in NEAR)}) AND NOT ({" OR ".join(h[2] for h in NEAR)})
+        UNION ALL SELECT instance_id, branch, 'too_short' FROM states WHERE object_id = 'object_0' GROUP BY ALL HAVING count(*) < 2"""),
     "camera_framing": X.oracle("boxes", f"""{YAWED}, cam AS (SELECT instance_id, object_id AS camera, x+10 AS px, y-8 AS py, z+4 AS pz, 5.0::DOUBLE AS lx, 4.5::DOUBLE AS ly, 1.0::DOUBLE AS lz, 14.0::DOUBLE + k % 12 AS f
         FROM boxes WHERE object_id IN ('body_0', 'body_7', 'body_13')), ax AS (SELECT *, (lx-px)/{FWD} AS fx, (ly-py)/{FWD} AS fy, (lz-pz)/{FWD} AS fz FROM cam),
         ay AS (SELECT *, fy/sqrt(fx*fx+fy*fy) AS rx, -fx/sqrt(fx*fx+fy*fy) AS ry FROM ax),
