@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenelake.llm import workers
 from scenelake.llm.shingles import fingerprints, mixed, spans
-from scenelake.llm.tables import pieces_for, scratch, stored
+from scenelake.llm.tables import pieces_for, scratch, slim, stored
 
 #: Percent of the union that two sets must share.
 PERCENT = 75
@@ -37,8 +38,8 @@ BANDS = 50
 ROWS = 4
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
-#: Estimates below this are not confirmed: five standard deviations under the threshold.
-LOWEST = 0.6
+#: Estimates so many standard deviations (for the registers in use) under the threshold are not confirmed.
+DEVIATIONS = 7
 #: Members of one bucket, and sets of one group, that are compared in a task at a time.
 TOGETHER = 2048
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -91,10 +92,17 @@ def estimated(a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray
     return (agree - chance) / (1 - chance)
 
 
+def may_reach(value: np.ndarray, own_a: np.ndarray, own_b: np.ndarray) -> np.ndarray:
+    """Whether an estimate leaves the threshold possible; sets with few registers always pass."""
+    share = PERCENT / 100
+    return value >= share - DEVIATIONS * np.sqrt(share * (1 - share) / np.maximum((own_a | own_b).sum(axis=1), 1))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, digest of the word sequence, sketch and own (packed bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for batch in batches:
             for at, end, data, offsets in spans(batch.column(1)):
                 n = end - at
@@ -134,7 +142,7 @@ def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
             get = lambda name, kind: np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=kind).reshape(batch.num_rows, -1)
             own = [np.unpackbits(get(name, np.uint8), axis=1).astype(bool) for name in ("own_a", "own_b")]
             value = estimated(get("sketch_a", np.uint16), get("sketch_b", np.uint16), *own, np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b")))
-            good = pa.array(value >= LOWEST)
+            good = pa.array(may_reach(value, *own))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
     for side in ("a", "b"):
@@ -157,8 +165,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, content binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
-    """Pairs whose full sets share at least PERCENT of their union."""
+def confirmed(path: str, docs: DataFrame, folder: str) -> DataFrame:
+    """Of the pairs (a, b) stored at ``path`` those whose full sets share at least PERCENT of their union, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,14 +178,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    spark = docs.sparkSession
+    ids = spark.read.schema("a long, b long").parquet(path).select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     needed = texts.join(ids.hint("merge"), texts["doc_id"] == ids["wanted"], "left_semi")
     # Rows that repeat an id count once.
-    sets = stored(_sets(needed).groupBy("doc_id").agg(F.max("content").alias("content")), f"{folder}/sets")
+    stored(_sets(needed).groupBy("doc_id").agg(F.max("content").alias("content")), f"{folder}/sets")
+    # Two sets ride on each row, and sets may be long.
+    few = slim(spark)
+    pairs, sets = few.read.schema("a long, b long").parquet(path), few.read.schema("doc_id long, content binary").parquet(f"{folder}/sets")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("content").alias(f"content_{side}")), side)
-    return pairs.mapInArrow(run, "a long, b long")
+    stored(pairs.mapInArrow(run, "a long, b long"), f"{folder}/edges")
+    return spark.read.schema("a long, b long").parquet(f"{folder}/edges")
 
 
 def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
@@ -218,7 +231,7 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFr
             n = get["n_shingles"]
             with_ = with_[100 * np.minimum(n[with_], n[at]) >= PERCENT * np.maximum(n[with_], n[at])]
             value = estimated(sketch[with_], sketch[at], own[with_], own[at], n[with_], np.full(len(with_), n[at]))
-            with_ = with_[value >= LOWEST]
+            with_ = with_[may_reach(value, own[with_], own[at])]
             for number in np.unique(group[with_]):
                 rows.append((int(get["doc_id"][at]), int(number), get["doc_id"][with_[group[with_] == number]].tobytes()))
         return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "group": pa.array([r[1] for r in rows], pa.int64()), "partners": pa.array([r[2] for r in rows], pa.binary())})
@@ -285,8 +298,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(buckets.join(shared, "key"), f"{folder}/members")
 
     pairs = stored(members.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), f"{folder}/pairs")
-    likely = stored(_likely(pairs, reps), f"{folder}/likely")
-    edges = stored(confirmed(likely, docs, f"{folder}/heads"), f"{folder}/heads/edges")
+    stored(_likely(pairs, reps), f"{folder}/likely")
+    edges = confirmed(f"{folder}/likely", docs, f"{folder}/heads")
     labels = components(edges, f"{folder}/heads/components")
     more = stored(_across(members, labels, reps, docs, f"{folder}/across"), f"{folder}/across/edges")
     labels = components(edges.unionByName(more), f"{folder}/components")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenelake.llm import workers
 from scenelake.llm.tables import remainder
 from scenelake.llm.token_counts import chunks
 
@@ -34,6 +35,8 @@ ROUNDS = 2
 SMOOTHING = 0.05
 #: Words whose likelihoods a worker keeps, before it starts anew.
 CACHE = 300_000
+#: And their letters together.
+CACHED = 8_000_000
 #: Words of fewer letters need no scaling: even with the rarest pieces their sums stay within a double.
 SHORT = 28
 _START = "▁"
@@ -49,8 +52,6 @@ def words_of(text: str | None) -> list[str]:
 class Pieces:
     """The vocabulary and where its pieces match in a word; a character that is no piece matches as number 0."""
 
-    _by_path: dict[str, Pieces] = {}
-
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
@@ -66,9 +67,7 @@ class Pieces:
     @classmethod
     def at(cls, path: str) -> Pieces:
         """One per worker and file."""
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+        return workers.kept(("pieces", path), lambda: cls(path))
 
     def matches(self, word: str) -> list[tuple[int, int]]:
         """(last place, piece number and length in one) of every match in the word with its start mark."""
@@ -227,6 +226,11 @@ class Likelihoods(dict):
         super().__init__()
         self.pieces, self.probability, self.limit = pieces, probability, limit
         self.rows = np.empty((1024, probability.shape[1]))
+        self.letters = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.letters = 0
 
     def add(self, words: list[str]) -> None:
         if len(self) + len(words) > self.limit:
@@ -238,12 +242,13 @@ class Likelihoods(dict):
             part = words[start : start + 8192]
             self.rows[at + start : at + start + len(part)] = forward(part, self.pieces, self.probability)
         self.update(zip(words, range(at, at + len(words)), strict=True))
+        self.letters += sum(map(len, words))
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray | None]:
         """Sums of the words' log-likelihoods per text, None for a text without words."""
         wanted = set().union(*texts)
         new = wanted.difference(self)
-        if len(self) + len(new) > self.limit:
+        if len(self) + len(new) > self.limit or self.letters > CACHED:
             self.clear()
             new = wanted
         if new:

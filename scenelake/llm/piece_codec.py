@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenelake.llm import workers
 from scenelake.llm.token_counts import chunks
 
 SPACE = "▁"
 #: Entries of a worker's caches of words and of pairs of pieces, which start anew beyond it.
 WORDS = 250_000
 PAIRS = 500_000
+#: Longer words are encoded each time.
+LONG = 64
 
 
 class Words(dict):
@@ -39,6 +42,8 @@ class Words(dict):
         self.codec = codec
 
     def __missing__(self, word: str) -> tuple[str, int, str]:
+        if len(word) > LONG:
+            return self.codec.word(word)
         if len(self) >= WORDS:
             self.clear()
         known = self[word] = self.codec.word(word)
@@ -48,8 +53,6 @@ class Words(dict):
 class PieceCodec:
     """Encoder and decoder of one model file."""
 
-    _by_path: dict[str, PieceCodec] = {}
-
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
@@ -83,9 +86,7 @@ class PieceCodec:
     @classmethod
     def at(cls, path: str) -> PieceCodec:
         """One per worker and file."""
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+        return workers.kept(("codec", path), lambda: cls(path))
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short string by merging: best score first, then leftmost."""

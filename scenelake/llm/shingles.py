@@ -28,6 +28,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Words are hashed over two prime fields; of hashes modulo a power of two, strings that collide are known.
+_FIELDS = ((2147483647, 1_102_563_979), (2147483629, 807_914_911))
+
+
+class FieldPowers:
+    """Powers of a base modulo a prime and of its inverse, as far as the longest text needs them."""
+
+    def __init__(self, prime: int, base: int) -> None:
+        self.prime, self.bases = np.uint64(prime), (base, pow(base, -1, prime))
+        self.tables = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+    def to(self, n: int) -> list[np.ndarray]:
+        for which, base in enumerate(self.bases):
+            table = self.tables[which]
+            while len(table) < n:
+                table = np.concatenate([table, table * np.uint64(pow(base, len(table), int(self.prime))) % self.prime])
+            self.tables[which] = table
+        return self.tables
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each stretch of bytes; sums stay below 2**64 for texts of up to 2**24 bytes and are reduced beyond."""
+        up, down = self.to(len(data) + 1)
+        terms = (data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]
+        prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+        for at in range(0, len(data), 1 << 24):
+            part = terms[at : at + (1 << 24)]
+            np.cumsum(part, out=prefix[at + 1 : at + 1 + len(part)])
+            prefix[at + 1 : at + 1 + len(part)] = (prefix[at + 1 : at + 1 + len(part)] + prefix[at]) % self.prime
+        return (prefix[ends] + self.prime - prefix[starts]) % self.prime * down[starts] % self.prime
+
+
+_WORDS = [FieldPowers(*field) for field in _FIELDS]
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, as far as the longest text needs them."""
 
@@ -43,7 +77,6 @@ class Powers:
         return self.up, self.down
 
 
-_POWERS = Powers()
 _PLACES = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 
 
@@ -73,10 +106,8 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts, ends = bounds[word[bounds + 1]], bounds[word[bounds]]
     if not len(starts):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    up, down = _POWERS.to(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
-    words = mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+    one, two = (field.words(data, starts, ends) for field in _WORDS)
+    words = mixed((one << np.uint64(32) | two) + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
     of = np.searchsorted(offsets, starts, side="right") - 1
     joined = [words[WIDTH - 1 :] * _PLACES[WIDTH - 1]] if len(words) >= WIDTH else []
     if joined:

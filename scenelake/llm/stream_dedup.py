@@ -23,13 +23,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm.tables import scratch, stored
+from scenelake.llm import workers
+from scenelake.llm.tables import pieces_for, scratch, stored
 
 ARRIVAL = "doc_id long, digest binary, text_sha binary, locator string"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Many small stores: no blocks of 4 MB reserved for each one's logs.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # All stores of an executor share so much memory, and are closed after each batch.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
@@ -43,6 +48,7 @@ def _rows(digest: Callable[[bytes], bytes], content: bool) -> Callable[[Iterator
     """Rows of (doc_id, text, locator) with the digest and, if asked for, the bytes of the normalised text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for batch in batches:
             low = [text.as_buffer().to_pybytes() for text in pc.ascii_lower(pc.fill_null(batch.column(1), ""))]
             keys = [digest(text) for text in low]
@@ -103,7 +109,8 @@ def deduplicated(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) ->
     spark = docs.sparkSession
     folder = scratch(spark, "stream-dedup")
     seen = stored(arrivals(docs, digest), f"{folder}/arrivals")
-    state = DigestState(f"{folder}/state", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A store holds digests, not texts: a few of them do for what many partitions of texts bring.
+    state = DigestState(f"{folder}/state", pieces_for(int(spark.conf.get("spark.sql.shuffle.partitions")), 4))
     state.absorb(spark, f"{folder}/arrivals")
     known = stored(state.table(spark), f"{folder}/known")
 

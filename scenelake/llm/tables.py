@@ -28,6 +28,14 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def slim(spark: SparkSession, batch: str = "8m") -> SparkSession:
+    """A session of the same application whose batches for Python hold few bytes, for rows that carry long values."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
+    return session
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(0))

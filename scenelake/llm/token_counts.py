@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenelake.llm import workers
+
 #: Entries of the broadcast table, and of each task's list of candidates for it.
 FREQUENT = 16_384
 #: Entries of a worker's cache, which starts anew beyond it.
@@ -36,8 +38,6 @@ class PreTokens:
     The tokenizer file gives the split pattern, the strings of special tokens and the merges.
     """
 
-    _by_path: dict[str, PreTokens] = {}
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -54,9 +54,7 @@ class PreTokens:
     @classmethod
     def at(cls, path: str) -> PreTokens:
         """One per worker and file."""
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+        return workers.kept(("pretokens", path), lambda: cls(path))
 
     def split(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens of a text and its number of special tokens."""
