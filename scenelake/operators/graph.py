@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,26 +88,55 @@ def _directed(edges: DataFrame, excluded: Sequence[str]) -> DataFrame:
     return forward.unionByName(backward)
 
 
+#: Rounds after which the rows written so far are merged into one table.
+COMPACT = 8
+#: Steps in a block of the index of openings.
+SPAN = 256
+
+
 def _fixpoint(seed: DataFrame, expand, keys: Sequence[str], value: str, smallest: bool) -> DataFrame:
-    """Repeats ``expand`` on improved rows until nothing improves.
+    """Repeats ``expand`` on improved rows until nothing improves; one row per key.
 
-    ``best`` holds one row per key; every round is written to reliable storage, so the
-    plan stays flat and a lost executor only repeats the round in flight.
+    Semi-naive: a round joins only the rows that the round before improved, and writes only those that improve again,
+    to reliable storage, so the plan stays flat and a lost executor only repeats the round in flight. The value of a key
+    is the best of all rounds; every COMPACT rounds these are merged.
     """
     pick = F.min if smallest else F.max
-    best = cut_lineage(seed.groupBy(*keys).agg(pick(value).alias(value)))
-    frontier = best
-    while not frontier.isEmpty():
+    merged = lambda layers: reduce(DataFrame.unionByName, layers).groupBy(*keys).agg(pick(value).alias(value))
+    frontier = cut_lineage(seed.groupBy(*keys).agg(pick(value).alias(value)))
+    layers = [frontier]
+    while True:
         offered = expand(frontier).groupBy(*keys).agg(pick(value).alias("_offer"))
         better = F.col("_offer") < F.col(value) if smallest else F.col("_offer") > F.col(value)
-        merged = cut_lineage(
-            best.join(offered, list(keys), "full")
-            .withColumn("_new", F.col("_offer").isNotNull() & (F.col(value).isNull() | better))
-            .select(*keys, F.when(F.col("_new"), F.col("_offer")).otherwise(F.col(value)).alias(value), "_new")
+        asked = reduce(DataFrame.unionByName, layers).join(offered.select(*keys), list(keys), "left_semi")
+        frontier = cut_lineage(
+            offered.join(asked.groupBy(*keys).agg(pick(value).alias(value)), list(keys), "left")
+            .where(F.col(value).isNull() | better).select(*keys, F.col("_offer").alias(value))
         )
-        best = merged.drop("_new")
-        frontier = merged.where("_new").drop("_new")
-    return best
+        if frontier.isEmpty():
+            return merged(layers)
+        layers.append(frontier)
+        if len(layers) > COMPACT:
+            layers = [cut_lineage(merged(layers))]
+
+
+def opening_index(openings: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Blocks in which an as-of lookup finds the least ``value`` of a group's openings whose ``key`` lies beyond a moment.
+
+    ``openings`` holds the group's columns and integers key and value. A moment falls into one block of each group, from
+    ``low`` (null: the first block) to before ``high``; it carries the block's openings and the least value after it.
+    """
+    rows = openings.groupBy(*group, "key").agg(F.min("value").alias("value"))
+    blocks = rows.groupBy(*group, F.floor(F.col("key") / SPAN).alias("_block")).agg(
+        F.collect_list(F.struct("key", "value")).alias("here"), F.min("value").alias("_least"), F.max("key").alias("high"))
+    window = W.partitionBy(*group).orderBy("_block")
+    return blocks.withColumns({"low": F.lag("high").over(window), "later": F.min("_least").over(window.rowsBetween(1, W.unboundedFollowing))}).drop("_block", "_least")
+
+
+def first_opening(moment: Column) -> Column:
+    """The moment at which the first opening beyond ``moment`` can be used, from a block of :func:`opening_index`."""
+    beyond = F.array_min(F.transform(F.filter("here", lambda opening: opening["key"] > moment), lambda opening: opening["value"]))
+    return F.greatest(moment, F.least(beyond, F.col("later")))
 
 
 def _marked(edges: DataFrame, delta: DataFrame) -> DataFrame:
@@ -129,6 +159,26 @@ def causal_arcs(edges: DataFrame, delta: DataFrame, targets: DataFrame, excluded
     return cut_lineage(_directed(active.drop("target_id"), ()))
 
 
+# What a search knows of a node: its earliest arrival without and with a changed edge, and the latest arrival, negated,
+# from which a changed edge can still be used.
+_PLAIN, _TRIGGERED, _DEADLINE = 0, 1, 2
+# Edges to take: any, changed ones, and any backwards in time.
+_ANY, _CHANGED, _BACK = 0, 1, 2
+
+
+def _ways(arcs: DataFrame) -> DataFrame:
+    """The index of all arcs by lane. Going forward an arc is open until its end, and used at its start or later.
+
+    Backwards the same holds for negated steps: it can be used by who is there at its start or later, and arrivals up to
+    its last step will do.
+    """
+    side = lambda rows, lane, key, value: rows.select("instance_id", "node", "other", F.lit(lane).alias("lane"), key.cast("long").alias("key"), value.cast("long").alias("value"))
+    forward = (F.col("end_step"), F.col("start_step"))
+    openings = side(arcs, _ANY, *forward).unionByName(side(arcs.where("trigger"), _CHANGED, *forward)).unionByName(
+        side(arcs, _BACK, 1 - F.col("start_step"), 1 - F.col("end_step")))
+    return opening_index(openings, ("instance_id", "node", "other", "lane"))
+
+
 def hard_affected(edges: DataFrame, delta: DataFrame, targets: DataFrame,
                   excluded: Sequence[str] = (), arcs: DataFrame | None = None) -> DataFrame:
     """Nodes on a time-respecting walk from the target that uses a changed edge.
@@ -141,31 +191,23 @@ def hard_affected(edges: DataFrame, delta: DataFrame, targets: DataFrame,
     still be used backward. ``arcs`` may pass on the result of :func:`causal_arcs`.
     """
     arcs = causal_arcs(edges, delta, targets, excluded) if arcs is None else arcs
+    ways = cut_lineage(_ways(arcs))
 
-    def forward(frontier: DataFrame) -> DataFrame:
-        step = frontier.join(arcs, ["instance_id", "node"])
-        moment = F.greatest("arrival", "start_step")
-        return step.where(moment < F.col("end_step")).select(
-            "instance_id", F.col("other").alias("node"),
-            (F.col("triggered") | F.col("trigger")).alias("triggered"), moment.alias("arrival"),
-        )
-
-    origin = targets.select("instance_id", F.col("target_id").alias("node"), F.lit(False).alias("triggered"),
-                            F.col("start_step").alias("arrival"))
-    arrivals = _fixpoint(origin, forward, ("instance_id", "node", "triggered"), "arrival", smallest=True)
-
-    def backward(frontier: DataFrame) -> DataFrame:
-        step = frontier.join(arcs, ["instance_id", "node"]).where(F.col("start_step") <= F.col("latest"))
-        return step.select("instance_id", F.col("other").alias("node"),
-                           F.least(F.col("latest"), F.col("end_step") - 1).alias("latest"))
-
-    usable = arcs.where("trigger").select("instance_id", "node", (F.col("end_step") - 1).alias("latest"))
-    deadlines = _fixpoint(usable, backward, ("instance_id", "node"), "latest", smallest=False)
-
-    reached = arrivals.groupBy("instance_id", "node").agg(
-        F.min(F.when(~F.col("triggered"), F.col("arrival"))).alias("plain"),
-        F.max(F.col("triggered").cast("int")).alias("triggered"),
+    def expand(frontier: DataFrame) -> DataFrame:
+        step = frontier.withColumn("lane", F.explode(F.when(F.col("mode") == _PLAIN, F.array(F.lit(_ANY), F.lit(_CHANGED))).when(F.col("mode") == _TRIGGERED, F.array(F.lit(_ANY))).otherwise(F.array(F.lit(_BACK)))))
+        met = step.join(ways, ["instance_id", "node", "lane"]).where((F.col("low").isNull() | (F.col("moment") >= F.col("low"))) & (F.col("moment") < F.col("high")))
+        return met.select("instance_id", F.col("other").alias("node"), F.when(F.col("lane") == _CHANGED, _TRIGGERED).otherwise(F.col("mode")).alias("mode"),
+                          first_opening(F.col("moment")).alias("moment"))
+
+    origin = targets.select("instance_id", F.col("target_id").alias("node"), F.lit(_PLAIN).alias("mode"), F.col("start_step").cast("long").alias("moment"))
+    usable = arcs.where("trigger").select("instance_id", "node", F.lit(_DEADLINE).alias("mode"), (1 - F.col("end_step")).cast("long").alias("moment"))
+    # Both sweeps in the same rounds.
+    best = cut_lineage(_fixpoint(origin.unionByName(usable), expand, ("instance_id", "node", "mode"), "moment", smallest=True))
+    reached = best.where(F.col("mode") != _DEADLINE).groupBy("instance_id", "node").agg(
+        F.min(F.when(F.col("mode") == _PLAIN, F.col("moment"))).alias("plain"),
+        F.max((F.col("mode") == _TRIGGERED).cast("int")).alias("triggered"),
     )
+    deadlines = best.where(F.col("mode") == _DEADLINE).select("instance_id", "node", (-F.col("moment")).alias("latest"))
     return (
         reached.join(deadlines, ["instance_id", "node"], "left")
         .where((F.col("triggered") == 1) | (F.col("plain") <= F.col("latest")))
