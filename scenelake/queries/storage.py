@@ -13,6 +13,7 @@ from scenelake.queries import fixtures as X
 from scenelake.session import shared_folder
 from scenelake.sources import artifacts as A
 from scenelake.sources import logs as L
+from scenelake.sources import raw_logs as R
 from scenelake.sources import scenes as S
 from scenelake.streaming import journal as SJ
 from scenelake.streaming.episodes import EpisodeStream
@@ -33,6 +34,51 @@ def stored_logs(spark, sf):
     return rows[0].unionByName(rows[1])
 
 
+def _raw_tables(spark, sf):
+    """Header, contacts and full state grid of one log per instance and branch."""
+    log = F.concat_ws("_", F.col("instance_id").cast("string"), "branch").alias("log")
+    states = X.body_states(spark, sf)
+    objects = states.groupBy("instance_id", "branch").agg(F.array_sort(F.collect_set("object_id")).alias("object_ids"))
+    steps = states.groupBy("instance_id", "branch", "step").agg(F.countDistinct("object_id").alias("n")).join(objects, ["instance_id", "branch"]).where("n = size(object_ids)")
+    heads = steps.groupBy("instance_id", "branch").agg(F.array_sort(F.collect_list("step")).alias("steps"), F.first("object_ids").alias("object_ids")).withColumn("step_rate", F.lit(QC.RATE))
+    heads = heads.select(log, "branch", "object_ids", "steps", "step_rate")
+    points = X.contact_points(spark, sf).select(log, "step", "object_a", "object_b", "position", "normal", "normal_force", "contact_distance")
+    points = points.withColumns({c: F.col(c).cast("double") for c in ("normal_force", "contact_distance")}).join(heads.select("log"), "log", "left_semi")
+    full = states.select(log, "step", "object_id", "position", "quaternion", "linear_velocity", "angular_velocity")
+    return heads, points, full.join(heads.select("log", "steps"), "log").where(F.array_contains("steps", F.col("step"))).drop("steps")
+
+
+def raw_logs(spark, sf):
+    """Every instance and branch written as a raw log, checked against its manifest and read back."""
+    kept = stored_files(R.packed(*_raw_tables(spark, sf)), _fresh(spark))
+    contacts = R.contacts(kept).groupBy("log", F.col("object_a").alias("name")).agg(
+        F.count("*").alias("rows"), F.max("step").alias("last_step"), r(F.sum("normal_force"), 3).alias("total")).withColumn("file", F.lit("contacts"))
+    states = R.states(kept).groupBy("log", F.col("object_id").alias("name")).agg(
+        F.count("*").alias("rows"), F.max("step").alias("last_step"), r(F.sum(F.col("position")[0]), 3).alias("total")).withColumn("file", F.lit("states"))
+    return contacts.unionByName(states)
+
+
+def stored_files(files, root):
+    """Raw files kept as rows: log, name and content."""
+    files.write.mode("overwrite").parquet(root)
+    return files.sparkSession.read.parquet(root)
+
+
+def raw_log_faults(spark, sf):
+    """Raw logs of which every fifth is sound and the others damaged in four ways, with the fault found in each."""
+    kept = stored_files(R.packed(*_raw_tables(spark, sf)), _fresh(spark))
+    kind = F.substring_index("log", "_", 1).cast("int") % 5
+    touched = kept.where(~((kind == 1) & F.col("name").endswith("states.npy")))
+    longer = (kind == 2) & F.col("name").endswith("contacts.jsonl")
+    renamed = (kind == 3) & (F.col("name") == R.MANIFEST)
+    touched = touched.withColumn("content", F.when(longer, F.concat("content", F.lit(b"x"))).when(renamed, F.regexp_replace(F.col("content").cast("string"), "schema_version", "version").cast("binary"))
+                                 .otherwise(F.col("content")))
+    # Sealed anew after the damage: only the parsers can find it.
+    bare = kept.where((kind == 4) & (F.col("name") != R.MANIFEST)).select("log", F.substring_index("name", "/", -1).alias("file"), "content")
+    bare = bare.withColumn("content", F.when(F.col("file") == "metadata.json", F.regexp_replace(F.col("content").cast("string"), '"branch"', '"side"').cast("binary")).otherwise(F.col("content")))
+    return R.faults(touched.where(kind != 4).unionByName(R.sealed(bare)))
+
+
 def streamed_episodes(spark, sf):
     """Contact points arriving in step order, folded into episodes batch by batch."""
     root = _fresh(spark)
@@ -112,10 +158,20 @@ def view_examples(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    stored_logs, streamed_episodes, streamed_journal, complete_scenes, complete_artifacts, generation_digests, scene_examples, view_examples,
+    stored_logs, raw_logs, raw_log_faults, streamed_episodes, streamed_journal, complete_scenes, complete_artifacts, generation_digests, scene_examples, view_examples,
 )}
 
+# Raw logs exist where some step has all objects of its instance and branch.
+_GRID = """objects AS (SELECT instance_id, branch, count(DISTINCT object_id) AS n FROM states GROUP BY ALL),
+    grid AS (SELECT instance_id, branch, step FROM states JOIN objects USING (instance_id, branch) GROUP BY instance_id, branch, step, n HAVING count(DISTINCT object_id) = n),
+    kept AS (SELECT DISTINCT instance_id, branch FROM grid)"""
+
 ORACLES = {
+    "raw_logs": X.oracle("contacts states", f"""{_GRID} SELECT instance_id || '_' || branch AS log, least(object_a, object_b) AS name, count(*) AS rows, max(step) AS last_step,
+            {sr("sum(normal_force)", 3)} AS total, 'contacts' AS file FROM contacts JOIN kept USING (instance_id, branch) GROUP BY ALL
+        UNION ALL SELECT instance_id || '_' || branch, object_id, count(*), max(step), {sr("sum(x)", 3)}, 'states' FROM states JOIN grid USING (instance_id, branch, step) GROUP BY ALL"""),
+    "raw_log_faults": X.oracle("states", f"""{_GRID} SELECT instance_id || '_' || branch AS log, CASE instance_id % 5 WHEN 1 THEN 'missing: states.npy' WHEN 2 THEN 'altered: contacts.jsonl'
+        WHEN 3 THEN 'manifest: fields' ELSE 'metadata: fields' END AS reason FROM kept WHERE instance_id % 5 <> 0"""),
     "stored_logs": X.oracle("contacts states", """SELECT instance_id, branch, count(*) AS rows, max(step) AS last_step, 'contacts' AS "table" FROM contacts GROUP BY ALL
         UNION ALL SELECT instance_id, branch, count(*), max(step), 'states' FROM states GROUP BY ALL"""),
     "streamed_episodes": QC.ORACLES["contact_episodes"],
