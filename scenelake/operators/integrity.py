@@ -139,6 +139,19 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy(*columns).agg(F.sum("_sign").alias("balance")).where("balance <> 0")
 
 
+def differing_groups(left: DataFrame, right: DataFrame, key: str = "instance_id") -> DataFrame:
+    """Keys whose rows are not the same multiset on both sides.
+
+    Each row counts by two digests, with a sign per side: sums that do not depend on order and that equal multisets
+    bring to zero. A task sends one row per key, so nothing of the rows is moved.
+    """
+    columns = sorted(left.columns)
+    signed = lambda df, sign: df.select(key, F.lit(sign).alias("n"), *[
+        (F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)") * sign).alias(f"h{seed}") for seed in (1, 2)])
+    sums = signed(left, 1).unionByName(signed(right.select(*left.columns), -1)).groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", "h1", "h2")])
+    return sums.where("n <> 0 OR h1 <> 0 OR h2 <> 0").select(key)
+
+
 def provenance_mismatches(contacts: DataFrame, raw: DataFrame) -> DataFrame:
     """Difference between logged contacts and those rebuilt from the raw solver rows."""
     from scenelake.operators.contacts import canonicalise

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from scenelake.operators import contacts as K
+from scenelake.operators import graph as G
 from scenelake.plans import examples as E
+from scenelake.plans.ground_truth import GroundTruth
 from scenelake.queries import contacts as QC
 from scenelake.queries import fixtures as X
 from scenelake.session import shared_folder
@@ -79,6 +81,28 @@ def raw_log_faults(spark, sf):
     return R.faults(touched.where(kind != 4).unionByName(R.sealed(bare)))
 
 
+def pair_truth_differences(spark, sf):
+    """Contacts, states and truth written as a pair, its truth then touched in two of three instances and compared with what the logs give again."""
+    points = X.contact_points(spark, sf).select("instance_id", "branch", "step", "object_a", "object_b", "normal_force")
+    states = X.body_states(spark, sf)
+    edges = K.episodes(K.contact_steps(K.canonicalise(points), QC.RATE), QC.FORCE, QC.IMPULSE)
+    truth = lambda edges, states: GroundTruth(
+        G.edge_delta(G.branch_edges(edges, "factual"), G.branch_edges(edges, "counterfactual")),
+        states.groupBy("instance_id", "object_id").agg(F.max("step").alias("last_step")), None)
+    first = truth(edges, states)
+    kind = F.col("instance_id") % 3
+    # One end of every first change moves by a step; one object is listed twice.
+    moved = first.delta.withColumn("end_step", F.when((kind == 1) & (F.col("object_a") == "object_0"), F.col("end_step") + 1).otherwise(F.col("end_step")))
+    twice = first.affected.unionByName(first.affected.where((kind == 2) & (F.col("object_id") == "object_3")))
+    root = _fresh(spark)
+    A.write_pair(points, states, GroundTruth(moved, twice, None), root)
+    contacts, kept, stored = A.read_pair(spark, root, verify=True)
+    again = truth(K.episodes(K.contact_steps(K.canonicalise(contacts), QC.RATE), QC.FORCE, QC.IMPULSE), kept)
+    rows = A.differing_rows(stored, again, "affected").groupBy("instance_id").agg(F.sum("balance").alias("surplus"))
+    found = A.truth_differences(stored, again).join(rows, "instance_id", "left")
+    return found.select("instance_id", "part", F.when(F.col("part") == "affected", F.col("surplus")).alias("surplus"))
+
+
 def streamed_episodes(spark, sf):
     """Contact points arriving in step order, folded into episodes batch by batch."""
     root = _fresh(spark)
@@ -158,7 +182,7 @@ def view_examples(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    stored_logs, raw_logs, raw_log_faults, streamed_episodes, streamed_journal, complete_scenes, complete_artifacts, generation_digests, scene_examples, view_examples,
+    stored_logs, raw_logs, raw_log_faults, pair_truth_differences, streamed_episodes, streamed_journal, complete_scenes, complete_artifacts, generation_digests, scene_examples, view_examples,
 )}
 
 # Raw logs exist where some step has all objects of its instance and branch.
@@ -174,6 +198,9 @@ ORACLES = {
         WHEN 3 THEN 'manifest: fields' ELSE 'metadata: fields' END AS reason FROM kept WHERE instance_id % 5 <> 0"""),
     "stored_logs": X.oracle("contacts states", """SELECT instance_id, branch, count(*) AS rows, max(step) AS last_step, 'contacts' AS "table" FROM contacts GROUP BY ALL
         UNION ALL SELECT instance_id, branch, count(*), max(step), 'states' FROM states GROUP BY ALL"""),
+    "pair_truth_differences": X.oracle("contacts states", f"""{QC.DELTA}
+        SELECT DISTINCT instance_id, 'delta' AS part, NULL::BIGINT AS surplus FROM delta WHERE instance_id % 3 = 1 AND object_a = 'object_0'
+        UNION ALL SELECT DISTINCT instance_id, 'affected', 1 FROM states WHERE instance_id % 3 = 2 AND object_id = 'object_3'"""),
     "streamed_episodes": QC.ORACLES["contact_episodes"],
     "streamed_journal": X.oracle("attempts", """a AS (SELECT 'published' AS sink, status, category FROM attempts
         UNION ALL SELECT 'rejected', status, 'changed' FROM attempts WHERE attempt_index % 10 = 0) SELECT sink, status, category, count(*) AS records FROM a GROUP BY ALL"""),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.operators.integrity import multiset_difference
+from scenelake.operators.integrity import differing_groups, multiset_difference
 from scenelake.plans.ground_truth import GroundTruth
 from scenelake.sources import logs
 
@@ -58,20 +59,44 @@ def complete_artifacts(files: DataFrame, branches: Sequence[str], per_branch: Se
 
 
 def write_pair(contacts: DataFrame, states: DataFrame, truth: GroundTruth, root: str, overwrite: bool = False) -> str:
-    tables = {"contacts": contacts, "states": states, "delta": truth.delta, "affected": truth.affected, "paths": truth.paths}
+    tables = {"contacts": contacts, "states": states, "delta": truth.delta, "affected": truth.affected}
+    if truth.paths is not None:
+        tables["paths"] = truth.paths
     return logs.write_generation(tables, root, overwrite)
 
 
 def read_pair(spark: SparkSession, root: str, verify: bool = False) -> tuple[DataFrame, DataFrame, GroundTruth]:
-    tables = logs.read_generation(spark, root, list(PAIR_TABLES), verify)
-    truth = GroundTruth(tables["delta"], tables["affected"], tables["paths"])
+    names = logs.generation_tables(spark, root)
+    tables = logs.read_generation(spark, root, [n for n in PAIR_TABLES if n in names], verify)
+    truth = GroundTruth(tables["delta"], tables["affected"], tables.get("paths"))
     return tables["contacts"], tables["states"], truth
 
 
+def _parts(stored: GroundTruth, recomputed: GroundTruth) -> list[tuple[str, DataFrame, DataFrame]]:
+    found = [(name, getattr(stored, name), getattr(recomputed, name)) for name in ("delta", "affected", "paths")]
+    return [(name, left, right.select(*left.columns)) for name, left, right in found if left is not None and right is not None]
+
+
 def truth_differences(stored: GroundTruth, recomputed: GroundTruth) -> DataFrame:
-    """Instances whose stored truth is not what the logs give again."""
-    parts = []
-    for name in ("delta", "affected", "paths"):
-        left, right = getattr(stored, name), getattr(recomputed, name)
-        parts.append(multiset_difference(left, right.select(*left.columns)).select("instance_id", F.lit(name).alias("part")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    """Instances and parts whose stored truth is not what the logs give again, by digests per instance."""
+    return reduce(DataFrame.unionByName, [differing_groups(left, right).withColumn("part", F.lit(name)) for name, left, right in _parts(stored, recomputed)])
+
+
+def differing_rows(stored: GroundTruth, recomputed: GroundTruth, part: str) -> DataFrame:
+    """Rows of one part that only one side has; rows are compared only where an instance's digests differ.
+
+    ``balance`` is positive for rows that only the stored side has.
+    """
+    left, right = next((left, right) for name, left, right in _parts(stored, recomputed) if name == part)
+    suspect = differing_groups(left, right).withColumnRenamed("instance_id", "_suspect")
+    only = lambda df: df.join(suspect, df["instance_id"].eqNullSafe(suspect["_suspect"]), "left_semi")
+    return multiset_difference(only(left), only(right))
+
+
+def read_verified_pair(spark: SparkSession, root: str, recompute: Callable[[DataFrame, DataFrame], GroundTruth]) -> tuple[DataFrame, DataFrame, GroundTruth]:
+    """A pair whose tables match their digests and whose truth ``recompute(contacts, states)`` gives again; else an error."""
+    contacts, states, truth = read_pair(spark, root, verify=True)
+    found = truth_differences(truth, recompute(contacts, states)).orderBy("instance_id", "part").limit(5).collect()
+    if found:
+        raise ValueError("stored truth differs from the logs: " + ", ".join(f"{row['part']} of instance {row['instance_id']}" for row in found))
+    return contacts, states, truth

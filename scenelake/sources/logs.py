@@ -81,6 +81,15 @@ def write_generation(tables: Mapping[str, DataFrame], root: str, overwrite: bool
     return generation
 
 
+def generation_tables(spark: SparkSession, root: str) -> list[str]:
+    """Names of the tables of the current generation."""
+    generation = current_generation(spark, root)
+    if generation is None:
+        raise FileNotFoundError(f"{root} holds no generation")
+    recorded = spark.read.text(f"{root}/generations/{generation}/complete").first()["value"]
+    return [entry.split(":")[0] for entry in recorded.split(";") if entry]
+
+
 def read_generation(spark: SparkSession, root: str, names: list[str], verify: bool = False) -> dict[str, DataFrame]:
     """Tables of the current generation; ``verify`` recomputes every digest first."""
     generation = current_generation(spark, root)

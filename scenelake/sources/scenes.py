@@ -129,8 +129,11 @@ def read_frames(spark: SparkSession, path: str, scenes: DataFrame | None = None,
 
 
 def write_layer(frames: DataFrame, layer: str, root: str) -> None:
-    """16-bit codes of a floating layer and its per-scene range, as tables below ``root``."""
+    """16-bit codes of a floating layer and its per-scene range, as tables below ``root``.
+
+    The scenes given replace what the layer held of them; others stay, so a repeated run changes nothing.
+    """
     from scenelake.operators.pixels import encode_layer, layer_ranges
 
-    encode_layer(frames, layer).withColumn("layer", F.lit(layer)).write.mode("append").partitionBy("layer").parquet(f"{root}/frames")
-    layer_ranges(frames, layer).withColumn("layer", F.lit(layer)).write.mode("append").parquet(f"{root}/data_ranges")
+    for name, rows in (("frames", encode_layer(frames, layer)), ("data_ranges", layer_ranges(frames, layer))):
+        rows.withColumn("layer", F.lit(layer)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "scene").parquet(f"{root}/{name}")
