@@ -59,6 +59,13 @@ def look_at_views(spark, sf):
         "scene", "frame", r(F.col("image")[0]).alias("u"), r(F.col("image")[1]).alias("v"), r(F.col("image")[2]).alias("side"))
 
 
+def look_at_axes(spark, sf):
+    """The right and up axes of cameras turned to the origin."""
+    views = _views(spark, sf).withColumn("q", Q.look_at(F.col("position"), V.vector(0.0, 0.0, 0.0)))
+    turned = views.select("scene", "frame", Q.rotate(F.col("q"), V.vector(1.0, 0.0, 0.0)).alias("right"), Q.rotate(F.col("q"), V.vector(0.0, 1.0, 0.0)).alias("up"))
+    return turned.select("scene", "frame", *X.lanes("right", "rx ry rz"), *X.lanes("up", "ux uy uz"))
+
+
 def euler_rotations(spark, sf):
     angles = [_e(i) * 4 for i in (1, 2, 3)]
     turned = X.table(spark, sf, "frame_rows").withColumn("q", Q.from_euler(*angles)).withColumn("v", Q.rotate(F.col("q"), V.vector(1.0, 2.0, 3.0)))
@@ -142,7 +149,7 @@ def blocked_paths(spark, sf):
 def camera_framing(spark, sf):
     b = X.bodies(spark, sf)
     targets = b.select("instance_id", F.explode(H.corner_targets(F.col("position"), H.circumradius(F.col("shape"), F.col("size")))).alias("target"))
-    cameras = b.where("object_id in ('body_0', 'body_7', 'body_13')").select(
+    cameras = b.select(
         "instance_id", F.col("object_id").alias("camera"), F.array(F.col("position")[0] + 10, F.col("position")[1] - 8, F.col("position")[2] + 4).alias("position"),
         V.vector(5.0, 4.5, 1.0).alias("look_at"), (F.lit(14.0) + F.col("k") % 12).alias("focal_length"), F.lit(36.0).alias("sensor_width"), F.lit(1.5).alias("aspect"))
     return S.framing(cameras, targets, 0.05)
@@ -224,7 +231,7 @@ def snapped_tracks(spark, sf):
 
 def padded_points(spark, sf):
     """Each scene's labels padded to eight rows."""
-    listed = X.table(spark, sf, "scene_instances").where("label < 9").select("scene", (F.col("label") - 1).alias("position"), "label")
+    listed = X.table(spark, sf, "scene_instances").select("scene", F.when(F.col("label") == 9, 4).otherwise(F.col("label") - 1).alias("position"), "label")
     return M.pad(listed, 8, ["scene"])
 
 
@@ -253,7 +260,7 @@ def shrunk_layers(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    projected_points, unprojected_points, look_at_views, euler_rotations, shape_measures, oriented_boxes, box_overlaps, static_clips, out_of_bounds_steps,
+    projected_points, unprojected_points, look_at_views, look_at_axes, euler_rotations, shape_measures, oriented_boxes, box_overlaps, static_clips, out_of_bounds_steps,
     swept_hits, swept_hits_open, blocked_paths, camera_framing, coarse_framing, hidden_points, box_local_points, grid_samples, sample_quotas, crop_windows, point_tracks, snapped_tracks,
     padded_points, scene_boundaries, scene_metadata, shrunk_layers,
 )}
@@ -332,6 +339,9 @@ ORACLES = {
         (SELECT *, (3.5/8 - 0.5)::DOUBLE / {F0} AS rx, (4.5/8 - 0.5)::DOUBLE / -{F0} AS ry FROM views) t)
         SELECT scene, frame, {", ".join(f"{sr(f'{t} + {c}', 5)} AS {n}" for t, c, n in zip(_turn(['rx*s', 'ry*s', '-s']), ('cx', 'cy', 'cz'), 'xyz'))} FROM k"""),
     "look_at_views": "SELECT CAST(vec_id // 25 AS INT) AS scene, CAST(vec_id % 25 AS INT) AS frame, 0.5::DOUBLE AS u, 0.5::DOUBLE AS v, 1.0::DOUBLE AS side FROM embeddings",
+    "look_at_axes": X.oracle("frame_rows", f"""{VIEWS}, f AS (SELECT scene, frame, -cx/n AS fx, -cy/n AS fy, -cz/n AS fz FROM (SELECT scene, frame, cx, cy, cz, sqrt(cx*cx + cy*cy + cz*cz) AS n FROM views) t),
+        h AS (SELECT *, sqrt(fx*fx + fy*fy) AS h FROM f) SELECT scene, frame, {sr("fy/h")} AS rx, {sr("-fx/h")} AS ry, {sr("0.0::DOUBLE")} AS rz,
+        {sr("-fz*fx/h")} AS ux, {sr("-fz*fy/h")} AS uy, {sr("h")} AS uz FROM h"""),
     "euler_rotations": X.oracle("frame_rows", f"""a AS (SELECT scene, frame, e[1]::DOUBLE*4 AS p, e[2]::DOUBLE*4 AS q, e[3]::DOUBLE*4 AS s FROM frame_rows),
         rx AS (SELECT *, 1.0::DOUBLE AS x1, 2*cos(p) - 3*sin(p) AS y1, 2*sin(p) + 3*cos(p) AS z1 FROM a), ry AS (SELECT *, x1*cos(q) + z1*sin(q) AS x2, y1 AS y2, -x1*sin(q) + z1*cos(q) AS z2 FROM rx)
         SELECT scene, frame, {sr('x2*cos(s) - y2*sin(s)')} AS x, {sr('x2*sin(s) + y2*cos(s)')} AS y, {sr('z2')} AS z, {sr('sqrt(14.0::DOUBLE)')} AS length, 3.0::DOUBLE AS restored FROM ry"""),
@@ -356,7 +366,7 @@ ORACLES = {
         AND greatest(0.0, {", ".join(h[0] for h in NEAR)}) <= least(1.0, {", ".join(h[1] for h in NEAR)}) AND NOT ({" OR ".join(h[2] for h in NEAR)})
         UNION ALL SELECT instance_id, branch, 'too_short' FROM states WHERE object_id = 'object_0' GROUP BY ALL HAVING count(*) < 2"""),
     "camera_framing": X.oracle("boxes", f"""{YAWED}, cam AS (SELECT instance_id, object_id AS camera, x+10 AS px, y-8 AS py, z+4 AS pz, 5.0::DOUBLE AS lx, 4.5::DOUBLE AS ly, 1.0::DOUBLE AS lz, 14.0::DOUBLE + k % 12 AS f
-        FROM boxes WHERE object_id IN ('body_0', 'body_7', 'body_13')), ax AS (SELECT *, (lx-px)/{FWD} AS fx, (ly-py)/{FWD} AS fy, (lz-pz)/{FWD} AS fz FROM cam),
+        FROM boxes), ax AS (SELECT *, (lx-px)/{FWD} AS fx, (ly-py)/{FWD} AS fy, (lz-pz)/{FWD} AS fz FROM cam),
         ay AS (SELECT *, fy/sqrt(fx*fx+fy*fy) AS rx, -fx/sqrt(fx*fx+fy*fy) AS ry FROM ax),
         s AS (SELECT unnest([-1,-1,-1,-1,1,1,1,1]) AS a, unnest([-1,-1,1,1,-1,-1,1,1]) AS b, unnest([-1,1,-1,1,-1,1,-1,1]) AS c),
         t AS (SELECT instance_id, x + a*rad AS tx, y + b*rad AS ty, z + c*rad AS tz FROM (SELECT *, CASE WHEN shape = 'sphere' THEN sx ELSE sqrt(2*sx*sx + hz*hz) END AS rad FROM solid) o, s),
@@ -382,8 +392,8 @@ ORACLES = {
         UNION ALL SELECT w.scene, o.i, w.remaining - q, o.label, q FROM (SELECT w.scene AS ws, w.i AS wi, o.*, w.remaining AS rem,
             least(CAST(round_even(w.remaining::FLOAT * (1.0 / (o.k - o.i + 1))::FLOAT, 0) AS INT), CAST(round_even(o.n::FLOAT * 0.15::FLOAT, 0) AS INT)) AS q FROM w JOIN o ON o.scene = w.scene AND o.i = w.i + 1) z
             JOIN w ON w.scene = z.ws AND w.i = z.wi JOIN o ON o.scene = z.scene AND o.i = z.i) SELECT scene, label, quota FROM w WHERE label >= 0"""),
-    "padded_points": X.oracle("scene_instances", """l AS (SELECT scene, label FROM scene_instances WHERE label < 9) SELECT scene, CAST(p AS INT) AS position,
-        CAST(CASE WHEN p < 4 THEN p + 1 ELSE 3 END AS INT) AS label FROM (SELECT DISTINCT scene FROM l) t, range(0, 8) u(p)"""),
+    "padded_points": X.oracle("scene_instances", """l AS (SELECT scene, label FROM scene_instances) SELECT scene, CAST(p AS INT) AS position,
+        CAST(CASE WHEN p < 4 THEN p + 1 WHEN p = 4 THEN 9 ELSE 4 END AS INT) AS label FROM (SELECT DISTINCT scene FROM l) t, range(0, 8) u(p)"""),
     "scene_boundaries": X.oracle("boxes", f"""{YAWED} SELECT instance_id, object_id, {sr('x-0.1')} AS low_x, {sr('y-0.1')} AS low_y, {sr('z-0.1')} AS low_z, {sr('x+sx+0.1')} AS high_x, {sr('y+sx+0.1')} AS high_y,
         {sr('z+hz0+0.1')} AS high_z, k % 2 = 0 OR abs(z) <= 1e-8 + 1e-5*abs(z) AS floor_matches FROM solid"""),
     "scene_metadata": X.oracle("frame_rows", f"""{VIEWS}, {OBJECTS}, l AS (SELECT scene, frame, o, z, {_turn(['x - cx', 'y - cy', 'z - cz'], 'v', True)[2]} AS lz FROM

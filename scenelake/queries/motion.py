@@ -75,9 +75,8 @@ def commanded_velocities(spark, sf):
 
 
 def continuous_quaternions(spark, sf):
-    tracks = X.body_states(spark, sf).where("branch = 'counterfactual'")
-    return S.continuous_quaternions(tracks, ("instance_id", "object_id"), "step").select(
-        "instance_id", "object_id", "step", *X.lanes("quaternion", "qw qx qy qz"))
+    return S.continuous_quaternions(X.body_states(spark, sf), ("instance_id", "branch", "object_id"), "step").select(
+        "instance_id", "branch", "object_id", "step", *X.lanes("quaternion", "qw qx qy qz"))
 
 
 def prefix_mismatches(spark, sf):
@@ -93,8 +92,8 @@ def prefix_contact_mismatches(spark, sf):
 
 
 def path_deviation(spark, sf):
-    f, c = (side.where("object_id = 'object_3'") for side in _sides(spark, sf))
-    return S.path_deviation(f, c).select("instance_id", r(F.col("max_deviation")).alias("max_deviation"))
+    """How far every object's path leaves its own of the other branch."""
+    return S.path_deviation(*_sides(spark, sf), ("instance_id", "object_id")).select("instance_id", "object_id", r(F.col("max_deviation")).alias("max_deviation"))
 
 
 def scene_frame_steps(spark, sf):
@@ -212,6 +211,14 @@ SAMPLES = """src AS (SELECT instance_id, CAST(row_number() OVER (PARTITION BY in
     lasts AS (SELECT instance_id, max(n) AS top FROM src GROUP BY ALL),
     q AS (SELECT instance_id, CAST(s AS INT) AS sample, s / 47.0::DOUBLE * top AS pos, least(CAST(floor(s / 47.0::DOUBLE * top) AS INT), top - 1) AS seg
         FROM lasts, range(0, 48) t(s))"""
+QUAT = ("qw", "qx", "qy", "qz")
+
+
+def _opposed(order: str) -> str:
+    """1 where a quaternion opposes the one before it."""
+    return "coalesce((" + " + ".join(f"{c} * lag({c}) OVER (PARTITION BY instance_id ORDER BY {order})" for c in QUAT) + " < 0)::INT, 0)"
+
+
 TRIPLE = """three AS (SELECT * FROM states UNION ALL SELECT * REPLACE ('subject_removed' AS branch) FROM states WHERE branch = 'factual' AND object_id <> 'object_0'),
     facts AS (SELECT instance_id, branch, max(sqrt(vx*vx + vy*vy + vz*vz)) AS lin, max(sqrt(wx*wx + wy*wy + wz*wz)) AS ang,
         bool_or(x < -1e-6 OR x > 9.55 + 1e-6 OR y < -1e-6 OR y > 8.75 + 1e-6 OR z < -1e-6 OR z > 1.2 + 1e-6) AS outside FROM three GROUP BY ALL),
@@ -247,17 +254,17 @@ ORACLES = {
     "commanded_velocities": X.oracle("states", f"""SELECT instance_id, step, {", ".join(f"{sr(f'coalesce(({c} - lag({c}) OVER w) * 240, 0)')} AS v{c}" for c in "xyz")} FROM states
         WHERE object_id = 'object_0' AND branch = 'factual' WINDOW w AS (PARTITION BY instance_id ORDER BY step)"""),
     "continuous_quaternions": X.oracle("states", f"""s AS (SELECT *, coalesce((qw*lag(qw) OVER w + qx*lag(qx) OVER w + qy*lag(qy) OVER w + qz*lag(qz) OVER w < 0)::INT, 0) AS o FROM states
-        WHERE branch = 'counterfactual' WINDOW w AS (PARTITION BY instance_id, object_id ORDER BY step)),
-        p AS (SELECT *, CASE WHEN sum(o) OVER (PARTITION BY instance_id, object_id ORDER BY step) % 2 = 1 THEN -1.0 ELSE 1.0 END AS sg FROM s)
-        SELECT instance_id, object_id, step, {", ".join(f"{sr(f'sg * {c}')} AS {c}" for c in ("qw", "qx", "qy", "qz"))} FROM p"""),
+        WINDOW w AS (PARTITION BY instance_id, branch, object_id ORDER BY step)),
+        p AS (SELECT *, CASE WHEN sum(o) OVER (PARTITION BY instance_id, branch, object_id ORDER BY step) % 2 = 1 THEN -1.0 ELSE 1.0 END AS sg FROM s)
+        SELECT instance_id, branch, object_id, step, {", ".join(f"{sr(f'sg * {c}')} AS {c}" for c in ("qw", "qx", "qy", "qz"))} FROM p"""),
     "prefix_mismatches": X.oracle("states", f"""{SIDES}, early AS (SELECT coalesce(sf.instance_id, sc.instance_id) AS instance_id, coalesce(sf.object_id, sc.object_id) AS object_id,
         coalesce(sf.step, sc.step) AS step, sf.step IS NOT NULL AND sc.step IS NOT NULL AND sf.x = sc.x AND sf.qw = sc.qw AS same
         FROM sf FULL JOIN sc ON sf.instance_id = sc.instance_id AND sf.step = sc.step AND sf.object_id = sc.object_id)
         SELECT instance_id, object_id, count(*) AS mismatched_steps FROM early WHERE (step < 40 OR (step = 0 AND object_id <> 'object_0')) AND NOT same GROUP BY ALL"""),
     "prefix_contact_mismatches": X.oracle("contacts", """b AS (SELECT instance_id, step, object_a, object_b, normal_force, sum(CASE WHEN branch = 'factual' THEN 1 ELSE -1 END) AS n
         FROM contacts WHERE step < 228 GROUP BY ALL) SELECT instance_id, CAST(sum(abs(n)) AS BIGINT) AS unmatched_contacts FROM b WHERE n <> 0 GROUP BY ALL"""),
-    "path_deviation": X.oracle("states", f"""{SIDES} SELECT instance_id, {sr('max(sqrt((sf.x-sc.x)**2 + (sf.y-sc.y)**2 + (sf.z-sc.z)**2))')} AS max_deviation
-        FROM sf JOIN sc USING (instance_id, object_id, step) WHERE object_id = 'object_3' GROUP BY ALL"""),
+    "path_deviation": X.oracle("states", f"""{SIDES} SELECT instance_id, object_id, {sr('max(sqrt((sf.x-sc.x)**2 + (sf.y-sc.y)**2 + (sf.z-sc.z)**2))')} AS max_deviation
+        FROM sf JOIN sc USING (instance_id, object_id, step) GROUP BY ALL"""),
     "scene_frame_steps": """SELECT c_custkey AS instance_id, CAST(f AS INT) AS frame, CAST(f * 20 AS INT) AS step, CAST((2 + c_custkey % 5) * 20 AS INT) AS duration_steps
         FROM customer, range(0, 7) t(f) WHERE f < 2 + c_custkey % 5""",
     "keyframes_linear": X.oracle("keyframes", f"""{KEYED} SELECT asset, frame, {sr('''CASE WHEN lf IS NULL THEN rv WHEN rf IS NULL OR lf = rf THEN lv
@@ -266,6 +273,17 @@ ORACLES = {
     "keyframes_const": X.oracle("keyframes", f"{KEYED} SELECT asset, frame, {sr('coalesce(lv, rv)')} AS value FROM b"),
     "resampled_paths": X.oracle("states", f"""{SAMPLES} SELECT q.instance_id, sample, {", ".join(f"{sr(f'(1 - (pos - seg)) * a.{c} + (pos - seg) * b.{c}')} AS {c}" for c in "xyz")}
         FROM q JOIN src a ON a.instance_id = q.instance_id AND a.n = seg JOIN src b ON b.instance_id = q.instance_id AND b.n = seg + 1"""),
+    "resampled_poses": X.oracle("states", f"""{SAMPLES},
+        met AS (SELECT *, {_opposed("n")} AS o FROM src), turned AS (SELECT *, sum(o) OVER (PARTITION BY instance_id ORDER BY n) % 2 AS odd FROM met),
+        even AS (SELECT instance_id, n, x, y, z, {", ".join(f"(1 - 2*odd) * {c} AS {c}" for c in QUAT)} FROM turned),
+        ends AS (SELECT q.instance_id, sample, pos - seg AS t, {", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in ("x", "y", "z", *QUAT))},
+            acos(greatest(-1.0, least(1.0, a.qw*b.qw + a.qx*b.qx + a.qy*b.qy + a.qz*b.qz))) AS g
+            FROM q JOIN even a ON a.instance_id = q.instance_id AND a.n = seg JOIN even b ON b.instance_id = q.instance_id AND b.n = seg + 1),
+        blended AS (SELECT *, CASE WHEN cos(g) > 1 - 1e-10 THEN 1 - t ELSE sin((1 - t)*g)/sin(g) END AS wa, CASE WHEN cos(g) > 1 - 1e-10 THEN t ELSE sin(t*g)/sin(g) END AS wb FROM ends),
+        posed AS (SELECT instance_id, sample, {", ".join(f"(1 - t)*a_{c} + t*b_{c} AS {c}" for c in "xyz")}, {", ".join(f"wa*a_{c} + wb*b_{c} AS {c}" for c in QUAT)} FROM blended),
+        again AS (SELECT *, {_opposed("sample")} AS o FROM posed),
+        whole AS (SELECT *, sqrt(qw*qw + qx*qx + qy*qy + qz*qz) AS size, sum(o) OVER (PARTITION BY instance_id ORDER BY sample) % 2 AS odd FROM again)
+        SELECT instance_id, sample, {", ".join(f"{sr(c)} AS {c}" for c in "xyz")}, {", ".join(f"{sr(f'(1 - 2*odd) * {c} / size', 5)} AS {c}" for c in QUAT)} FROM whole"""),
     "path_violations": X.oracle("states", """p AS (SELECT *, qw*lag(qw) OVER w + qx*lag(qx) OVER w + qy*lag(qy) OVER w + qz*lag(qz) OVER w AS d FROM states
         WHERE object_id = 'object_0' AND branch = 'factual' WINDOW w AS (PARTITION BY instance_id ORDER BY step))
         SELECT DISTINCT instance_id, 'sign_flip' AS code FROM p WHERE d < -1e-6
