@@ -116,7 +116,7 @@ def contact_nodes(contacts: DataFrame, keys: Sequence[str] = SCOPE) -> DataFrame
 
 
 def episodes(steps: DataFrame, force_threshold: float = 0.0, minimum_impulse: float = 0.0,
-             keys: Sequence[str] = SCOPE, block: int = ordered.BLOCK) -> DataFrame:
+             keys: Sequence[str] = SCOPE, block: ordered.Block = ordered.BLOCK) -> DataFrame:
     """Maximal runs of consecutive contact steps of a pair; ``end_step`` is exclusive."""
     strong = steps.where(F.col("normal_force") >= force_threshold)
     merged = ordered.runs(
@@ -128,7 +128,7 @@ def episodes(steps: DataFrame, force_threshold: float = 0.0, minimum_impulse: fl
 
 
 def episode_members(steps: DataFrame, force_threshold: float = 0.0,
-                    keys: Sequence[str] = SCOPE, block: int = ordered.BLOCK) -> DataFrame:
+                    keys: Sequence[str] = SCOPE, block: ordered.Block = ordered.BLOCK) -> DataFrame:
     """The contact steps of each episode in long form, labelled with the episode start."""
     strong = steps.where(F.col("normal_force") >= force_threshold)
     return ordered.with_run_start(strong, [*keys, *PAIR], "step", block=block)

@@ -16,7 +16,7 @@ CHANNEL = ("asset", "member")
 
 
 def values_at(keyframes: DataFrame, queries: DataFrame, size: int, interpolation: str = "linear",
-              keys: Sequence[str] = CHANNEL, block: int = ordered.BLOCK) -> DataFrame:
+              keys: Sequence[str] = CHANNEL, block: ordered.Block = ordered.BLOCK) -> DataFrame:
     """As-of value of every queried frame, clamped outside the keyed range.
 
     ``interpolation`` is ``const`` (previous key), ``nearest`` (a tie goes to the
@@ -58,7 +58,7 @@ def frame_range(scenes: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def resample(paths: DataFrame, queries: DataFrame, keys: Sequence[str] = ("instance_id",),
-             block: int = ordered.BLOCK, output_block: int | None = ordered.BLOCK) -> DataFrame:
+             block: ordered.Block = ordered.BLOCK, output_block: ordered.Block | None = ordered.BLOCK) -> DataFrame:
     """Path pose at query times in [0, 1] over uniformly spaced samples.
 
     ``paths`` holds sample (0-based), position and optionally quaternion; ``queries``

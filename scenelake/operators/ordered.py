@@ -5,7 +5,8 @@ blocks of the integer order column (or of a digest); a window runs inside each b
 only one summary row per block is carried across blocks. One key holding a third of all
 rows therefore spreads over as many tasks as it has blocks.
 
-``block=None`` is the plain window, for keys whose row count a parameter bounds.
+``block=None`` is the plain window, for keys whose row count a parameter bounds. ``block=ByRows(n)`` cuts by row count,
+for order values that are no counters (timestamps): approximate quantiles of each large key are its cut points.
 
 No row is lost to a null: rows with a null order value form the first block of their key,
 and rows with a null key form one block, as no summary could find its way back to them.
@@ -14,6 +15,7 @@ and rows with a null key form one block, as no summary could find its way back t
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BLOCK = 4096
+
+
+@dataclass(frozen=True)
+class ByRows:
+    """Blocks of about ``rows`` rows. A key is cut into ``parts`` blocks at most, beyond which these grow."""
+
+    rows: int = BLOCK
+    parts: int = 256
+
+
+Block = int | ByRows
 _BEFORE = (W.unboundedPreceding, -1)
 _UP_TO = (W.unboundedPreceding, W.currentRow)
 _AFTER = (1, W.unboundedFollowing)
@@ -34,7 +47,24 @@ def _keyless(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.lit(False))
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
+def cut_points(df: DataFrame, keys: Sequence[str], order: str, block: ByRows) -> DataFrame:
+    """Per key of more than ``block.rows`` rows: keys and ``_cuts``, ascending order values after which a block ends.
+
+    The quantiles are gathered map-side, so no task holds a key; small keys, which stay whole, have no row.
+    """
+    fractions = [i / block.parts for i in range(1, block.parts)]
+    known = df.where(F.col(order).isNotNull() & ~_keyless(keys)).groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(order, fractions, 20 * block.parts).alias("_all"))
+    stride = F.greatest(F.lit(1), F.ceil(F.lit(float(block.parts * block.rows)) / F.col("_n")).cast("int"))
+    thinned = F.array_distinct(F.filter("_all", lambda _, i: (i + 1) % F.col("_stride") == 0))
+    return known.where(F.col("_n") > block.rows).withColumn("_stride", stride).select(*keys, thinned.alias("_cuts"))
+
+
+def _blocked(df: DataFrame, keys: Sequence[str], order: str, block: Block) -> DataFrame:
+    if isinstance(block, ByRows):
+        # Equal order values stay together. A large key's rows meet one row of cuts, so the join's skew can be split.
+        cut = df.join(cut_points(df, keys, order, block), list(keys), "left")
+        number = F.coalesce(F.size(F.filter("_cuts", lambda at: at < F.col(order))), F.lit(0)).cast("bigint")
+        return cut.withColumn("_block", F.when(_keyless(keys) | F.col(order).isNull(), F.lit(_FIRST)).otherwise(number)).select(*df.columns, "_block")
     number = F.coalesce(F.floor(F.col(order) / block).cast("bigint"), F.lit(_FIRST))
     return df.withColumn("_block", F.when(_keyless(keys), F.lit(_FIRST)).otherwise(number))
 
@@ -48,7 +78,7 @@ def _within(keys: Sequence[str], order: str):
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, str],
-                   ahead: bool = False, block: int | None = BLOCK) -> DataFrame:
+                   ahead: bool = False, block: Block | None = BLOCK) -> DataFrame:
     """Adds columns of the previous (or next) row of the key; ``values`` maps source to output."""
     shift, pick = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
     packed = F.struct(*[F.col(source).alias(name) for source, name in values.items()])
@@ -70,7 +100,7 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, values: Mappi
 
 
 def with_running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str,
-                     block: int | None = BLOCK) -> DataFrame:
+                     block: Block | None = BLOCK) -> DataFrame:
     """Adds the inclusive running sum of ``value`` in order of a unique ``order`` column."""
     if block is None:
         return df.withColumn(name, F.sum(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(*_UP_TO)))
@@ -90,13 +120,13 @@ def with_running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Colu
 
 
 def with_last_known(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str,
-                    block: int = BLOCK) -> DataFrame:
+                    block: Block = BLOCK) -> DataFrame:
     """Fills ``name`` with the nearest non-null ``value`` at or before each row."""
     return with_bracket(df, keys, order, value, name, None, block)
 
 
 def with_bracket(df: DataFrame, keys: Sequence[str], order: str, value: str, before: str,
-                 after: str | None, block: int = BLOCK) -> DataFrame:
+                 after: str | None, block: Block = BLOCK) -> DataFrame:
     """Fills ``before`` and ``after`` with the nearest non-null ``value`` on either side.
 
     A row's own value counts for both sides. Every block keeps one summary row, so a block
@@ -125,7 +155,7 @@ def with_bracket(df: DataFrame, keys: Sequence[str], order: str, value: str, bef
 
 
 def with_running_changes(df: DataFrame, keys: Sequence[str], order: str, value: str, changed, name: str,
-                         block: int | None = BLOCK) -> DataFrame:
+                         block: Block | None = BLOCK) -> DataFrame:
     """Adds how often ``changed(previous, current)`` held up to each row of the key.
 
     One pass: a block counts its own changes, and its first and last value decide the
@@ -185,7 +215,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[st
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: str,
-         measures: Mapping[str, tuple[Column, str]], block: int = BLOCK) -> DataFrame:
+         measures: Mapping[str, tuple[Column, str]], block: Block = BLOCK) -> DataFrame:
     """Maximal runs of consecutive ``order`` values; one row per run with an exclusive end.
 
     ``order`` must be unique per key. ``measures`` maps a name to a partial aggregate and
@@ -198,9 +228,12 @@ def runs(df: DataFrame, keys: Sequence[str], order: str,
         .agg(F.min(order).alias("_first"), F.max(order).alias("_last"),
              *[partial.alias(name) for name, (partial, _) in measures.items()])
     )
-    touches = (F.pmod(F.col("_first"), F.lit(block)) == 0) | (
-        F.pmod(F.col("_last"), F.lit(block)) == block - 1
-    )
+    if isinstance(block, ByRows):
+        inside = W.partitionBy(*keys, "_block")
+        local = local.withColumn("_edge", (F.col("_first") == F.min("_first").over(inside)) | (F.col("_last") == F.max("_last").over(inside)))
+        touches = F.col("_edge")
+    else:
+        touches = (F.pmod(F.col("_first"), F.lit(block)) == 0) | (F.pmod(F.col("_last"), F.lit(block)) == block - 1)
     chain = W.partitionBy(*keys).orderBy("_first")
     opens = F.coalesce(F.lag("_last").over(chain) + 1 != F.col("_first"), F.lit(True)).cast("int")
     stitched = (
@@ -221,7 +254,7 @@ def runs(df: DataFrame, keys: Sequence[str], order: str,
 
 
 def with_run_start(df: DataFrame, keys: Sequence[str], order: str, name: str = "start_step",
-                   block: int = BLOCK) -> DataFrame:
+                   block: Block = BLOCK) -> DataFrame:
     """Labels every row with the first ``order`` value of the consecutive run it belongs to."""
     stepped = with_neighbour(df, keys, order, {order: "_previous"}, block=block)
     starts = F.col("_previous").isNull() | (F.col("_previous") + 1 != F.col(order))

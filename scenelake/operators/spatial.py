@@ -170,7 +170,7 @@ def _beside(corners: Column) -> Column:
 
 
 def swept_hits(paths: DataFrame, boxes: DataFrame, clearance: float = 0.0, closed: bool = True,
-               keys: Sequence[str] = ("instance_id",), block: int = ordered.BLOCK, cell: float = 1.0) -> DataFrame:
+               keys: Sequence[str] = ("instance_id",), block: ordered.Block = ordered.BLOCK, cell: float = 1.0) -> DataFrame:
     """Path segments that meet a box widened by ``clearance``; a (key, step, obstacle) each once.
 
     Boxes lie in a hierarchical grid. A segment passes the cells along its way, not those of its bounding box, at a level
@@ -225,7 +225,7 @@ def _passed(segments: DataFrame, cell: float) -> DataFrame:
 
 def path_violations(paths: DataFrame, bounds: DataFrame | None = None, boxes: DataFrame | None = None,
                     clearance: float = 0.0, keys: Sequence[str] = ("instance_id",),
-                    block: int = ordered.BLOCK, cell: float = 1.0) -> DataFrame:
+                    block: ordered.Block = ordered.BLOCK, cell: float = 1.0) -> DataFrame:
     """Rule codes broken by each path; an absent path row means the path is valid."""
     tolerance = 1e-6
     found = []

@@ -75,7 +75,7 @@ def diverged(factual: DataFrame, counterfactual: DataFrame, targets: DataFrame,
 
 
 def with_step_index(states: DataFrame, keys: Sequence[str] = ("instance_id", "object_id"),
-                    block: int = ordered.BLOCK) -> DataFrame:
+                    block: ordered.Block = ordered.BLOCK) -> DataFrame:
     """Zero-based position of each row on its own track."""
     counted = ordered.with_running_sum(states, keys, "step", F.lit(1), "step_index", block=block)
     return counted.withColumn("step_index", F.col("step_index") - 1)
@@ -83,7 +83,7 @@ def with_step_index(states: DataFrame, keys: Sequence[str] = ("instance_id", "ob
 
 def diverged_shared(factual: DataFrame, other: DataFrame, position_epsilon: float = 1e-3,
                     velocity_epsilon: float = 1e-3, quaternion_epsilon: float = 1e-3,
-                    block: int = ordered.BLOCK) -> DataFrame:
+                    block: ordered.Block = ordered.BLOCK) -> DataFrame:
     """Divergence of the objects in both logs, matched by row position up to the shorter log."""
     gaps = state_gaps(
         with_step_index(factual, block=block), with_step_index(other, block=block),
@@ -111,7 +111,7 @@ def nonfinite(states: DataFrame, keys: Sequence[str] = ("instance_id", "branch")
 
 def motion_modes(states: DataFrame, step_rate: float, minimum_revolutions: float = 0.35,
                  minimum_travel: float = 0.10, keys: Sequence[str] = TRACK,
-                 block: int = ordered.BLOCK) -> DataFrame:
+                 block: ordered.Block = ordered.BLOCK) -> DataFrame:
     """Path length, revolutions about horizontal axes and the motion label of each body."""
     stepped = ordered.with_neighbour(
         states.select(*keys, "step", "position", "angular_velocity"), keys, "step",
@@ -132,7 +132,7 @@ def motion_modes(states: DataFrame, step_rate: float, minimum_revolutions: float
 
 
 def max_displacement(factual: DataFrame, other: DataFrame, subjects: DataFrame,
-                     environment: Sequence[str], block: int = ordered.BLOCK) -> DataFrame:
+                     environment: Sequence[str], block: ordered.Block = ordered.BLOCK) -> DataFrame:
     """Largest position gap of any shared body except the subject and the environment."""
     movable = lambda side: (
         side.where(~F.col("object_id").isin(*environment)) if environment else side
@@ -152,7 +152,7 @@ def max_displacement(factual: DataFrame, other: DataFrame, subjects: DataFrame,
 
 def commanded_velocities(paths: DataFrame, step_rate: float,
                          keys: Sequence[str] = ("instance_id", "branch"),
-                         block: int = ordered.BLOCK) -> DataFrame:
+                         block: ordered.Block = ordered.BLOCK) -> DataFrame:
     """Backward-difference velocity of a commanded path; the first sample is at rest.
 
     Values outside the single-precision range raise.
@@ -168,7 +168,7 @@ def commanded_velocities(paths: DataFrame, step_rate: float,
 
 
 def continuous_quaternions(tracks: DataFrame, keys: Sequence[str], order: str,
-                           block: int | None = ordered.BLOCK) -> DataFrame:
+                           block: ordered.Block | None = ordered.BLOCK) -> DataFrame:
     """Normalises quaternions and flips signs so neighbours never oppose.
 
     Flipping is cumulative, and a flip happens exactly where the raw neighbours oppose,
@@ -233,7 +233,7 @@ def path_deviation(factual: DataFrame, perturbed: DataFrame,
 
 def command_violations(states: DataFrame, commands: DataFrame, objects: DataFrame,
                        penetrations: DataFrame, step_rate: float, gravity: float,
-                       block: int = ordered.BLOCK) -> DataFrame:
+                       block: ordered.Block = ordered.BLOCK) -> DataFrame:
     """Target poses that leave their commanded pose by more than the per-row tolerance.
 
     Free steps must match to single-precision rounding; a step with a recorded
