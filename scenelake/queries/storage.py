@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scenelake.operators import contacts as K
 from scenelake.operators import graph as G
 from scenelake.plans import examples as E
+from scenelake.plans import scene_records as W
 from scenelake.plans.ground_truth import GroundTruth
 from scenelake.queries import contacts as QC
 from scenelake.queries import fixtures as X
@@ -131,6 +132,48 @@ def streamed_journal(spark, sf):
     return kept.unionByName(lost).groupBy("sink", "status", "category").agg(F.count("*").alias("records"))
 
 
+def _scene_tables(spark, sf):
+    """Frames of three layers of codes, depth, ranges, metadata and events of each scene of 8x8 frames."""
+    frames = X.frames(spark, sf)
+    label = F.col("segmentation")
+    cell = lambda make: F.flatten(F.transform(label, make))
+    layers = {"segmentation": (1, label), "rgba": (4, cell(lambda v: F.array(v * 40, v + 1, F.lit(7), F.lit(255)))), "forward_flow": (3, cell(lambda v: F.array(v, 5 - v, F.lit(9))))}
+    codes = [frames.select("scene", F.lit(name).alias("layer"), "frame", "height", "width", F.lit(channels).alias("channels"), values.cast("array<int>").alias("values"))
+             for name, (channels, values) in layers.items()]
+    codes = codes[0].unionByName(codes[1]).unionByName(codes[2])
+    depth = frames.select("scene", "frame", "height", "width", F.col("depth").alias("values"))
+    scenes = frames.groupBy("scene").agg((F.max("frame") + 1).cast("int").alias("num_frames"), F.max(F.array_max("segmentation")).alias("num_instances"))
+    metadata = scenes.withColumn("resolution", F.array(F.lit(8), F.lit(8)))
+    ranges = scenes.select("scene", F.lit("forward_flow").alias("layer"), (-F.col("scene").cast("double")).alias("low"), F.col("scene").cast("double").alias("high"))
+    events = frames.where("frame % 5 = 2").select("scene", "frame")
+    return codes, depth, ranges, metadata, events
+
+
+_LAYERS = ("rgba", "segmentation", "forward_flow", "depth")
+
+
+def assembled_layers(spark, sf):
+    """Every value of every layer of the scenes at half their size."""
+    _, layers = W.assemble(*_scene_tables(spark, sf), 4, 4, _LAYERS)
+    return layers.select("scene", "layer", "frame", F.posexplode("values").alias("place", "value"))
+
+
+def assembled_records(spark, sf):
+    """The record of every scene at half its size."""
+    records, _ = W.assemble(*_scene_tables(spark, sf), 4, 4, _LAYERS)
+    pair = lambda name: [r(F.col(f"{name}_range")[i]).alias(f"{name}_{side}") for i, side in enumerate(("low", "high"))]
+    return records.select("scene", "height", "width", "num_frames", "num_instances", "events", *pair("forward_flow"), *pair("depth"))
+
+
+def broken_scenes(spark, sf):
+    """Scenes that lack frames of a layer, or whose size is no whole fraction."""
+    codes, depth, _, metadata, _ = _scene_tables(spark, sf)
+    codes = codes.where("NOT (layer = 'rgba' AND scene % 4 = 1 AND frame = 3)")
+    depth = depth.where("NOT (scene % 4 = 2 AND frame >= 10)")
+    metadata = metadata.withColumn("resolution", F.when(F.col("scene") % 4 == 3, F.array(F.lit(8), F.lit(6))).otherwise(F.col("resolution")))
+    return W.faults(codes, depth, metadata, 4, 4, _LAYERS)
+
+
 def _listing(spark, sf):
     """Files of one scene per order, of which some frames and sidecars are missing."""
     orders = X.given(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
@@ -182,7 +225,7 @@ def view_examples(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    stored_logs, raw_logs, raw_log_faults, pair_truth_differences, streamed_episodes, streamed_journal, complete_scenes, complete_artifacts, generation_digests, scene_examples, view_examples,
+    stored_logs, raw_logs, raw_log_faults, pair_truth_differences, streamed_episodes, streamed_journal, complete_scenes, assembled_layers, assembled_records, broken_scenes, complete_artifacts, generation_digests, scene_examples, view_examples,
 )}
 
 # Raw logs exist where some step has all objects of its instance and branch.
@@ -204,6 +247,19 @@ ORACLES = {
     "streamed_episodes": QC.ORACLES["contact_episodes"],
     "streamed_journal": X.oracle("attempts", """a AS (SELECT 'published' AS sink, status, category FROM attempts
         UNION ALL SELECT 'rejected', status, 'changed' FROM attempts WHERE attempt_index % 10 = 0) SELECT sink, status, category, count(*) AS records FROM a GROUP BY ALL"""),
+    "assembled_layers": X.oracle("frame_rows", f"""{X.PIXELS}, picked AS (SELECT scene, frame, (y // 2) * 4 + x // 2 AS i, segmentation AS s, depth FROM pixels WHERE y % 2 = 0 AND x % 2 = 0),
+        spans AS (SELECT scene, min(depth) AS low, max(depth) AS high FROM picked GROUP BY ALL),
+        cells AS (SELECT scene, frame, (y // 2) * 4 + x // 2 AS i, avg(segmentation) AS m FROM pixels GROUP BY ALL)
+        SELECT scene, 'segmentations' AS layer, frame, CAST(i AS INT) AS place, s AS value FROM picked
+        UNION ALL SELECT scene, 'forward_flow', frame, CAST(i * 2 + c AS INT), CASE c WHEN 0 THEN s ELSE 5 - s END FROM picked, range(0, 2) t(c)
+        UNION ALL SELECT scene, 'video', frame, CAST(i * 3 + c AS INT), CAST(CASE c WHEN 0 THEN round_even(m * 40, 0) WHEN 1 THEN round_even(m + 1, 0) ELSE 7 END AS INT) FROM cells, range(0, 3) t(c)
+        UNION ALL SELECT scene, 'depth', frame, CAST(i AS INT), CAST(round_even((depth - low) / (high - low) * 65535, 0) AS INT) FROM picked JOIN spans USING (scene)"""),
+    "assembled_records": X.oracle("frame_rows", f"""{X.PIXELS}, d AS (SELECT scene, min(depth) AS low, max(depth) AS high FROM pixels WHERE y % 2 = 0 AND x % 2 = 0 GROUP BY ALL)
+        SELECT scene, 4 AS height, 4 AS width, max(frame) + 1 AS num_frames, max(segmentation) AS num_instances, count(DISTINCT frame) FILTER (frame % 5 = 2) AS events,
+        {sr("any_value(scene) * -0.5::DOUBLE")} AS forward_flow_low, {sr("any_value(scene) * 0.5::DOUBLE")} AS forward_flow_high, {sr("any_value(low)")} AS depth_low, {sr("any_value(high)")} AS depth_high
+        FROM pixels JOIN d USING (scene) GROUP BY scene"""),
+    "broken_scenes": X.oracle("frame_rows", """SELECT scene, CASE scene % 4 WHEN 1 THEN 'frames of rgba' WHEN 2 THEN 'frames of depth' ELSE 'size' END AS reason
+        FROM frame_rows WHERE scene % 4 <> 0 GROUP BY scene HAVING scene % 4 = 3 OR max(frame) >= 10"""),
     "complete_scenes": "SELECT 'scene_' || o_orderkey AS scene, 3::BIGINT AS frames FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0",
     "complete_artifacts": "SELECT 'instance_' || o_orderkey AS artifact FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 5 <> 0",
     "generation_digests": "SELECT o_custkey AS artifact, sha256(string_agg(sha256(o_orderkey::VARCHAR), '' ORDER BY o_orderkey)) AS generation, count(*) AS files FROM orders GROUP BY ALL",
