@@ -69,6 +69,16 @@ def canonical_json_digest(documents: pd.Series) -> pd.Series:
     return documents.map(digest)
 
 
+def content_instance_id(attempt: Column, seed: Column, scene: Column, path: Column, intervention: Column, effect: Column) -> Column:
+    """Identifier of what an instance is made of: the digest of its canonical JSON, keys sorted at every depth.
+
+    ``scene``, ``path`` and ``intervention`` are structs, maps or arrays of any depth; a null field counts as one.
+    """
+    parts = {"attempt_index": attempt, "expected_effect": effect, "factual_path": path, "instance_seed": seed, "intervention": intervention, "scene_config": scene}
+    body = F.to_json(F.struct(*[value.alias(name) for name, value in parts.items()]), {"ignoreNullFields": "false"})
+    return F.concat(F.lit("instance_"), F.substring(canonical_json_digest(body), 1, 20))
+
+
 def _murmur3_32(data: bytes) -> int:
     """Public-domain MurmurHash3 x86 32-bit, seed 0."""
     mask = 0xFFFFFFFF

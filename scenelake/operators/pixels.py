@@ -216,6 +216,27 @@ def palette_violations(frames: DataFrame) -> DataFrame:
     return frames.select(*FRAME, top.alias("max_label"), verdict.alias("verdict")).where("verdict is not null")
 
 
+def _limits(frames: DataFrame, layer: str) -> tuple[float, float]:
+    return (0.0, 1.0) if frames.schema[layer].dataType.elementType.typeName() in ("float", "double") else (0, 65535)
+
+
+def _unfit(frames: DataFrame, layer: str) -> Column:
+    low, high = _limits(frames, layer)
+    return F.coalesce(F.exists(layer, lambda v: v.isNull() | ~v.between(low, high)), F.lit(True))
+
+
+def image_violations(frames: DataFrame, layer: str) -> DataFrame:
+    """Frames whose ``layer`` no image can hold: whole numbers below 0 or above 65535, fractions outside [0, 1] or not finite."""
+    return frames.where(_unfit(frames, layer)).select(*FRAME, F.array_min(layer).alias("low"), F.array_max(layer).alias("high"))
+
+
+def guarded(frames: DataFrame, layer: str) -> DataFrame:
+    """``frames``, whose ``layer`` is an error where no image can hold it, for a writer to read."""
+    low, high = _limits(frames, layer)
+    where = F.concat(F.lit(f"{layer} of scene "), F.col("scene").cast("string"), F.lit(", frame "), F.col("frame").cast("string"), F.lit(f": values outside {low} to {high}"))
+    return frames.withColumn(layer, F.when(_unfit(frames, layer), F.raise_error(where).cast(frames.schema[layer].dataType)).otherwise(F.col(layer)))
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _erode(segmentation: pd.Series, depth: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     result = []

@@ -82,6 +82,15 @@ def seeds_and_ids(spark, sf):
                                                H.sha_text(5, index, F.col("o_orderpriority")).alias("order_hash"), r(H.draw(H.derive_seed(1, index, "a"), "u"), 9).alias("draw"))
 
 
+def content_ids(spark, sf):
+    """Ids that change with any field of an instance, however deep."""
+    key, share = F.col("o_orderkey"), F.col("o_custkey") / 8.0
+    scene = F.struct(F.array(F.lit(0.0), F.lit(0.0), -share).alias("gravity"), F.struct(F.col("o_orderstatus").alias("shape"), F.lit(None).cast("string").alias("label")).alias("body"))
+    path = F.array(F.struct(F.lit(0).alias("step"), share.alias("x")), F.struct(F.lit(1).alias("step"), (share + 0.5).alias("x")))
+    change = F.struct(F.lit("retime").alias("recipe"), F.array(F.lit(3), F.lit(9)).alias("window"))
+    return X.given(spark, sf, "orders").select("o_orderkey", H.content_instance_id(key, H.derive_seed(7, key, "instance"), scene, path, change, F.lit("non_null")).alias("instance_id"))
+
+
 def shuffled_batches(spark, sf):
     return M.batches(X.given(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 16, epochs=3, seed=8)
 
@@ -125,7 +134,7 @@ def transform_descriptors(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     balanced_selection, hash_splits, weighted_hash_splits, grouped_splits, ratio_splits, held_out_assets, held_out_assets_rounded_up, frame_splits, view_splits, numeric_order,
-    outcome_counts, reason_counts, seeds_and_ids, shuffled_batches, drawn_samples, topology_signatures, split_index, dataset_card, transform_descriptors,
+    outcome_counts, reason_counts, seeds_and_ids, content_ids, shuffled_batches, drawn_samples, topology_signatures, split_index, dataset_card, transform_descriptors,
 )}
 
 
@@ -174,6 +183,11 @@ ORACLES = {
         count(*) FILTER (status = 'error') AS errors FROM attempts) SELECT *, CASE WHEN accepted >= 5000 THEN 'complete' ELSE 'capacity_exhausted' END AS status FROM n"""),
     "reason_counts": X.oracle("attempts", """e AS (SELECT category AS reason FROM attempts WHERE status = 'rejected' UNION ALL SELECT 'too_deep' FROM attempts WHERE status = 'rejected' AND hop_bucket = '3+')
         SELECT reason, count(*) AS attempts FROM e GROUP BY ALL"""),
+    "content_ids": """WITH s AS (SELECT o_orderkey, o_orderstatus, o_custkey / 8.0::DOUBLE AS v,
+            ('0x' || substr(sha256('7' || chr(0) || o_orderkey || chr(0) || 'instance'), 1, 16))::UBIGINT % 9223372036854775808 AS seed FROM orders)
+        SELECT o_orderkey, 'instance_' || substr(sha256('{"attempt_index":' || o_orderkey || ',"expected_effect":"non_null","factual_path":[{"step":0,"x":' || v || '},{"step":1,"x":' || (v + 0.5)
+            || '}],"instance_seed":' || seed || ',"intervention":{"recipe":"retime","window":[3,9]},"scene_config":{"body":{"label":null,"shape":"' || o_orderstatus
+            || '"},"gravity":[0.0,0.0,' || (-v) || ']}}' || chr(10)), 1, 20) AS instance_id FROM s""",
     "seeds_and_ids": f"""WITH s AS (SELECT *, (('0x' || substr(sha256('1' || chr(0) || o_orderkey || chr(0) || 'a'), 1, 16))::UBIGINT % 9223372036854775808)::BIGINT AS a FROM orders)
         SELECT o_orderkey, (('0x' || substr(sha256('2301' || chr(0) || o_orderkey || chr(0) || 'physics'), 1, 16))::UBIGINT % 9223372036854775808)::BIGINT AS seed,
         'instance_' || substr(sha256('velocity/2301/' || o_orderkey), 1, 20) AS instance_id, sha256('5' || chr(0) || o_orderkey || chr(0) || o_orderpriority) AS order_hash,

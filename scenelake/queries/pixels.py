@@ -117,6 +117,15 @@ def palette_violations(spark, sf):
     return P.palette_violations(wide)
 
 
+def image_violations(spark, sf):
+    """Frames whose depth, in tens of metres from the nearest plane, is no fraction, and those with a label that is no code."""
+    frames = X.frames(spark, sf).withColumn("depth", F.transform("depth", lambda d: (d - 1.0) / 3.0))
+    wide = X.frames(spark, sf).withColumn("segmentation", F.transform("segmentation", lambda s: s * F.when(F.col("frame") % 3 == 0, -1).when(F.col("frame") % 3 == 1, 20000).otherwise(1)))
+    found = {"depth": P.image_violations(frames, "depth"), "segmentation": P.image_violations(wide, "segmentation")}
+    parts = [df.select("scene", "frame", F.lit(name).alias("layer"), r(F.col("low").cast("double")).alias("low"), r(F.col("high").cast("double")).alias("high")) for name, df in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def eroded_labels(spark, sf):
     return P.to_pixels(P.erode(X.frames(spark, sf))).groupBy("scene", "frame", "segmentation").agg(
         F.count("*").alias("pixel_count"), F.sum(F.col("y") * 8 + F.col("x")).alias("place_sum"))
@@ -136,7 +145,7 @@ def depth_from_z(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     visibility, visible_labels, normalised_boxes, tracking_boxes, segment_histogram, remapped_labels, layer_ranges, encoded_layer, quantised_depth,
-    encoded_normals, processed_layers, subsampled_nearest, subsampled_average, multi_resolution, exported_flow, cropped_pixels, palette_violations,
+    encoded_normals, processed_layers, subsampled_nearest, subsampled_average, multi_resolution, exported_flow, cropped_pixels, palette_violations, image_violations,
     eroded_labels, trusted_normals, depth_from_z,
 )}
 
@@ -186,6 +195,10 @@ ORACLES = {
         SELECT scene, frame, y - y0 AS y, x - x0 AS x, segmentation FROM pixels JOIN b USING (scene, frame) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1"""),
     "palette_violations": _sql("""m AS (SELECT scene, frame, max(segmentation) * CASE frame % 3 WHEN 0 THEN 60 WHEN 1 THEN 20000 ELSE 1 END AS max_label FROM pixels GROUP BY scene, frame)
         SELECT *, CASE WHEN max_label > 65535 THEN 'invalid' ELSE 'wraps' END AS verdict FROM m WHERE max_label > 255"""),
+    "image_violations": _sql(f"""d AS (SELECT scene, frame, min((depth - 1.0) / 3.0) AS low, max((depth - 1.0) / 3.0) AS high FROM pixels GROUP BY ALL),
+        s AS (SELECT scene, frame, min(segmentation * k) AS low, max(segmentation * k) AS high FROM (SELECT *, CASE frame % 3 WHEN 0 THEN -1 WHEN 1 THEN 20000 ELSE 1 END AS k FROM pixels) GROUP BY ALL)
+        SELECT scene, frame, 'depth' AS layer, {sr("low")} AS low, {sr("high")} AS high FROM d WHERE low < 0 OR high > 1
+        UNION ALL SELECT scene, frame, 'segmentation', {sr("low::DOUBLE")}, {sr("high::DOUBLE")} FROM s WHERE low < 0 OR high > 65535"""),
     "eroded_labels": _sql("""n AS (SELECT p.scene, p.frame, p.y, p.x, p.segmentation, bool_or(q.depth < p.depth * 0.95) AS hit FROM pixels p JOIN pixels q ON p.scene = q.scene AND p.frame = q.frame
         AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY ALL)
         SELECT scene, frame, CASE WHEN hit THEN -1 ELSE segmentation END AS segmentation, count(*) AS pixel_count, CAST(sum(y * 8 + x) AS BIGINT) AS place_sum FROM n GROUP BY ALL"""),
