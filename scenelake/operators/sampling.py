@@ -108,30 +108,30 @@ def batches(items: DataFrame, name: str, batch: int, epochs: int = 1, seed: int
 
 
 def crop_windows(scenes: DataFrame, seed: int, area: tuple[float, float] = (0.3, 1.0),
-                 aspect: tuple[float, float] = (0.5, 2.0), trials: int = 20) -> DataFrame:
-    """Random window of bounded area and aspect ratio; the whole image if no trial fits.
+                 aspect: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
+    """Random window (top, left, bottom, right) of bounded share of the image and bounded width by height, fitting by construction.
 
-    ``scenes``: scene, height, width. The first fitting trial of each scene is taken.
+    ``scenes``: scene, height, width. The aspect is drawn from those at which the smallest share fits the image, evenly
+    in its logarithm; then the share from those that fit at this aspect. Where the image has no such window at all, the
+    window is null.
     """
-    origin = H.derive_seed(seed, F.col("scene"), "crop")
     h, w = F.col("height"), F.col("width")
+    draws = F.array(*[H.draw(H.derive_seed(seed, F.col("scene"), "crop"), i) for i in range(4)])
 
-    low, high = math.log(aspect[0]), math.log(aspect[1])
+    def bounds(u: Column) -> Column:
+        shape = F.log(w / h)
+        low = F.greatest(F.lit(math.log(aspect[0])), shape + math.log(area[0]))
+        high = F.least(F.lit(math.log(aspect[1])), shape - math.log(area[0]))
+        return V.bind(F.array(low, high - low, shape), lambda b: F.when(b[1] >= 0, sized(u, b[0] + u[1] * b[1], b[2])))
 
-    def window(trial: Column) -> Column:
-        lane = F.concat_ws("/", F.col("_origin").cast("string"), trial.cast("string"))
-        return V.bind(F.array(*[H.draw(lane, i) for i in range(4)]), lambda u: V.bind(sides(u), lambda s: placed(u, s)))
-
-    def sides(u: Column) -> Column:
-        ratio = F.exp(low + u[1] * (high - low))
-        height = F.sqrt((area[0] + u[0] * (area[1] - area[0])) * h * w / ratio)
-        return F.array(F.bround(height), F.bround(height * ratio))
+    def sized(u: Column, slant: Column, shape: Column) -> Column:
+        largest = F.least(F.lit(area[1]), F.exp(shape - slant), F.exp(slant - shape))
+        height = F.sqrt((area[0] + u[0] * (largest - area[0])) * h * w / F.exp(slant))
+        whole = lambda size, most: F.least(most.cast("double"), F.greatest(F.lit(1.0), F.bround(size)))
+        return V.bind(F.array(whole(height, h), whole(height * F.exp(slant), w)), lambda s: placed(u, s))
 
     def placed(u: Column, s: Column) -> Column:
         top, left = F.floor(u[2] * (h - s[0] + 1)), F.floor(u[3] * (w - s[1] + 1))
-        fits = (s[0] >= 1) & (s[1] >= 1) & (s[0] <= h) & (s[1] <= w)
-        return F.when(fits, F.array(*[v.cast("int") for v in (top, left, top + s[0], left + s[1])]))
+        return F.array(*[v.cast("int") for v in (top, left, top + s[0], left + s[1])])
 
-    tried = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), window), lambda x: x.isNotNull())
-    whole = F.array(F.lit(0), F.lit(0), h.cast("int"), w.cast("int"))
-    return scenes.withColumn("_origin", origin).withColumn("window", F.coalesce(F.get(tried, F.lit(0)), whole)).drop("_origin")
+    return scenes.withColumn("window", V.bind(draws, bounds))

@@ -402,10 +402,10 @@ ORACLES = {
     "shrunk_layers": X.oracle("frame_rows", f"""{X.PIXELS}, s AS (SELECT scene, 'segmentation' AS layer, frame, y // 2 AS y, x // 2 AS x, segmentation AS v FROM pixels WHERE y % 2 = 0 AND x % 2 = 0
         UNION ALL SELECT scene, 'rgba', frame, y // 2, x // 2, CAST(round_even(avg(segmentation), 0) AS INT) FROM pixels GROUP BY scene, frame, y // 2, x // 2)
         SELECT scene, layer, frame, count(*) AS pixel_count, CAST(sum(v * (y * 4 + x + 1)) AS BIGINT) AS weighted FROM s GROUP BY ALL"""),
-    "crop_windows": X.oracle("frame_rows", f"""g AS (SELECT DISTINCT scene, {_seed('7', 'scene', "'crop'")} AS o FROM frame_rows),
-        k AS (SELECT scene, CAST(t AS INT) AS t, o::VARCHAR || '/' || t AS s FROM g, range(0, 20) r(t)),
-        u AS (SELECT *, 0.3::DOUBLE + {_draw('s', '0')} * (1.0::DOUBLE - 0.3::DOUBLE) AS share, exp({math.log(0.5)!r}::DOUBLE + {_draw('s', '1')} * ({math.log(2.0)!r}::DOUBLE - {math.log(0.5)!r}::DOUBLE)) AS ratio FROM k),
-        d AS (SELECT *, CAST(round_even(sqrt(share*64*96/ratio), 0) AS INT) AS h, CAST(round_even(sqrt(share*64*96/ratio)*ratio, 0) AS INT) AS w FROM u),
-        f AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY t) AS n FROM d WHERE h BETWEEN 1 AND 64 AND w BETWEEN 1 AND 96)
-        SELECT scene, h AS rows, w AS columns, CAST(floor({_draw('s', '2')}*(64-h+1)) AS INT) AS top, CAST(floor({_draw('s', '3')}*(96-w+1)) AS INT) AS left_edge FROM f WHERE n = 1""".replace("AS left_edge", 'AS "left"')),
+    "crop_windows": X.oracle("frame_rows", f"""g AS (SELECT DISTINCT scene, {_seed('7', 'scene', "'crop'")} AS o, ln(96.0::DOUBLE / 64) AS shape FROM frame_rows),
+        b AS (SELECT *, greatest({math.log(0.5)!r}::DOUBLE, shape + {math.log(0.3)!r}::DOUBLE) AS low, least({math.log(2.0)!r}::DOUBLE, shape - {math.log(0.3)!r}::DOUBLE) AS high FROM g),
+        u AS (SELECT *, low + {_draw('o', '1')} * (high - low) AS slant FROM b),
+        d AS (SELECT *, sqrt((0.3::DOUBLE + {_draw('o', '0')} * (least(1.0::DOUBLE, exp(shape - slant), exp(slant - shape)) - 0.3::DOUBLE)) * 64 * 96 / exp(slant)) AS tall FROM u),
+        f AS (SELECT *, CAST(least(64, greatest(1, round_even(tall, 0))) AS INT) AS h, CAST(least(96, greatest(1, round_even(tall * exp(slant), 0))) AS INT) AS w FROM d)
+        SELECT scene, h AS rows, w AS columns, CAST(floor({_draw('o', '2')}*(64-h+1)) AS INT) AS top, CAST(floor({_draw('o', '3')}*(96-w+1)) AS INT) AS left_edge FROM f""".replace("AS left_edge", 'AS "left"')),
 }
