@@ -39,7 +39,9 @@ ROWS = 4
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
 #: Estimates so many standard deviations (for the registers in use) under the threshold are not confirmed.
-DEVIATIONS = 7
+DEVIATIONS = 5
+#: Sets of up to so many shingles travel whole beside their sketch; two of them are compared exactly at once.
+FEW = 64
 #: Members of one bucket, and sets of one group, that are compared in a task at a time.
 TOGETHER = 2048
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -98,8 +100,19 @@ def may_reach(value: np.ndarray, own_a: np.ndarray, own_b: np.ndarray) -> np.nda
     return value >= share - DEVIATIONS * np.sqrt(share * (1 - share) / np.maximum((own_a | own_b).sum(axis=1), 1))
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of fingerprints share at least PERCENT of their union."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def few_linked(a: bytes, b: bytes) -> bool:
+    """False only where both sets are small, hence given whole, and not linked."""
+    return not a or not b or linked(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest of the word sequence, sketch and own (packed bits)."""
+    """Per row: doc_id, n_shingles, digest of the word sequence, sketch, own (packed bits) and few (small sets, whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.release()
@@ -111,12 +124,15 @@ def sketches(docs: DataFrame) -> DataFrame:
                 packed = np.packbits(own, axis=1)
                 raw = data.tobytes()
                 digests = [hashlib.sha256(b" ".join(raw[offsets[i] : offsets[i + 1]].lower().split())).digest() for i in range(n)]
+                counts = np.bincount(owner, minlength=n)
+                cuts = np.concatenate([[0], np.cumsum(counts)])
+                few = [value[cuts[i] : cuts[i + 1]].tobytes() if counts[i] <= FEW else b"" for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(np.bincount(owner, minlength=n)), pa.array(digests, pa.binary()),
-                     pa.array([row.tobytes() for row in sketch], pa.binary()), pa.array([row.tobytes() for row in packed], pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "sketch", "own"])
+                    [batch.column(0).slice(at, n), pa.array(counts), pa.array(digests, pa.binary()),
+                     pa.array([row.tobytes() for row in sketch], pa.binary()), pa.array([row.tobytes() for row in packed], pa.binary()), pa.array(few, pa.binary())],
+                    ["doc_id", "n_shingles", "digest", "sketch", "own", "few"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary, own binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary, own binary, few binary")
 
 
 def _buckets(heads: DataFrame) -> DataFrame:
@@ -142,11 +158,13 @@ def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
             get = lambda name, kind: np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=kind).reshape(batch.num_rows, -1)
             own = [np.unpackbits(get(name, np.uint8), axis=1).astype(bool) for name in ("own_a", "own_b")]
             value = estimated(get("sketch_a", np.uint16), get("sketch_b", np.uint16), *own, np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b")))
-            good = pa.array(may_reach(value, *own))
+            good = may_reach(value, *own)
+            few_a, few_b = (batch.column(name).to_pylist() for name in ("few_a", "few_b"))
+            good = pa.array([bool(near) and few_linked(x, y) for near, x, y in zip(good, few_a, few_b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
     for side in ("a", "b"):
-        half = known.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("own").alias(f"own_{side}"), F.col("n_shingles").alias(f"n_{side}"))
+        half = known.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("own").alias(f"own_{side}"), F.col("few").alias(f"few_{side}"), F.col("n_shingles").alias(f"n_{side}"))
         pairs = pairs.join(half, side)
     return pairs.where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").mapInArrow(run, "a long, b long")
 
@@ -172,9 +190,7 @@ def confirmed(path: str, docs: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             good = []
             for left, right in zip(batch.column("content_a"), batch.column("content_b"), strict=True):
-                x, y = (np.frombuffer(side.as_buffer(), dtype=np.uint64) for side in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                good.append(linked(*(np.frombuffer(side.as_buffer(), dtype=np.uint64) for side in (left, right))))
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
@@ -217,7 +233,7 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFr
         get = {n: table.column(n).to_numpy() for n in ("doc_id", "label", "main", "sent", "n_shingles")}
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(table.num_rows, BUCKETS)
         own = np.unpackbits(np.frombuffer(b"".join(table.column("own").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1), axis=1).astype(bool)
-        keys, key = band_keys(sketch), table.column("key")[0].as_py()
+        keys, key, few = band_keys(sketch), table.column("key")[0].as_py(), table.column("few").to_pylist()
         local = np.flatnonzero(~get["sent"])
         group = mixed(get["doc_id"].astype(np.uint64)) % np.uint64(groups)
         rows: list[tuple[int, int, bytes]] = []
@@ -232,11 +248,12 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFr
             with_ = with_[100 * np.minimum(n[with_], n[at]) >= PERCENT * np.maximum(n[with_], n[at])]
             value = estimated(sketch[with_], sketch[at], own[with_], own[at], n[with_], np.full(len(with_), n[at]))
             with_ = with_[may_reach(value, own[with_], own[at])]
+            with_ = with_[[few_linked(few[i], few[at]) for i in with_]] if few[at] else with_
             for number in np.unique(group[with_]):
                 rows.append((int(get["doc_id"][at]), int(number), get["doc_id"][with_[group[with_] == number]].tobytes()))
         return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "group": pa.array([r[1] for r in rows], pa.int64()), "partners": pa.array([r[2] for r in rows], pa.binary())})
 
-    columns = ["key", "part", "sent", "doc_id", "label", "main", "n_shingles", "sketch", "own"]
+    columns = ["key", "part", "sent", "doc_id", "label", "main", "n_shingles", "sketch", "own", "few"]
     likely = here.select(columns).unionByName(sent.select(columns)).groupBy("key", "part").applyInArrow(compare, "a long, group long, partners binary")
     likely = stored(likely, f"{folder}/likely")
 
@@ -251,8 +268,7 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFr
         for a, content, partners in zip(right.column("a").to_pylist(), right.column("content_a"), right.column("partners"), strict=True):
             x = np.frombuffer(content.as_buffer(), dtype=np.uint64)
             for b in np.frombuffer(partners.as_buffer(), dtype=np.int64).tolist():
-                both = len(np.intersect1d(x, sets[b], assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(sets[b]) - both):
+                if linked(x, sets[b]):
                     found.append((a, b))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
