@@ -10,10 +10,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scenelake.session import cut_lineage
+
 PERMUTATION_LIMIT = 100_000
 
 
@@ -220,3 +222,36 @@ def signatures(objects: DataFrame, targets: DataFrame, contacts: DataFrame, max_
         "instance_id", _signature("_nodes", found, F.lit(max_nodes is None)).alias("topology_signature")
     )
     return sizes.join(signed, "instance_id", "left")
+
+
+def _number(text: Column) -> Column:
+    """The leading 60 bits of a digest, to be summed without regard to order."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def refined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The coarsest colouring of all scenes' nodes in which equal colours have equal neighbourhoods.
+
+    ``nodes``: scene, node and a first colour (string); ``edges``: scene, object_a, object_b, label, undirected, each
+    once. A round gives a node the digest of its colour and of its neighbours' (label, colour) pairs, which are summed, so
+    that no list of neighbours is ever gathered; all scenes take part at once, and rounds end when no scene gains a colour.
+    """
+    ends = lambda a, b: edges.select("scene", F.col(a).alias("node"), F.col(b).alias("other"), F.col("label").cast("string").alias("label"))
+    ways = cut_lineage(ends("object_a", "object_b").unionByName(ends("object_b", "object_a")))
+    colours = cut_lineage(nodes.select("scene", "node", F.col("colour").cast("string").alias("colour")))
+    classes = colours.select("scene", "colour").distinct().count()
+    while True:
+        seen = ways.join(colours.select("scene", F.col("node").alias("other"), "colour"), ["scene", "other"])
+        around = seen.groupBy("scene", "node").agg(F.count("*").alias("_n"), F.sum(_number(F.concat_ws("|", "label", "colour"))).alias("_sum"))
+        new = F.sha2(F.concat_ws("|", "colour", F.coalesce("_n", F.lit(0)).cast("string"), F.coalesce("_sum", F.lit(0)).cast("decimal(38,0)").cast("string")), 256)
+        finer = cut_lineage(colours.join(around, ["scene", "node"], "left").select("scene", "node", new.alias("colour")))
+        more = finer.select("scene", "colour").distinct().count()
+        if more == classes:
+            return colours
+        colours, classes = finer, more
+
+
+def refined_classes(colours: DataFrame) -> DataFrame:
+    """scene, node and the smallest node of its colour, which names the class whatever the digests are."""
+    least = colours.groupBy("scene", "colour").agg(F.min("node").alias("like"), F.count("*").alias("members"))
+    return colours.join(least, ["scene", "colour"]).select("scene", "node", "like", "members")

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from scenelake.functions import hashing as H
+from scenelake.operators import contacts as K
 from scenelake.operators import curation as C
 from scenelake.operators import sampling as M
 from scenelake.operators import topology as T
@@ -102,6 +103,15 @@ def drawn_samples(spark, sf):
     return M.draw_with_replacement(events, wanted, ("user_id",), ("event_id",), 3).groupBy("user_id").agg(F.count("*").alias("draws"))
 
 
+def refined_objects(spark, sf):
+    """Objects of each instance and branch that no pattern of contacts tells apart: pairs are labelled by how many steps they touch."""
+    steps = K.canonicalise(X.contact_points(spark, sf).select("instance_id", "branch", "step", "object_a", "object_b", "normal_force"))
+    pairs = steps.groupBy(F.concat_ws("_", F.col("instance_id").cast("string"), "branch").alias("scene"), "object_a", "object_b").agg((F.countDistinct("step") % 3).alias("label"))
+    pairs = pairs.where("label > 0")
+    nodes = pairs.select("scene", F.explode(F.array("object_a", "object_b")).alias("node")).distinct().withColumn("colour", F.lit("object"))
+    return T.refined_classes(T.refined(nodes, pairs)).select("scene", F.col("node").alias("object_id"), F.col("like").alias("class"), "members")
+
+
 def topology_signatures(spark, sf):
     """Every scene's signature from all its factual contacts."""
     points = X.contact_points(spark, sf).where("branch = 'factual'")
@@ -134,7 +144,7 @@ def transform_descriptors(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     balanced_selection, hash_splits, weighted_hash_splits, grouped_splits, ratio_splits, held_out_assets, held_out_assets_rounded_up, frame_splits, view_splits, numeric_order,
-    outcome_counts, reason_counts, seeds_and_ids, content_ids, shuffled_batches, drawn_samples, topology_signatures, split_index, dataset_card, transform_descriptors,
+    outcome_counts, reason_counts, seeds_and_ids, content_ids, shuffled_batches, drawn_samples, topology_signatures, refined_objects, split_index, dataset_card, transform_descriptors,
 )}
 
 
@@ -183,6 +193,13 @@ ORACLES = {
         count(*) FILTER (status = 'error') AS errors FROM attempts) SELECT *, CASE WHEN accepted >= 5000 THEN 'complete' ELSE 'capacity_exhausted' END AS status FROM n"""),
     "reason_counts": X.oracle("attempts", """e AS (SELECT category AS reason FROM attempts WHERE status = 'rejected' UNION ALL SELECT 'too_deep' FROM attempts WHERE status = 'rejected' AND hop_bucket = '3+')
         SELECT reason, count(*) AS attempts FROM e GROUP BY ALL"""),
+    "refined_objects": X.oracle("contacts", """pairs AS (SELECT instance_id || '_' || branch AS scene, least(object_a, object_b) AS a, greatest(object_a, object_b) AS b, count(DISTINCT step) % 3 AS label FROM contacts GROUP BY ALL),
+        ways AS (SELECT scene, a AS node, b AS other, label FROM pairs WHERE label > 0 UNION ALL SELECT scene, b, a, label FROM pairs WHERE label > 0),
+        col AS (SELECT DISTINCT scene, node, 'object' AS colour, 0 AS i FROM ways
+            UNION ALL SELECT c.scene, c.node, sha256(c.colour || '|' || n || '|' || s), c.i + 1
+            FROM col c JOIN (SELECT w.scene, w.node, count(*) AS n, sum(('0x' || substr(sha256(w.label || '|' || o.colour), 1, 15))::BIGINT::HUGEINT) AS s
+                FROM ways w JOIN col o ON o.scene = w.scene AND o.node = w.other GROUP BY ALL) m ON m.scene = c.scene AND m.node = c.node WHERE c.i < 8)
+        SELECT scene, node AS object_id, min(node) OVER (PARTITION BY scene, colour) AS class, count(*) OVER (PARTITION BY scene, colour) AS members FROM col WHERE i = 8"""),
     "content_ids": """WITH s AS (SELECT o_orderkey, o_orderstatus, o_custkey / 8.0::DOUBLE AS v,
             ('0x' || substr(sha256('7' || chr(0) || o_orderkey || chr(0) || 'instance'), 1, 16))::UBIGINT % 9223372036854775808 AS seed FROM orders)
         SELECT o_orderkey, 'instance_' || substr(sha256('{"attempt_index":' || o_orderkey || ',"expected_effect":"non_null","factual_path":[{"step":0,"x":' || v || '},{"step":1,"x":' || (v + 0.5)
