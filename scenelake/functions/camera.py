@@ -64,30 +64,34 @@ def unproject(x: Column, y: Column, depth: Column, width: Column, height: Column
     return V.add(V.bind(at_depth, lambda p: Q.rotate(quaternion, p)), position)
 
 
-def frames_point(target: Column, position: Column, look_at: Column, focal_length: Column,
-                 sensor_width: Column, aspect: Column, margin: Column) -> Column:
-    """Whether a world point lies inside the view frustum shrunk by ``margin``."""
-    half_x = sensor_width / 2.0 / focal_length
-    half_y = F.when(aspect >= 1.0, half_x / aspect).otherwise(half_x * aspect)
-    keep = F.greatest(F.lit(0.0), 1.0 - margin)
-    relative = V.subtract(target, position)
-
+def view_axes(position: Column, look_at: Column) -> Column:
+    """Struct of a camera's forward, right and up axes; null where it looks at its own place."""
     def with_forward(forward: Column) -> Column:
         side = V.bind(V.cross(forward, V.vector(0.0, 0.0, 1.0)),
                       lambda v: V.normalise(v, V.vector(1.0, 0.0, 0.0), epsilon=1e-9))
-        return V.bind(side, lambda right: inside(forward, right))
-
-    def inside(forward: Column, right: Column) -> Column:
-        depth = V.dot(relative, forward)
-        up = V.cross(right, forward)
-        return (
-            (depth > 1e-3)
-            & (F.abs(V.dot(relative, right)) / depth <= half_x * keep)
-            & (F.abs(V.dot(relative, up)) / depth <= half_y * keep)
-        )
+        return V.bind(side, lambda right: F.struct(forward.alias("forward"), right.alias("right"), V.cross(right, forward).alias("up")))
 
     unit = V.bind(V.subtract(look_at, position), lambda v: V.normalise(v))
-    return (V.distance(look_at, position) > 1e-9) & V.bind(unit, with_forward)
+    return F.when(V.distance(look_at, position) > 1e-9, V.bind(unit, with_forward))
+
+
+def frustum(focal_length: Column, sensor_width: Column, aspect: Column, margin: Column) -> tuple[Column, Column]:
+    """Half width and half height of the view frustum at depth one, shrunk by ``margin``."""
+    half_x = sensor_width / 2.0 / focal_length
+    half_y = F.when(aspect >= 1.0, half_x / aspect).otherwise(half_x * aspect)
+    keep = F.greatest(F.lit(0.0), 1.0 - margin)
+    return half_x * keep, half_y * keep
+
+
+def frames_point(target: Column, position: Column, axes: Column, half_x: Column, half_y: Column) -> Column:
+    """Whether a world point lies inside a frustum, given its axes and halves, which are a camera's and not a point's."""
+    relative = V.subtract(target, position)
+    depth = V.dot(relative, axes["forward"])
+    return (
+        (depth > 1e-3)
+        & (F.abs(V.dot(relative, axes["right"])) / depth <= half_x)
+        & (F.abs(V.dot(relative, axes["up"])) / depth <= half_y)
+    )
 
 
 def half_angle(focal_length: float, sensor_width: float) -> float:
