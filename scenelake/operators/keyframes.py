@@ -11,6 +11,7 @@ from scenelake.functions import quaternions as Q
 from scenelake.functions import vectors as V
 from scenelake.operators import ordered
 from scenelake.operators.states import continuous_quaternions
+from scenelake.session import spread
 
 CHANNEL = ("asset", "member")
 
@@ -23,11 +24,14 @@ def values_at(keyframes: DataFrame, queries: DataFrame, size: int, interpolation
     previous key) or ``linear``.
     """
     key = F.struct(F.col("frame").alias("frame"), F.col("value").alias("value"))
-    merged = (
+    # Values of no fixed width are sorted to be grouped: shuffled first, so that no reading task sorts all it has exploded.
+    both = (
         keyframes.select(*keys, "frame", key.alias("_key"), F.lit(0).alias("_asked"))
         .unionByName(queries.select(*keys, "frame", F.lit(None).cast("struct<frame:int,value:array<double>>").alias("_key"),
                                     F.lit(1).alias("_asked")))
-        .groupBy(*keys, "frame")
+    )
+    merged = (
+        spread(both, *keys, "frame").groupBy(*keys, "frame")
         .agg(F.first("_key", ignorenulls=True).alias("_key"), F.max("_asked").alias("_asked"))
     )
     filled = ordered.with_bracket(merged, keys, "frame", "_key", "_left", "_right", block=block)
