@@ -11,6 +11,7 @@ from scenelake.operators import keyframes as Y
 from scenelake.operators import scenarios as G
 from scenelake.operators import spatial as S
 from scenelake.queries import fixtures as X
+from scenelake.session import spread
 
 r, sr = X.rounded, X.sql_rounded
 MASTER = 2301
@@ -74,10 +75,12 @@ def object_rows(spark, sf):
 
 def clear_layouts(spark, sf):
     """Attempts whose sampled objects do not overlap."""
-    rows = G.object_rows(_attempts(spark, sf), MASTER, (2, 4), ["cube", "sphere", "capsule"], (0.1, 0.4), (-2.0, -2.0, 0.0), (2.0, 2.0, 1.0))
+    attempts = _attempts(spark, sf)
+    # An attempt's objects are drawn in the task that compares them, once.
+    rows = G.object_rows(spread(attempts, "attempt_index", size=G.DRAWN).distinct(), MASTER, (2, 4), ["cube", "sphere", "capsule"], (0.1, 0.4), (-2.0, -2.0, 0.0), (2.0, 2.0, 1.0))
     boxes = rows.select(F.col("attempt_index").alias("instance_id"), "object_id", "position", "size").withColumnRenamed("size", "extent")
-    bad = S.overlaps(boxes, cell=1.0).select(F.col("instance_id").alias("attempt_index")).distinct()
-    return _attempts(spark, sf).join(bad, "attempt_index", "left_anti")
+    bad = S.crowded(boxes).withColumnRenamed("instance_id", "attempt_index")
+    return attempts.join(bad, "attempt_index", "left_anti")
 
 
 def block_looks(spark, sf):
