@@ -11,7 +11,7 @@ with its first fault by :func:`faults`.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenelake.functions import vectors as V
+from scenelake.session import shares
 
 VERSION = "1.0"
 MANIFEST = "manifest.json"
@@ -54,34 +55,42 @@ def _names(*names: str) -> Column:
     return F.array(*[F.lit(n) for n in sorted(names)])
 
 
-def _entries(rows: DataFrame) -> DataFrame:
-    """One row per log and payload that its manifest should list, with what it says, and the manifest's own fault."""
+def _entries(rows: DataFrame, found: str | None = None) -> DataFrame:
+    """One row per log and payload that its manifest should list, with what it says, and the manifest's own fault.
+
+    A column ``found`` of the manifests' rows comes along.
+    """
     text = _text(F.col("content"))
-    read = rows.where(F.col("name") == MANIFEST).select("log", F.from_json(text, _ENTRIES).alias("m"), _keys(text).alias("keys"),
+    kept = [F.col(found).alias("found")] if found else []
+    read = rows.where(F.col("name") == MANIFEST).select("log", *kept, F.from_json(text, _ENTRIES).alias("m"), _keys(text).alias("keys"),
                                                         F.get_json_object(text, "$.files").alias("listed"))
     shaped = F.coalesce((F.col("keys") == _names("files", "generation", "schema_version")) & (_keys(F.col("listed")) == _names(*PAYLOADS)), F.lit(False))
     named = F.coalesce(F.col("m.generation").rlike("^[0-9a-f]{64}$"), F.lit(False))
     whole = F.sha2(F.concat(*[F.col("m.files")[p]["sha256"] for p in PAYLOADS]), 256)
     fault = (F.when(~shaped, "manifest: fields").when(~named, "manifest: generation")
              .when(~F.coalesce(F.col("m.schema_version") == VERSION, F.lit(False)), "manifest: version"))
-    each = read.select("log", fault.alias("fault"), F.col("m.generation").alias("generation"), (F.col("m.generation") == whole).alias("whole"), F.col("m.files").alias("files"),
+    each = read.select("log", *["found" for _ in kept], fault.alias("fault"), F.col("m.generation").alias("generation"), (F.col("m.generation") == whole).alias("whole"), F.col("m.files").alias("files"),
                        F.explode(_names(*PAYLOADS)).alias("file"))
     entry = F.element_at("files", F.col("file"))
     path = F.concat(F.lit("generations/"), "generation", F.lit("/"), "file")
     placed = F.coalesce(entry["path"] == path, F.lit(False))
-    return each.select("log", "file", path.alias("name"), entry["sha256"].alias("sha256"), entry["size"].alias("size"), "whole",
+    return each.select("log", *["found" for _ in kept], "file", path.alias("name"), entry["sha256"].alias("sha256"), entry["size"].alias("size"), "whole",
                        F.coalesce("fault", F.when(~placed, F.concat(F.lit("manifest: path of "), "file"))).alias("fault"))
 
 
+def _payload_fault(there: Column, intact: Column) -> Column:
+    return (F.when(F.col("fault").isNotNull(), F.col("fault")).when(~F.coalesce(there, F.lit(False)), F.concat(F.lit("missing: "), "file"))
+            .when(~F.coalesce(intact, F.lit(False)), F.concat(F.lit("altered: "), "file"))
+            .when(~F.coalesce(F.col("whole"), F.lit(False)), "manifest: digest of the generation"))
+
+
 def payloads(rows: DataFrame) -> DataFrame:
     """log, file, content and fault of each payload of each log's current generation; content is null where it is missing."""
     there = rows.where(F.col("name") != MANIFEST)
     # Spark's file sources pass over files without bytes, so one that should have none is taken as there.
     joined = _entries(rows).join(there, ["log", "name"], "left").withColumn("content", F.coalesce("content", F.when(F.col("size") == 0, F.lit(b""))))
     intact = (F.length("content") == F.col("size")) & (F.sha2("content", 256) == F.col("sha256"))
-    fault = (F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("content").isNull(), F.concat(F.lit("missing: "), "file"))
-             .when(~F.coalesce(intact, F.lit(False)), F.concat(F.lit("altered: "), "file"))
-             .when(~F.coalesce(F.col("whole"), F.lit(False)), "manifest: digest of the generation"))
+    fault = _payload_fault(F.col("content").isNotNull(), intact)
     return joined.select("log", "file", "content", fault.alias("fault"))
 
 
@@ -97,37 +106,43 @@ def _stopping(df: DataFrame, column: str, fault: Column) -> DataFrame:
     return df.withColumn(column, F.when(fault.isNotNull(), message).otherwise(F.col(column)))
 
 
-def _headers(content: DataFrame) -> DataFrame:
-    text = _text(F.col("content"))
+def _header(text: Column) -> tuple[Column, Column]:
+    """A header's fields and fault."""
     keys = _keys(text)
     parsed = F.from_json(text, HEADER)
     fault = (F.when(keys.isNull(), "metadata: no object").when(keys != _names(*HEADER_KEYS), "metadata: fields")
              .when(~F.coalesce(parsed["schema_version"] == VERSION, F.lit(False)), "metadata: version")
              .when(parsed["steps"].isNull() | parsed["object_ids"].isNull() | parsed["branch"].isNull() | parsed["step_rate"].isNull(), "metadata: values"))
-    return content.select("log", parsed.alias("header"), fault.alias("fault"))
+    return parsed, fault
 
 
-def _lines(content: DataFrame) -> DataFrame:
-    """log, line (from 1), record and fault of every contact line."""
+def _headers(content: DataFrame) -> DataFrame:
+    header, fault = _header(_text(F.col("content")))
+    return content.select("log", header.alias("header"), fault.alias("fault"))
+
+
+def _lines(content: DataFrame, keys: Sequence[str] = ("log",)) -> DataFrame:
+    """The keys of a file, line (from 1), record and fault of every contact line."""
     text = _text(F.col("content"))
     valid = F.is_valid_utf8(text)
-    lines = content.select("log", F.posexplode(F.split(F.when(valid, F.regexp_replace(text, r"\n\z", "")).otherwise("�"), "\n", -1)).alias("at", "text"), F.length("content").alias("size")).where("size > 0")
-    keys = F.json_object_keys("text")
-    record = F.from_json("text", RECORD)
+    lines = content.select(*keys, F.posexplode(F.split(F.when(valid, F.regexp_replace(text, r"\n\z", "")).otherwise("�"), "\n", -1)).alias("at", "text"), F.length("content").alias("size")).where("size > 0")
+    # Columns of their own, so that each line is parsed once and not for every rule.
+    lines = lines.withColumns({"_keys": F.json_object_keys("text"), "record": F.from_json("text", RECORD)})
+    present, record = F.col("_keys"), F.col("record")
     known = [f.split()[0] for f in RECORD.split(", ")]
     required = F.array(*[F.lit(k) for k in known if k not in OPTIONAL])
     finite = reduce(lambda a, b: a & b, [(F.size(record[c]) == 3) & F.forall(record[c], V.is_finite) for c in ("position", "normal")])
     sound = (record["step"] >= 0) & (F.length(record["object_a"]) > 0) & (F.length(record["object_b"]) > 0) & (record["object_a"] != record["object_b"]) & finite
     sound = sound & V.is_finite(record["normal_force"]) & (record["normal_force"] >= 0) & (record["contact_distance"].isNull() | V.is_finite(record["contact_distance"]))
     sound = sound & (F.coalesce(record["schema_version"], F.lit(VERSION)) == VERSION)
-    what = (F.when(F.trim("text") == "", "blank").when(keys.isNull(), "no object")
-            .when((F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0) | (F.size(F.array_except(required, keys)) > 0), "fields")
+    what = (F.when(F.trim("text") == "", "blank").when(present.isNull(), "no object")
+            .when((F.size(F.array_except(present, F.array(*[F.lit(k) for k in known]))) > 0) | (F.size(F.array_except(required, present)) > 0), "fields")
             .when(~F.coalesce(sound, F.lit(False)), "values"))
-    return lines.select("log", (F.col("at") + 1).alias("line"), record.alias("record"),
+    return lines.select(*keys, (F.col("at") + 1).alias("line"), "record",
                         F.when(what.isNotNull(), F.concat(F.lit("contacts: "), what, F.lit(" in line "), F.col("at") + 1)).alias("fault"))
 
 
-def _array(content: bytes, steps: int, objects: int) -> tuple[np.ndarray | None, str | None]:
+def _loaded(content: bytes) -> tuple[np.ndarray | None, str | None]:
     stream = io.BytesIO(content)
     try:
         array = np.load(stream, allow_pickle=False)
@@ -135,32 +150,76 @@ def _array(content: bytes, steps: int, objects: int) -> tuple[np.ndarray | None,
         return None, "states: no array"
     if stream.read(1):
         return None, "states: bytes after the array"
-    if not isinstance(array, np.ndarray) or array.dtype.kind not in "fiu":
-        return None, "states: no numbers"
+    return (array, None) if isinstance(array, np.ndarray) and array.dtype.kind in "fiu" else (None, "states: no numbers")
+
+
+def _array(content: bytes, steps: int, objects: int) -> tuple[np.ndarray | None, str | None]:
+    array, fault = _loaded(content)
+    if fault:
+        return None, fault
     if array.shape != (steps, objects, 13):
         return None, "states: shape"
     return (array.astype(np.float64), None) if np.isfinite(array).all() else (None, "states: values")
 
 
-@F.pandas_udf(T.StringType())
-def _array_fault(content: pd.Series, steps: pd.Series, objects: pd.Series) -> pd.Series:
-    return pd.Series([_array(c, int(s), int(o))[1] for c, s, o in zip(content, steps, objects, strict=True)], dtype=object)
+@F.pandas_udf(T.StructType([T.StructField("fault", T.StringType()), T.StructField("shape", T.StringType()), T.StructField("finite", T.BooleanType())]))
+def _array_facts(content: pd.Series) -> pd.DataFrame:
+    """What an array says of itself, whatever header it belongs to."""
+    found = []
+    for c in content:
+        try:
+            array, fault = _loaded(c)
+        except Exception:  # noqa: BLE001 - bytes that no digest vouches for may be anything
+            array, fault = None, "states: no array"
+        found.append((fault, None, None) if fault else (None, ",".join(map(str, array.shape)), bool(np.isfinite(array).all())))
+    return pd.DataFrame(found, columns=["fault", "shape", "finite"])
+
+
+_FACTS = {"text": "string", "sha256": "string", "size": "bigint", "fault": "string", "steps": "int", "objects": "int", "shape": "string", "finite": "boolean"}
+
+
+def _facts(rows: DataFrame) -> DataFrame:
+    """What faults depend on, by log and name of a file: its digest and size, and what its own content says.
+
+    Each content is judged in the scan that reads it, before it is known what it should be, and goes no further.
+    """
+    top, file = F.col("name") == MANIFEST, F.substring_index("name", "/", -1)
+    shaped = lambda df, **facts: df.select("log", "name", *[facts.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FACTS.items()])
+    header, fault = _header(F.when(~top & (file == "metadata.json"), _text(F.col("content"))))
+    head = ~top & (file == "metadata.json")
+    digests = shaped(rows, text=F.when(top, _text(F.col("content"))), sha256=F.when(~top, F.sha2("content", 256)), size=F.when(~top, F.length("content")),
+                     fault=F.when(head, fault), steps=F.when(head, F.size(header["steps"])), objects=F.when(head, F.size(header["object_ids"])))
+    arrays = rows.where(~top & (file == "states.npy")).select("log", "name", _array_facts("content").alias("f")).select("log", "name", "f.*")
+    lines = _lines(rows.where(~top & (file == "contacts.jsonl")), ("log", "name"))
+    lines = lines.groupBy("log", "name").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("line"))).alias("fault"))
+    col = lambda *names: {n: F.col(n) for n in names}
+    return digests.unionByName(shaped(arrays, **col("fault", "shape", "finite"))).unionByName(shaped(lines, **col("fault")))
 
 
 def faults(rows: DataFrame) -> DataFrame:
-    """log and reason: the first fault of each log that is not sound. A log's files without a manifest are a fault too."""
-    first = lambda df, rank: df.where("fault IS NOT NULL").select("log", F.lit(rank).alias("rank"), "at", "fault")
-    listed = payloads(rows)
-    order = F.element_at(F.create_map(*[x for i, p in enumerate(PAYLOADS) for x in (F.lit(p), F.lit(i))]), F.col("file"))
-    bare = rows.groupBy("log").agg(F.count_if(F.col("name") == MANIFEST).alias("n")).where("n = 0").select("log", F.lit(0).alias("at"), F.lit("missing: manifest.json").alias("fault"))
-    sound = listed.join(listed.where("fault IS NOT NULL").select("log").distinct(), "log", "left_anti")
-    one = lambda file: sound.where(F.col("file") == file).select("log", "content")
-    headers = _headers(one("metadata.json"))
-    sizes = headers.where("fault IS NULL").select("log", F.size("header.steps").alias("steps"), F.size("header.object_ids").alias("objects"))
-    arrays = one("states.npy").join(sizes, "log").select("log", _array_fault("content", "steps", "objects").alias("fault"))
-    parts = [first(bare, 0), first(listed.withColumn("at", order), 1), first(headers.withColumn("at", F.lit(0)), 2), first(arrays.withColumn("at", F.lit(0)), 3),
-             first(_lines(one("contacts.jsonl")).withColumn("at", F.col("line")), 4)]
-    return reduce(DataFrame.unionByName, parts).groupBy("log").agg(F.min_by("fault", F.struct("rank", "at")).alias("reason"))
+    """log and reason: the first fault of each log that is not sound. A log's files without a manifest are a fault too.
+
+    No content is shuffled: what :func:`_facts` finds of a log's few files meets in one row.
+    """
+    per_log = _facts(rows).groupBy("log").agg(F.max("text").alias("content"), F.count_if(F.col("name") == MANIFEST).alias("tops"),
+                                              F.collect_list(F.when(F.col("name") != MANIFEST, F.struct("name", *[n for n in _FACTS if n != "text"]))).alias("files"))
+    listed = _entries(per_log.select("log", F.lit(MANIFEST).alias("name"), "content", F.struct("files", "tops").alias("found")), "found")
+    own = F.filter("found.files", lambda f: f["name"] == F.col("name"))
+    judged = listed.withColumns({"digest": F.get(F.filter(own, lambda f: f["sha256"].isNotNull()), F.lit(0)), "said": F.get(F.filter(own, lambda f: f["sha256"].isNull()), F.lit(0))})
+    # Spark's file sources pass over files without bytes, so one that should have none is taken as there.
+    empty = F.col("digest").isNull() & (F.col("size") == 0)
+    sha256 = F.when(empty, F.sha2(F.lit(b""), 256)).otherwise(F.col("digest.sha256"))
+    fault = F.when(F.col("found.tops") == 0, "missing: manifest.json").otherwise(_payload_fault(empty | F.col("digest").isNotNull(), (F.coalesce("digest.size", F.lit(0)) == F.col("size")) & (sha256 == F.col("sha256"))))
+    content = F.when(F.col("file") == "metadata.json", F.when(empty, "metadata: no object").otherwise(F.col("digest.fault"))).when(
+        F.col("file") == "states.npy", F.when(empty, "states: no array").otherwise(F.col("said.fault"))).otherwise(F.col("said.fault"))
+    judged = judged.select("log", "file", fault.alias("fault"), content.alias("own"), "digest.steps", "digest.objects", "said.shape", "said.finite")
+    of = lambda name, column: F.max(F.when(F.col("file") == name, F.col(column)))
+    each = judged.groupBy("log").agg(*[of(p, c).alias(f"{c}{i}") for i, p in enumerate(PAYLOADS) for c in ("fault", "own")], of("metadata.json", "steps").alias("steps"),
+                                     of("metadata.json", "objects").alias("objects"), of("states.npy", "shape").alias("shape"), of("states.npy", "finite").alias("finite"))
+    contact, state, head = range(len(PAYLOADS))
+    fits = F.col("shape") == F.concat_ws(",", "steps", "objects", F.lit(13))
+    reason = F.coalesce(*[f"fault{i}" for i in range(len(PAYLOADS))], f"own{head}", f"own{state}", F.when(~fits, "states: shape"), F.when(~F.col("finite"), "states: values"), f"own{contact}")
+    return each.select("log", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def headers(rows: DataFrame) -> DataFrame:
@@ -204,32 +263,40 @@ def packed(headers: DataFrame, contacts: DataFrame, states: DataFrame) -> DataFr
 
     A log is one file of each kind by its format, so its rows meet in one row here.
     """
+    # Partitions by the size of the input, asked for once: all rows and contents of a log stay in its task.
+    count = shares(contacts.select("log").unionByName(states.select("log")))
+    placed_by_log = lambda df: df.repartition(count, "log")
     line = F.to_json(F.struct(*[F.col(c) for c in sorted(contacts.columns) if c != "log"], F.lit(VERSION).alias("schema_version")), {"ignoreNullFields": "false"})
-    lines = contacts.groupBy("log").agg(F.array_join(F.array_sort(F.collect_list(F.struct("step", line.alias("line"))))["line"], "\n").alias("text"))
-    texts = headers.select("log").join(lines, "log", "left").select("log", F.lit("contacts.jsonl").alias("file"), F.when(F.col("text").isNotNull(), F.concat("text", F.lit("\n"))).otherwise("").cast("binary").alias("content"))
+    lines = placed_by_log(contacts).groupBy("log").agg(F.array_join(F.array_sort(F.collect_list(F.struct("step", line.alias("line"))))["line"], "\n").alias("text"))
+    lanes = [(n, i) for n, size in (("position", 3), ("quaternion", 4), ("linear_velocity", 3), ("angular_velocity", 3)) for i in range(size)]
 
     def save(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["_step", "_object"])
-        array = np.concatenate([np.stack(frame[c].to_numpy()) for c in ("position", "quaternion", "linear_velocity", "angular_velocity")], axis=1)
+        array = frame[[f"_{n}{i}" for n, i in lanes]].to_numpy(dtype=np.float64)
         stream = io.BytesIO()
-        np.save(stream, array.reshape(len(frame["_step"].unique()), -1, 13), allow_pickle=False)
-        return pd.DataFrame({"log": [frame["log"].iloc[0]], "file": ["states.npy"], "content": [stream.getvalue()]})
+        np.save(stream, np.ascontiguousarray(array).reshape(len(frame["_step"].unique()), -1, 13), allow_pickle=False)
+        return pd.DataFrame({"log": [frame["log"].iloc[0]], "content": [stream.getvalue()]})
 
-    placed = states.join(headers.select("log", "steps", "object_ids"), "log").withColumns({"_step": F.array_position("steps", F.col("step")), "_object": F.array_position("object_ids", F.col("object_id"))})
-    arrays = placed.drop("steps", "object_ids").groupBy("log").applyInPandas(save, "log STRING, file STRING, content BINARY")
     own = F.struct(*[F.col(c) for c in ("branch", "object_ids", "steps", "step_rate")], F.lit(None).cast("array<double>").alias("commanded_path"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("metadata"), F.lit(VERSION).alias("schema_version"))
-    tops = headers.select("log", F.lit("metadata.json").alias("file"), F.concat(F.to_json(own, {"ignoreNullFields": "false"}), F.lit("\n")).cast("binary").alias("content"))
-    return sealed(texts.unionByName(arrays).unionByName(tops))
+    heads = placed_by_log(headers.select("log", "object_ids", "steps", F.concat(F.to_json(own, {"ignoreNullFields": "false"}), F.lit("\n")).cast("binary").alias("_2")))
+    named = placed_by_log(states).join(heads.select("log", "steps", "object_ids"), "log")
+    placed = named.select("log", F.array_position("steps", F.col("step")).alias("_step"), F.array_position("object_ids", F.col("object_id")).alias("_object"), *[F.col(n)[i].alias(f"_{n}{i}") for n, i in lanes])
+    arrays = placed.groupBy("log").applyInPandas(save, "log STRING, content BINARY").withColumnRenamed("content", "_1")
+    text = F.when(F.col("text").isNotNull(), F.concat("text", F.lit("\n"))).otherwise("").cast("binary")
+    return _sealed(heads.select("log", "_2").join(lines, "log", "left").join(arrays, "log", "left").select("log", text.alias("_0"), "_1", "_2"))
 
 
 def sealed(parts: DataFrame) -> DataFrame:
     """Payloads (log, file, content) under their generation's name, and the manifest of each log."""
-    entries = parts.select("log", "file", F.sha2("content", 256).alias("sha256"), F.length("content").alias("size"))
-    of = lambda name, field: F.max(F.when(F.col("file") == name, F.col(field)))
-    logs = entries.groupBy("log").agg(*[of(p, f).alias(f"{f}{i}") for i, p in enumerate(PAYLOADS) for f in ("sha256", "size")])
+    return _sealed(parts.groupBy("log").agg(*[F.max(F.when(F.col("file") == p, F.col("content"))).alias(f"_{i}") for i, p in enumerate(PAYLOADS)]))
+
+
+def _sealed(whole: DataFrame) -> DataFrame:
+    """The files of logs given as one row each, with the contents of PAYLOADS as ``_0``, ``_1`` and ``_2``."""
+    logs = whole.withColumns({f"sha256{i}": F.sha2(f"_{i}", 256) for i in range(len(PAYLOADS))}).withColumns({f"size{i}": F.length(f"_{i}") for i in range(len(PAYLOADS))})
     logs = logs.withColumn("generation", F.sha2(F.concat(*[f"sha256{i}" for i in range(len(PAYLOADS))]), 256))
-    path = lambda name: F.concat(F.lit("generations/"), "generation", F.lit("/"), name)
-    listed = F.struct(*[F.struct(path(F.lit(p)).alias("path"), F.col(f"sha256{i}").alias("sha256"), F.col(f"size{i}").alias("size")).alias(p) for i, p in sorted(enumerate(PAYLOADS), key=lambda x: x[1])])
+    path = lambda name: F.concat(F.lit("generations/"), "generation", F.lit("/"), F.lit(name))
+    listed = F.struct(*[F.struct(path(p).alias("path"), F.col(f"sha256{i}").alias("sha256"), F.col(f"size{i}").alias("size")).alias(p) for i, p in sorted(enumerate(PAYLOADS), key=lambda x: x[1])])
     manifest = F.concat(F.to_json(F.struct(listed.alias("files"), F.col("generation"), F.lit(VERSION).alias("schema_version"))), F.lit("\n"))
-    return parts.join(logs.select("log", "generation"), "log").select("log", path(F.col("file")).alias("name"), "content").unionByName(
-        logs.select("log", F.lit(MANIFEST).alias("name"), manifest.cast("binary").alias("content")))
+    files = [F.struct(path(p).alias("name"), F.col(f"_{i}").alias("content")) for i, p in enumerate(PAYLOADS)]
+    return logs.select("log", F.inline(F.array(*files, F.struct(F.lit(MANIFEST).alias("name"), manifest.cast("binary").alias("content"))))).where("content IS NOT NULL")
