@@ -1,9 +1,10 @@
 """Contact episodes over a stream of contact points.
 
-State is three tables per micro-batch in the shared folder: contact steps that may still
-change, runs that may still grow, and the highest step seen per log. A step older than
-the allowed lateness is final; a run ending before the final horizon is emitted. State
-therefore holds the recent steps and one row per open run, however long it lasts, and
+State is tables per micro-batch in the shared folder: the contact steps that arrived, runs
+that may still grow, and the highest step seen per log. A step older than the allowed
+lateness is final; a run ending before the final horizon is emitted. A batch writes its own
+steps and reads, of those before, the ones that its horizons pass, so a step is written once
+and read when it becomes final, however many batches there are; an open run is one row, and
 every stage is a distributed DataFrame job rather than one worker per pair.
 
 Closing emits what is open under ``closing`` and leaves the state as it is. A stream that
@@ -18,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from scenelake.operators import ordered
 from scenelake.session import missing
@@ -50,25 +52,24 @@ class EpisodeStream:
     def process(self, contacts: DataFrame, batch: int, final: bool = False) -> None:
         """Folds one batch of (instance_id, branch, step, object_a, object_b, normal_force)."""
         spark = contacts.sparkSession
-        steps = contacts.groupBy(*PAIR, "step").agg(F.sum("normal_force").alias("normal_force"))
+        arrived = contacts.groupBy(*PAIR, "step").agg(F.sum("normal_force").alias("normal_force"))
         marks = self._read(spark, "marks", batch - 1)
         if marks is not None:
             horizon = marks.select(*LOG, (F.col("top") - self.lateness).alias("_final"))
-            dated = steps.join(horizon, LOG, "left")
-            late = F.coalesce(F.col("step") < F.col("_final"), F.lit(False))
-            dated.where(late).drop("_final").write.mode("overwrite").parquet(f"{self.root}/late/batch={batch}")
-            steps = dated.where(~late).drop("_final")
-        recent = self._read(spark, "recent", batch - 1)
-        if recent is not None:
-            steps = steps.unionByName(recent).groupBy(*PAIR, "step").agg(F.sum("normal_force").alias("normal_force"))
-        tops = steps.groupBy(*LOG).agg(F.max("step").alias("top"))
+            arrived = arrived.join(horizon, LOG, "left").withColumn("_late", F.coalesce(F.col("step") < F.col("_final"), F.lit(False))).drop("_final")
+        else:
+            arrived = arrived.withColumn("_late", F.lit(False))
+        # Aggregated and written once; in order, so that later batches pass over the pages of other steps.
+        arrived = self._keep(arrived.sortWithinPartitions("step"), "recent", batch, final)
+        if marks is not None:
+            arrived.where("_late").drop("_late").write.mode("overwrite").parquet(f"{self.root}/late/batch={batch}")
+        tops = arrived.where("NOT _late").groupBy(*LOG).agg(F.max("step").alias("top"))
         if marks is not None:
             tops = tops.unionByName(marks).groupBy(*LOG).agg(F.max("top").alias("top"))
         tops = self._keep(tops, "marks", batch, final)
         edge = F.col("top") + 2 if final else F.col("top") - self.lateness
-        dated = steps.join(tops.select(*LOG, edge.alias("_final")), LOG)
-        self._keep(dated.where(F.col("step") >= F.col("_final")).drop("_final"), "recent", batch, final)
-        settled = dated.where((F.col("step") < F.col("_final")) & (F.col("normal_force") >= self.force_threshold)).drop("_final")
+        settled = self._settling(arrived, marks, tops.select(*LOG, edge.alias("_final")), batch)
+        settled = settled.groupBy(*PAIR, "step").agg(F.sum("normal_force").alias("normal_force")).where(F.col("normal_force") >= self.force_threshold)
         runs = ordered.runs(
             settled.withColumn("impulse", F.col("normal_force") / float(self.step_rate)), PAIR, "step",
             {"total_impulse": (F.sum("impulse"), "sum"), "peak_force": (F.max("normal_force"), "max")},
@@ -76,13 +77,34 @@ class EpisodeStream:
         heads = self._read(spark, "heads", batch - 1)
         if heads is not None:
             runs = self._joined(runs.unionByName(heads))
-        dated_runs = runs.join(tops.select(*LOG, edge.alias("_final")), LOG)
         # A run ending exactly at the horizon can still grow.
-        done = F.col("end_step") < F.col("_final")
-        self._keep(dated_runs.where(~done).drop("_final"), "heads", batch, final)
-        closed = dated_runs.where(done & (F.col("total_impulse") >= self.minimum_impulse)).drop("_final")
+        dated_runs = runs.join(tops.select(*LOG, edge.alias("_final")), LOG).withColumn("_done", F.col("end_step") < F.col("_final")).drop("_final")
+        dated_runs = self._keep(dated_runs, "runs", batch, final)
+        self._keep(dated_runs.where("NOT _done").drop("_done"), "heads", batch, final)
+        closed = dated_runs.where(F.col("_done") & (F.col("total_impulse") >= self.minimum_impulse)).drop("_done")
         closed.write.mode("overwrite").parquet(f"{self.root}/{'closing/' if final else ''}episodes/batch={batch}")
 
+    def _settling(self, arrived: DataFrame, marks: DataFrame | None, finals: DataFrame, batch: int) -> DataFrame:
+        """Steps of this batch and those before that its horizons pass; of other steps the files' statistics tell."""
+        moved = finals
+        if marks is None:
+            moved = moved.withColumn("_from", F.lit(None).cast("int"))
+        else:
+            moved = moved.join(marks.select(*LOG, (F.col("top") - self.lateness).alias("_from")), LOG, "left")
+        moved = moved.where(F.col("_from").isNull() | (F.col("_final") > F.col("_from")))
+        ends = moved.agg(F.max("_final").alias("stop"), F.min("_from").alias("start"), F.count_if(F.col("_from").isNull()).alias("fresh")).first()
+        columns = [*PAIR, "step", "normal_force"]
+        rows = arrived.where("NOT _late").select(*columns)
+        if marks is not None:
+            folder = f"{self.root}/state/recent"
+            known = arrived.sparkSession.read.schema(T.StructType([*arrived.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", folder).parquet(folder)
+            rows = rows.unionByName(known.where((F.col("batch") < batch) & ~F.col("_late")).select(*columns))
+        if ends["stop"] is not None:
+            rows = rows.where(F.col("step") < ends["stop"])
+        if ends["start"] is not None and not ends["fresh"]:
+            rows = rows.where(F.col("step") >= ends["start"])
+        return rows.join(moved, LOG).where((F.col("step") < F.col("_final")) & (F.col("_from").isNull() | (F.col("step") >= F.col("_from")))).select(*columns)
+
     @staticmethod
     def _joined(runs: DataFrame) -> DataFrame:
         """Merges runs that touch; they never overlap, since settled steps do not change."""
@@ -108,7 +130,7 @@ class EpisodeStream:
 
     def close(self, spark: SparkSession, batch: int) -> None:
         """Ends the stream: everything still open is emitted as batch ``batch``."""
-        empty = self._read(spark, "recent", batch - 1).limit(0)
+        empty = self._read(spark, "recent", batch - 1).drop("_late").limit(0)
         self.process(empty, batch, final=True)
 
     def last_batch(self, spark: SparkSession) -> int:
